@@ -67,8 +67,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
     )
 
 
-def record_id(value) -> str:
-    return "urn:page:" + ("null" if value is None or value != value else str(int(value)))
+def record_id(value: str | None) -> str:
+    return "urn:page:" + ("null" if value is None else value)
 
 
 def _parse_id(urn: str | None) -> int | None:
@@ -179,6 +179,8 @@ def write_archives(
     """
     cols = [id_col, url_col, "payload", "digest", "record_type", "refers_to"]
     planned = plan_records(pages.select(id_col, url_col, payload_col), id_col, payload_col).select(*cols)
+    for c in (id_col, "refers_to"):  # a column with nulls would reach Python as doubles
+        planned = planned.withColumn(c, F.col(c).cast("string"))
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
