@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, simhash, sketches, toxicity, warc
+from . import chat, mixing, packing, sharding, simhash, sketches, toxicity, warc
 from .common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against their edited texts and the next ones."""
     return sketches.sketch_versions(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into rows of 2,048 ids."""
+    return packing.pack_tokens(table(spark, sf_dir, "documents"))
