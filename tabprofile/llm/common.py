@@ -53,6 +53,6 @@ def hash52(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("long")
 
 
-def bits_for(rows: int, per_bucket: int, least: int = 5, most: int = 20) -> int:
+def bits_for(rows: int, per_bucket: int, least: int = 8, most: int = 20) -> int:
     """Bits of a bucket number so that a bucket of ``rows`` evenly hashed rows holds about ``per_bucket``."""
     return max(least, min(most, math.ceil(math.log2(max(1, rows) / per_bucket))))
