@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, sharding, simhash, sketches, toxicity, warc
+from . import chat, decontaminate, linededup, mixing, packing, sharding, simhash, sketches, toxicity, warc
 from .common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,74 @@ def _query(f: Callable[[SparkSession, str], DataFrame]):
     return f
 
 
+@_query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlaps of all documents with all benchmark items."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_SEED_KEYS = ", ".join(
+    "[{}]".format(", ".join([f"'{k}'", *[f"t[p + {j + 1}]" for j, c in enumerate(mask) if c == "#"]]))
+    for k, mask in enumerate(decontaminate.MASKS)
+)
+ORACLE["op1_decontaminate"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{N}}]+') AS t FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{N}}]+') AS t FROM benchmark),
+dw AS (SELECT doc_id, p, unnest([{_SEED_KEYS}]) AS seed FROM d, unnest(range(0, len(t) - {decontaminate.SPAN - 1})) AS x(p)),
+bw AS (SELECT item_id, p, unnest([{_SEED_KEYS}]) AS seed FROM b, unnest(range(0, len(t) - {decontaminate.SPAN - 1})) AS x(p)),
+diagonal AS (SELECT DISTINCT doc_id, item_id, dw.p - bw.p AS shift FROM dw JOIN bw USING (seed)),
+same AS (
+  SELECT doc_id, item_id, shift, j FROM diagonal JOIN d USING (doc_id) JOIN b USING (item_id), unnest(range(0, len(b.t))) AS x(j)
+  WHERE shift + j >= 0 AND d.t[shift + j + 1] = b.t[j + 1]
+),
+edge AS (
+  SELECT *, coalesce(j - lag(j) OVER w > {decontaminate.GAP + 1}, true) AS opens FROM same
+  WINDOW w AS (PARTITION BY doc_id, item_id, shift ORDER BY j)
+),
+run AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j) AS run FROM edge),
+overlap AS (
+  SELECT doc_id, item_id, shift + min(j) AS doc_start, min(j) AS item_start, max(j) - min(j) + 1 AS n_tokens, count(*) AS n_equal
+  FROM run GROUP BY doc_id, item_id, shift, run
+  HAVING count(*) >= {decontaminate.MIN_EQUAL} AND count(*) >= {decontaminate.MIN_SHARE} * (max(j) - min(j) + 1)
+)
+SELECT doc_id, item_id, doc_start::INT AS doc_start, item_start::INT AS item_start, n_tokens::INT AS n_tokens, n_equal::INT AS n_equal
+FROM overlap QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, n_tokens, doc_start, item_start) = 1
+"""
+
+
+@_query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the later copies of repeated runs of lines."""
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_deleted", F.md5("text").alias("kept_md5"))
+
+
+ORACLE["op2_line_dedup"] = f"""
+WITH heads AS (SELECT text, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text),
+parts AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM heads),
+line AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) - 1 AS ln FROM parts),
+pair AS (
+  SELECT a.doc_id AS d1, b.doc_id AS d2, b.ln AS ln, b.ln - a.ln AS shift, length(b.line) + 1 AS c
+  FROM line a JOIN line b ON a.line = b.line AND (a.doc_id, a.ln) < (b.doc_id, b.ln)
+),
+run AS (SELECT *, ln - row_number() OVER (PARTITION BY d1, d2, shift ORDER BY ln) AS run FROM pair),
+long AS (SELECT *, sum(c) OVER (PARTITION BY d1, d2, shift, run) AS chars FROM run),
+gone AS (SELECT DISTINCT d2 AS doc_id, ln FROM long WHERE chars >= {linededup.MIN_CHARS}),
+kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(gone.ln) AS n_deleted,
+         coalesce(string_agg(line, chr(10) ORDER BY line.ln) FILTER (gone.ln IS NULL), '') AS text
+  FROM line LEFT JOIN gone USING (doc_id, ln) GROUP BY doc_id
+)
+SELECT d.doc_id,
+       CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::INT AS n_lines,
+       CASE WHEN d.text IS NULL THEN 0 WHEN k.doc_id IS NOT NULL THEN n_deleted
+            WHEN length(d.text) + 1 >= {linededup.MIN_CHARS} THEN len(string_split(d.text, chr(10))) ELSE 0 END::INT AS n_deleted,
+       md5(CASE WHEN k.doc_id IS NOT NULL THEN k.text
+            WHEN length(d.text) + 1 >= {linededup.MIN_CHARS} THEN '' ELSE d.text END) AS kept_md5
+FROM documents d LEFT JOIN heads h ON d.text = h.text AND d.doc_id = h.doc_id LEFT JOIN kept k ON k.doc_id = h.doc_id
+"""
+
+
 @_query
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources weighed alike, as many rows as there are documents (on average)."""
@@ -72,6 +140,24 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLE["op4_shards"] = """
+WITH k AS (
+  SELECT doc_id, coalesce(text, '') AS text, source, ('0x' || substr(md5('shard|' || doc_id), 1, 13))::BIGINT AS spot FROM documents
+),
+f AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY spot, doc_id::VARCHAR) - 1)
+            / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS frac FROM k
+),
+p AS (
+  SELECT *, row_number() OVER (ORDER BY frac, coalesce('s' || source, 'none'), spot, doc_id::VARCHAR) - 1 AS pos,
+         count(*) OVER () AS n FROM f
+)
+SELECT doc_id, strlen(text) + 1 AS size, crc32(text) AS text_crc32, 'rows' AS law, (pos * 16 // n)::INT AS shard,
+       pos - ((pos * 16 // n) * n + 15) // 16 AS slot, NULL::INT AS grown_shard, source
+FROM p
+"""
+
+
 @_query
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page to a WARC record and back."""
