@@ -12,13 +12,14 @@ pairs found are verified.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .common import settle, without
@@ -33,14 +34,22 @@ THREE_PARTITIONS_UP_TO = 1 << 24
 PROBE_COST = 0.1
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The unsigned 64-bit SimHash of a text; 0 for a text without words."""
+def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False) -> int:
+    """The unsigned 64-bit SimHash of a text; 0 for a text without words.  ``distinct`` counts each shingle once."""
     words = (text or "").encode().translate(_LOWER).split()  # bytes.split: 0x20 and 0x09-0x0D
     if not words:
         return 0
+    if distinct:
+        grams = zip(*(words[k:] for k in range(shingle))) if len(words) >= shingle else [tuple(words)]
+        h = np.array([xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in set(grams)], dtype="<u8")
+        n_all, ones = len(h), np.zeros(BITS, dtype=np.int64)
+        for at in range(0, n_all, _CHUNK):
+            ones += np.unpackbits(h[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return int(np.packbits((2 * ones > n_all).astype(np.uint8), bitorder="little").view("<u8")[0])
     n = max(1, len(words) - shingle + 1)
     ones = np.zeros(BITS, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
@@ -52,12 +61,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3, out: str = "fp") -> DataFrame:
+def with_fingerprints(
+    docs: DataFrame, text_col: str = "text", shingle: int = 3, out: str = "fp", distinct: bool = False
+) -> DataFrame:
     """Add the fingerprint as a (signed) long column ``out``."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+        return pd.Series(np.array([fingerprint(t, shingle, distinct) for t in texts], dtype=np.uint64).view(np.int64))
 
     return without(docs, out).withColumn(out, fp(F.col(text_col)))
 
@@ -153,7 +164,20 @@ def allocate(costs: list[np.ndarray], radius: int) -> np.ndarray:
     return out - 1
 
 
-def links(fps: DataFrame, radius: int = 3, col: str = "fp") -> DataFrame:
+def partitions_for(n: int, radius: int) -> int:
+    """How many partitions cost least for ``n`` evenly spread fingerprints: a probe is shuffled, a candidate compared."""
+
+    def cost(parts: int) -> float:
+        widths = [BITS // parts + (k < BITS % parts) for k in range(parts)]
+        spare = radius - parts + 1
+        limits = [spare // parts + (k >= parts - spare % parts) for k in range(parts)]
+        probes = [sum(math.comb(w, d) for d in range(t + 1)) for w, t in zip(widths, limits)]
+        return sum(30 * p + n * p / 2.0**w for w, p in zip(widths, probes))
+
+    return min(range(2, min(4, radius + 1) + 1), key=cost) if radius else 1
+
+
+def links(fps: DataFrame, radius: int = 3, col: str = "fp", parts: int | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of different fingerprints that differ in at most ``radius`` bits; each pair once.
 
     ``fps`` holds each fingerprint once and is read several times, so it
@@ -161,7 +185,7 @@ def links(fps: DataFrame, radius: int = 3, col: str = "fp") -> DataFrame:
     """
     spark, fps = fps.sparkSession, fps.select(F.col(col).alias("fp"))
     n = fps.count()
-    parts = 3 if n <= THREE_PARTITIONS_UP_TO else 2
+    parts = parts or (3 if n <= THREE_PARTITIONS_UP_TO else 2)
     pack = lambda batch: batch["fp"].to_numpy(np.int64).view(np.uint64)
 
     def co_occurrence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,3 +326,81 @@ def near_duplicates(
     return prints.join(classes, "fp").select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "fp", "component_id", "n_links"
     )
+
+
+def shingle_hashes(text: Column, words: int = 5) -> Column:
+    """Distinct hashes of the word shingles of a text; a shorter text is one shingle, one without words has none."""
+    w = F.filter(F.split(F.translate(text, _UPPER, _UPPER.lower()), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    n = F.greatest(F.size(w), F.lit(1))
+    # Zipped with its own tails: an index into the words would split the text again for each of them.
+    tails = F.arrays_zip(*[F.slice(w, k + 1, n).alias(f"w{k}") for k in range(words)])
+    full = F.slice(tails, 1, F.greatest(n - (words - 1), F.lit(1)))
+    return F.array_distinct(F.transform(full, lambda x: F.xxhash64(*[x[f"w{k}"] for k in range(words)])))
+
+
+def drop_near_copies(
+    docs: DataFrame,
+    similarity: float = 0.8,
+    words: int = 5,
+    radius: int = 6,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The documents less those that an earlier one (by id) equals or nearly equals.
+
+    Nearly equal are texts whose sets of ``words``-word shingles have a
+    Jaccard similarity of at least ``similarity``.  Candidates are texts whose
+    SimHash over distinct single words lies within ``radius`` bits: a change
+    of a word touches one feature of it and five shingles, so at a similarity
+    of 0.8 it turns 3 to 4 bits on average.  Texts of the same fingerprint
+    stand for each other: each is compared with the first text of its own and
+    of every near fingerprint.
+
+    Equal texts are found by digest before anything else.  A text's
+    candidates are verified in rounds of 1, 2, 4, ... further ones until one
+    holds, so the texts of a large group of near copies, which all have the
+    group's first text as a candidate, are each compared once.
+
+    Null ids come last and null texts are kept.  Rows equal in id and text are
+    kept or dropped together; texts without words equal each other only if
+    they are the same.  An empty table gives an empty result; the columns are
+    those of ``docs``.
+    """
+    kept = list(docs.columns)
+    order = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.md5(text_col).alias("digest"))
+    named = docs.withColumn("__me", order)
+    heads = settle(
+        named.where(F.col(text_col).isNotNull()).groupBy(F.col("__me.digest").alias("__d")).agg(F.min("__me").alias("__head"))
+    ).select("__head")
+    firsts = named.join(heads, F.col("__me") == F.col("__head"), "left_semi").select("__me", F.col(text_col).alias("__text"))
+    prints = settle(
+        with_fingerprints(firsts, "__text", 1, "fp", distinct=True)
+        .where(F.rlike("__text", F.lit(r"[^\x20\x09-\x0D]")))
+        .select("__me", "fp")
+        .dropDuplicates(["__me"])
+    )
+    unique = settle(prints.groupBy("fp").agg(F.min("__me").alias("__rep")))
+    pairs = links(unique, radius, parts=partitions_for(unique.count(), radius))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(unique, F.col("b") == F.col("fp")).select(F.col("a").alias("fp"), "__rep").unionByName(unique)
+    tries = prints.join(near, "fp").where(F.col("__rep") < F.col("__me")).select("__me", "__rep")
+    turn = F.row_number().over(W.partitionBy("__me").orderBy("__rep"))
+    tries = settle(tries.withColumn("__turn", turn))
+    last = tries.agg(F.max("__turn")).first()[0] or 0
+    bad, size, at = None, 1, 1
+    while at <= last:
+        now = tries.where(F.col("__turn").between(at, at + size - 1)).drop("__turn")
+        if bad is not None:
+            now = now.join(bad, "__me", "left_anti")
+        mine = firsts.select("__me", shingle_hashes(F.col("__text"), words).alias("__mine"))
+        theirs = firsts.select(F.col("__me").alias("__rep"), shingle_hashes(F.col("__text"), words).alias("__theirs"))
+        both_ends = now.join(mine, "__me").join(theirs, "__rep")
+        shared = F.size(F.array_intersect("__mine", "__theirs"))
+        alike = shared / (F.size("__mine") + F.size("__theirs") - shared)
+        found = settle(both_ends.where(alike >= similarity).select("__me").distinct())
+        bad = found if bad is None else bad.unionByName(found)
+        at, size = at + size, 2 * size
+    keeps = named.join(heads, F.col("__me") == F.col("__head"), "left_semi")
+    if bad is not None:
+        keeps = keeps.join(bad, "__me", "left_anti")
+    return keeps.unionByName(named.where(F.col(text_col).isNull())).select(*[F.col(f"`{c}`") for c in kept])
