@@ -140,24 +140,6 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ORACLE["op4_shards"] = """
-WITH k AS (
-  SELECT doc_id, coalesce(text, '') AS text, source, ('0x' || substr(md5('shard|' || doc_id), 1, 13))::BIGINT AS spot FROM documents
-),
-f AS (
-  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY spot, doc_id::VARCHAR) - 1)
-            / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS frac FROM k
-),
-p AS (
-  SELECT *, row_number() OVER (ORDER BY frac, coalesce('s' || source, 'none'), spot, doc_id::VARCHAR) - 1 AS pos,
-         count(*) OVER () AS n FROM f
-)
-SELECT doc_id, strlen(text) + 1 AS size, crc32(text) AS text_crc32, 'rows' AS law, (pos * 16 // n)::INT AS shard,
-       pos - ((pos * 16 // n) * n + 15) // 16 AS slot, NULL::INT AS grown_shard, source
-FROM p
-"""
-
-
 @_query
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page to a WARC record and back."""
