@@ -15,6 +15,9 @@ def cells(table: Table, names: list[str] | None = None, with_row: bool = False)
         F.lit(c.name).alias("column"), c.raw().alias("raw"), c.blank().alias("blank"), c.value().alias("value")
     )
     row = [F.col(ROW)] if with_row else []
+    if not infos:
+        empty = table.df.sparkSession.createDataFrame([], "column string, raw string, blank boolean, value double")
+        return empty.withColumn(ROW, F.lit(None).cast("long")) if with_row else empty
     return table.df.select(*row, F.explode(F.array(*[one(c) for c in infos])).alias("__c")).select("__c.*", *row)
 
 

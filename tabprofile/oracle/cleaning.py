@@ -1 +1,120 @@
-QUERIES, ORACLE = {}, {}
+"""Cleaning steps and their effects."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..plans import recipe as C
+from .common import Registry, table, union_sql
+
+R = Registry()
+GAPPY = "CASE WHEN event_id % 5 IN (1, 2) THEN NULL ELSE value END"
+
+
+@R.add(f"SELECT event_id, coalesce(last_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), v) AS v FROM (SELECT event_id, {GAPPY} AS v FROM events)")
+def fill_down(spark, sf_dir):
+    t = table(spark, sf_dir, "events", ["event_id", "v"], {"v": F.expr(GAPPY)})
+    return C.apply_steps(t, (C.FillDown("v"),)).output()
+
+
+@R.add(
+    f"SELECT event_id, first_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM (SELECT event_id, {GAPPY} AS v FROM events)"
+)
+def fill_up(spark, sf_dir):
+    t = table(spark, sf_dir, "events", ["event_id", "v"], {"v": F.expr(GAPPY)})
+    return C.apply_steps(t, (C.FillUp("v"),)).output()
+
+
+@R.add(r"""SELECT p_partkey, replace(p_name, 'a', '4') AS p_name, regexp_replace(p_type, '([A-Z])([a-z]+)', '\2\1', 'g') AS p_type, p_brand FROM part""")
+def replace_values(spark, sf_dir):
+    t = table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type", "p_brand"])
+    steps = (
+        C.Replace("p_name", "a", "4"),
+        C.Replace("p_type", "([A-Z])([a-z]+)", "$2$1", "regex"),
+        C.Replace("p_brand", "(", "x", "regex"),  # an invalid pattern changes nothing
+    )
+    return C.apply_steps(t, steps).output()
+
+
+@R.add(
+    """SELECT p_partkey, trim(p_name, chr(32) || chr(9)) AS p_name,
+  array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') AS p_type, upper(p_brand) AS p_brand
+FROM (SELECT p_partkey, '  ' || p_name || chr(9) AS p_name, p_type, p_brand FROM part)"""
+)
+def trim_case_title(spark, sf_dir):
+    t = table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type", "p_brand"], {"p_name": F.concat(F.lit("  "), "p_name", F.lit("\t"))})
+    return C.apply_steps(t, (C.Trim("p_name"), C.Case("p_type", "title"), C.Case("p_brand", "upper"))).output()
+
+
+@R.add("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) = 1")
+def dedupe_on_columns(spark, sf_dir):
+    t = table(spark, sf_dir, "orders")
+    left = C.apply_steps(t, (C.RemoveDuplicates(("o_custkey", "o_orderstatus")),)).rows()
+    return left.df.select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@R.add("SELECT text, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY text, lang, source ORDER BY doc_id) = 1")
+def dedupe_rows(spark, sf_dir):
+    """Whole rows, the key left out of the columns."""
+    t = table(spark, sf_dir, "documents", ["text", "lang", "source"])
+    return C.apply_steps(t, (C.RemoveDuplicates(),)).output()
+
+
+@R.add("SELECT event_id, round(value, 1) + 0 AS value FROM events WHERE value IS NOT NULL AND event_id % 11 <> 0")
+def drop_and_round(spark, sf_dir):
+    t = table(spark, sf_dir, "events", ["event_id", "value"], {"value": F.expr("CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END")})
+    return C.apply_steps(t, (C.DropEmpty("value"), C.Round("value", 1))).output().withColumn("value", F.round(F.col("value"), 1) + 0.0)
+
+
+@R.add(
+    """WITH a AS (SELECT o_orderkey AS r, ' ' || o_orderstatus AS s, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE o_orderpriority END AS p FROM orders),
+b AS (SELECT r, trim(s) AS s, p FROM a), c AS (SELECT r, s, CASE WHEN p = '5-LOW' THEN '' ELSE p END AS p FROM b),
+d AS (SELECT * FROM c WHERE p <> ''), e AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY s, p ORDER BY r) = 1)
+SELECT 0 AS step, (SELECT count(*) FROM a WHERE trim(s) <> s) AS effect
+UNION ALL SELECT 1, (SELECT count(*) FROM b WHERE p = '5-LOW')
+UNION ALL SELECT 2, (SELECT count(*) FROM c WHERE p = '')
+UNION ALL SELECT 3, (SELECT count(*) FROM d) - (SELECT count(*) FROM e)
+UNION ALL SELECT 4, (SELECT count(*) FROM e WHERE lower(p) <> p)
+UNION ALL SELECT 5, (SELECT count(*) FROM e WHERE s = 'F')"""
+)
+def recipe_effects(spark, sf_dir):
+    extra = {
+        "s": F.concat(F.lit(" "), "o_orderstatus"),
+        "p": F.when(F.col("o_orderkey") % 9 == 0, F.lit("")).otherwise(F.col("o_orderpriority")),
+    }
+    t = table(spark, sf_dir, "orders", ["s", "p"], extra)
+    steps = (
+        C.Trim("s"),
+        C.Empty("p", ("5-LOW",)),
+        C.DropEmpty("p"),
+        C.RemoveDuplicates(),
+        C.Case("p", "lower"),
+        C.Merge("s", ("F",), "finished"),
+    )
+    return C.apply_steps(t, steps).effects()
+
+
+@R.add(
+    union_sql([f"SELECT '{v}' AS raw, {e} AS fixed" for v, e in {"CafÃ©": "'Café'", "Ça va": "NULL", "TrÃ¨s bon": "'Très bon'", "plain": "NULL", "Ãœber": "'Über'"}.items()])
+)
+def mojibake_fix(spark, sf_dir):
+    from ..functions.text import fix_mojibake
+
+    df = spark.createDataFrame([(v,) for v in ("CafÃ©", "Ça va", "TrÃ¨s bon", "plain", "Ãœber")], "raw string")
+    return df.select("raw", fix_mojibake(F.col("raw")).alias("fixed"))
+
+
+@R.add("SELECT c_custkey AS id, c_name AS customer, CASE WHEN c_custkey % 4 = 0 THEN 'none' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey NOT IN (1, 2, 3)")
+def rename_remove_fill(spark, sf_dir):
+    t = table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], {"c_mktsegment": F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment"))})
+    steps = (
+        C.Rename("c_custkey", "id"),
+        C.Rename("c_name", "customer"),
+        C.Remove("c_nationkey"),
+        C.FillValue("c_mktsegment", "none"),
+        C.DropRows((1, 2, 3)),
+    )
+    return C.apply_steps(t, steps).output()
+
+
+QUERIES, ORACLE = R.queries, R.oracle

@@ -1 +1,167 @@
-QUERIES, ORACLE = {}, {}
+"""Missing values in disguise, variants, patterns, placeholders, gaps, repeats, duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import EXTRA_NULL_TOKENS, KNOWN_NULL_TOKENS
+from ..operators import diagnose as D
+from ..operators import quality
+from .common import Registry, table, union_sql
+
+R = Registry()
+#: A derived column with defects set by the key, in words both engines know.
+DIRTY = (
+    "CASE WHEN c_custkey % 13 = 0 THEN 'N/A' WHEN c_custkey % 17 = 0 THEN ' unknown ' WHEN c_custkey % 19 = 0 THEN '  ' WHEN c_custkey % 23 = 0 THEN ''"
+    " WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) WHEN c_custkey % 7 = 0 THEN concat(c_mktsegment, ' ') ELSE c_mktsegment END"
+)
+_DIRTY = f"(SELECT {DIRTY} AS seg FROM customer)"
+
+
+def _dirty(spark, sf_dir):
+    return table(spark, sf_dir, "customer", ["seg"], {"seg": F.expr(DIRTY)})
+
+
+def _list(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+@R.add(
+    f"""SELECT 'seg' AS "column", count_if(seg = '') AS empty, count_if(seg <> '' AND trim(seg) = '') AS whitespace_only,
+  count_if(lower(trim(seg)) IN ({_list(KNOWN_NULL_TOKENS)})) AS known_tokens,
+  count_if(trim(seg) = '' OR lower(trim(seg)) IN ({_list(KNOWN_NULL_TOKENS)})) AS effective_missing FROM {_DIRTY}"""
+)
+def missing_cells(spark, sf_dir):
+    return D.missing_cells(_dirty(spark, sf_dir))
+
+
+@R.add(
+    f"""SELECT 'seg' AS "column", trim(seg) AS token, lower(trim(seg)) IN ({_list(KNOWN_NULL_TOKENS)}) AS known, count(*) AS n FROM {_DIRTY}
+WHERE lower(trim(seg)) IN ({_list(KNOWN_NULL_TOKENS + EXTRA_NULL_TOKENS)}) GROUP BY 2, 3"""
+)
+def null_tokens(spark, sf_dir):
+    return D.null_tokens(_dirty(spark, sf_dir))
+
+
+@R.add(
+    f"""SELECT 'seg' AS "column", lower(trim(seg)) AS folded, count(DISTINCT trim(seg)) AS spellings, count(*) AS n FROM {_DIRTY}
+WHERE trim(seg) <> '' GROUP BY 2 HAVING count(DISTINCT trim(seg)) > 1"""
+)
+def case_variants(spark, sf_dir):
+    return D.case_variants(_dirty(spark, sf_dir))
+
+
+@R.add(f"""SELECT 'seg' AS "column", count(DISTINCT seg) AS "values", count(*) AS n FROM {_DIRTY} WHERE trim(seg) <> '' AND trim(seg) <> seg""")
+def padded(spark, sf_dir):
+    return D.padded(_dirty(spark, sf_dir))
+
+
+PATTERNED = {"supplier": "s_name", "part": "p_brand", "customer": "c_name"}
+
+
+@R.add(
+    union_sql(
+        [
+            f"""SELECT '{c}' AS "column", pattern, count(DISTINCT {c}) AS "values", count(*) AS n FROM (
+  SELECT {c}, regexp_replace(regexp_replace(regexp_replace({c}, '\\d', '9', 'g'), '\\p{{Lu}}+', 'A', 'g'), '\\p{{Ll}}+', 'a', 'g') AS pattern FROM {t}) GROUP BY pattern"""
+            for t, c in PATTERNED.items()
+        ]
+    )
+)
+def value_patterns(spark, sf_dir):
+    out = None
+    for t, c in PATTERNED.items():
+        one = D.patterns(table(spark, sf_dir, t, [c]))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+SPIKED = "CASE WHEN event_id % 40 = 0 THEN -999.0 WHEN event_id % 67 = 0 THEN 123456.0 ELSE value END"
+DOMINATED = "CASE WHEN event_id % 5 < 3 THEN 9999.0 ELSE value END"
+
+
+@R.add(
+    f"""SELECT * FROM (SELECT 'spiked' AS "column", v AS value, count(*) AS n FROM (SELECT {SPIKED} AS v FROM events) WHERE v IN (-999, 123456) GROUP BY v
+UNION ALL SELECT 'dominated', v, count(*) FROM (SELECT {DOMINATED} AS v FROM events) WHERE v = 9999 GROUP BY v)"""
+)
+def placeholders_numeric(spark, sf_dir):
+    t = table(spark, sf_dir, "events", ["spiked", "dominated"], {"spiked": F.expr(SPIKED), "dominated": F.expr(DOMINATED)})
+    return D.numeric_placeholders(t)
+
+
+@R.add(
+    """WITH v AS (SELECT o_orderkey AS v FROM orders WHERE o_orderkey % 50 NOT IN (7, 8)),
+d AS (SELECT v, lag(v) OVER (ORDER BY v) AS b FROM v), s AS (SELECT v - b AS step, count(*) AS n FROM d WHERE b IS NOT NULL GROUP BY 1 ORDER BY n DESC, step LIMIT 1)
+SELECT b::DOUBLE AS after, v::DOUBLE AS before, (round((v - b) / step) - 1)::BIGINT AS missing, step::DOUBLE AS step, NULL::VARCHAR AS every FROM d, s
+WHERE b IS NOT NULL AND v - b > 1.5 * step"""
+)
+def sequence_gaps(spark, sf_dir):
+    t = table(spark, sf_dir, "orders", ["o_orderkey"])
+    return D.sequence_gaps(t.with_df(t.df.where("o_orderkey % 50 not in (7, 8)")), "o_orderkey")
+
+
+@R.add(
+    """SELECT 'k' AS "column", count_if(n > 1) AS "values", sum(n) FILTER (n > 1)::BIGINT AS rows, count(*) AS "distinct" FROM (
+  SELECT k, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 100 = 3 THEN o_orderkey - 1 ELSE o_orderkey END AS k FROM orders) GROUP BY k)"""
+)
+def near_key_repeats(spark, sf_dir):
+    extra = {"k": F.expr("CASE WHEN o_orderkey % 100 = 3 THEN o_orderkey - 1 ELSE o_orderkey END")}
+    return D.near_key_repeats(table(spark, sf_dir, "orders", ["k", "o_orderstatus"], extra))
+
+
+@R.add("SELECT min(doc_id) AS first_row, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_groups(spark, sf_dir):
+    return D.duplicate_groups(table(spark, sf_dir, "documents", ["text"]))
+
+
+@R.add("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_row FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1")
+def duplicate_rows(spark, sf_dir):
+    from ..plans.filters import duplicate_rows as rows
+    from ..plans.table import ROW
+
+    found = rows(table(spark, sf_dir, "documents", ["text"]))
+    return found.select(F.col(ROW).alias("doc_id"), F.col("_group").alias("first_row"))
+
+
+@R.add(
+    """SELECT 'lang' AS "column", min(length(lang))::INT AS min_length, max(length(lang))::INT AS max_length, round(avg(length(lang)), 4) AS mean_length FROM documents
+UNION ALL SELECT 'text', min(length(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))::INT, max(length(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))::INT,
+  round(avg(length(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))), 4) FROM documents WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''"""
+)
+def text_lengths(spark, sf_dir):
+    from ..operators.profile import lengths
+    from .common import rounded
+
+    return rounded(lengths(table(spark, sf_dir, "documents", ["lang", "text"])), "mean_length")
+
+
+@R.add(
+    """SELECT 'l_returnflag' AS "column", 'object' AS dtype, CASE WHEN count(*) >= 1000 THEN 'category' END AS hint FROM lineitem
+UNION ALL SELECT 'l_linenumber', 'int64', CASE WHEN count(*) * 7 >= 524288 THEN 'int8' END FROM lineitem
+UNION ALL SELECT 'l_discount', 'float64', CASE WHEN count(*) * 4 >= 524288 THEN 'float32' END FROM lineitem"""
+)
+def storage_hints(spark, sf_dir):
+    return D.storage_hints(table(spark, sf_dir, "lineitem", ["l_returnflag", "l_linenumber", "l_discount"]))
+
+
+@R.add(None)
+def similar_spellings(spark, sf_dir):
+    """Market segments with misspellings by key: one letter dropped, doubled, or small."""
+    e = (
+        "CASE WHEN c_custkey % 29 = 0 THEN concat(c_mktsegment, 'S') WHEN c_custkey % 31 = 0 THEN lower(c_mktsegment)"
+        " WHEN c_custkey % 37 = 0 THEN substring(c_mktsegment, 2) ELSE c_mktsegment END"
+    )
+    return quality.similar_spellings(table(spark, sf_dir, "customer", ["seg"], {"seg": F.expr(e)}))
+
+
+@R.add(
+    f"""SELECT 'seg' AS "column", 'case variants' AS kind, sum(n)::BIGINT AS n, 'merge' AS fix FROM (
+  SELECT count(*) AS n FROM {_DIRTY} WHERE trim(seg) <> '' GROUP BY lower(trim(seg)) HAVING count(DISTINCT trim(seg)) > 1)
+UNION ALL SELECT 'seg', 'padded', count(*), 'trim' FROM {_DIRTY} WHERE trim(seg) <> '' AND trim(seg) <> seg
+UNION ALL SELECT 'seg', 'null token', count(*), 'empty' FROM {_DIRTY} WHERE lower(trim(seg)) IN ({_list(KNOWN_NULL_TOKENS + EXTRA_NULL_TOKENS)})"""
+)
+def findings(spark, sf_dir):
+    return D.findings(_dirty(spark, sf_dir))
+
+
+QUERIES, ORACLE = R.queries, R.oracle
