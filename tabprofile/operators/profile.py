@@ -40,12 +40,18 @@ def quantiles(values: DataFrame, by: list[str], fractions: tuple[float, ...]) ->
     merged = (
         present.join(asked, same)
         .groupBy(*by, F.col("__s.f").alias("f"), "__total", zone.alias("__zone"), F.when(zone == 0, F.col("value")).alias("__at"))
-        .agg(F.sum("__n").alias("__n"), F.min("value").alias("value"))
+        .agg(
+            F.sum("__n").alias("__n"),
+            # The sketch may be one rank off at either edge: the nearest value outside stands by.
+            F.max(F.when(zone < 0, F.col("value"))).alias("__max"),
+            F.min(F.when(zone >= 0, F.col("value"))).alias("__min"),
+        )
+        .withColumn("value", F.coalesce("__max", "__min"))
     )
     up_to = F.sum("__n").over(W.partitionBy(*by, "f").orderBy("__zone", "value").rowsBetween(W.unboundedPreceding, 0))
     rank = F.col("f") * (F.col("__total") - 1)
     low = F.floor(rank)
-    at = lambda r: F.min(F.when((F.col("__upto") > r) & (F.col("__zone") >= 0), F.col("value")))
+    at = lambda r: F.min(F.when(F.col("__upto") > r, F.col("value")))
     found = merged.withColumn("__upto", up_to).groupBy(*by, "f", "__total").agg(
         at(low).alias("__a"), at(low + 1).alias("__b")
     )
