@@ -28,6 +28,8 @@ STEM_LENGTHS = (3, 4, 5, 6)
 #: Labelled rows a fit may use (those with the least hash of the id), and entries of a lexicon.
 FIT_ROWS, LEXICON_SIZE = 8192, 256
 DISCOVERY_RATE = 0.2
+#: Sets of other entries that a word occurs with, from which on it cannot come from copies of a few documents.
+VARIED_COMPANY = 5
 #: Words looked at on either side of a hit, and what a fully quoted hit loses of its weight.
 WINDOW, QUOTED_LOSS = 8, 0.8
 #: Quotation marks that open and close, and words that report or mention speech.
@@ -227,22 +229,54 @@ def learn_lexicon(sample: DataFrame, text_col: str, label_col: str) -> tuple[dic
         .select("f", "odds", "c0", "c1")
         .collect()
     )
-    good = _significant(good, sums.where("c0 + c1 >= 3").count(), n1 / (n0 + n1))
-    words = {r["f"][1:]: r["c1"] for r in good if r["f"][0] == "w"}
+    tested, base = sums.where("c0 + c1 >= 3").count(), n1 / (n0 + n1)
+    good = _significant(good, tested, base)
+    wanted = frozenset(r["f"] for r in good)
+
+    def incidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"fs": [sorted(_candidates(t) & wanted) for t in batch[text_col]]})
+
+    # At most one short row for each toxic row of the sample.
+    toxic = sample.where(F.col(label_col) == 1).select(text_col).mapInPandas(incidence, "fs array<string>").collect()
     terms: dict[str, float] = {}
     stems: dict[str, float] = {}
-    for f, weight, _, c1 in good:
-        body = f[1:]
-        covered = any(body[:k] in stems for k in STEM_LENGTHS if k <= len(body))
-        if covered or len(terms) + len(stems) >= LEXICON_SIZE:
-            continue
-        if f[0] == "w":
-            terms[body] = weight
-        elif not any(n >= 0.9 * c1 and w.startswith(body) for w, n in words.items()):
-            stems[body] = weight  # it says more than any one word that begins with it
+    for r in _cover(good, [set(x["fs"]) for x in toxic], tested, base):
+        kind, body = r["f"][0], r["f"][1:]
+        (terms if kind == "w" else stems)[body] = r["odds"]
     return terms, stems
 
 
+def _cover(good: list, docs: list[set[str]], tested: int, base: float) -> list:
+    """Entries picked one by one, each for the toxic documents that no entry before it is in.
+
+    Words that merely come along in copies of a toxic document explain none
+    that its slurs do not, and so stay out; so do stems of which one word is
+    the reason.  An entry must stand out by what it adds alone.
+    """
+    where: dict[str, set[int]] = {r["f"]: set() for r in good}
+    for k, fs in enumerate(docs):
+        for f in fs:
+            where[f].add(k)
+    left, picked, limit = set(range(len(docs))), [], math.log(DISCOVERY_RATE / max(tested, 1))
+    while len(picked) < LEXICON_SIZE:
+        new = {r["f"]: len(where[r["f"]] & left) for r in good}
+        # Of equal gains the longer entry, a word before a stem: it says the same more exactly.
+        best = max(good, key=lambda r: (new[r["f"]] * r["odds"], len(r["f"]), r["f"][0] == "w", r["f"]), default=None)
+        if best is None or new[best["f"]] < 3 or _log_p(best["c0"], new[best["f"]], base) > limit:
+            break
+        picked.append(best)
+        left -= where[best["f"]]
+    # Further words that keep varied company are terms too, though the documents they are in have others as well.
+    chosen = {r["f"] for r in picked}
+    company = [frozenset(fs & chosen) for fs in docs]
+    for r in good:
+        if r["f"][0] == "w" and r["f"] not in chosen and len(picked) < LEXICON_SIZE:
+            if len({company[k] for k in where[r["f"]]}) >= VARIED_COMPANY:
+                picked.append(r)
+    return picked
+
+
 def _significant(rows: list, tested: int, base: float) -> list:
     """Of the candidates (f, odds, c0, c1) those that stand out at a false discovery rate of DISCOVERY_RATE.
 
@@ -250,16 +284,17 @@ def _significant(rows: list, tested: int, base: float) -> list:
     the procedure is that of Benjamini and Hochberg.
     """
 
-    def log_p(r) -> float:
-        n, share = r["c0"] + r["c1"], r["c1"] / (r["c0"] + r["c1"])
-        if share <= base:
-            return 0.0
-        rest = (1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0.0
-        return -n * (share * math.log(share / base) + rest)
-
-    ordered = sorted(log_p(r) for r in rows)
+    ordered = sorted(_log_p(r["c0"], r["c1"], base) for r in rows)
     fits = [p for k, p in enumerate(ordered, 1) if p <= math.log(DISCOVERY_RATE * k / max(tested, 1))]
-    return [r for r in rows if fits and log_p(r) <= fits[-1]]
+    return [r for r in rows if fits and _log_p(r["c0"], r["c1"], base) <= fits[-1]]
+
+
+def _log_p(c0: int, c1: int, base: float) -> float:
+    n, share = c0 + c1, c1 / (c0 + c1)
+    if share <= base:
+        return 0.0
+    rest = (1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0.0
+    return -n * (share * math.log(share / base) + rest)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.3, rounds: int = 50) -> np.ndarray:
