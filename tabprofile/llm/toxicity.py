@@ -28,6 +28,8 @@ STEM_LENGTHS = (3, 4, 5, 6)
 #: Labelled rows a fit may use (those with the least hash of the id), and entries of a lexicon.
 FIT_ROWS, LEXICON_SIZE = 8192, 256
 DISCOVERY_RATE = 0.2
+#: Share of the toxic documents that an entry must explain beyond the entries before it (two documents at least).
+LEAST_ADDED = 0.005
 #: Sets of other entries that a word occurs with, from which on it cannot come from copies of a few documents.
 VARIED_COMPANY = 5
 #: Words looked at on either side of a hit, and what a fully quoted hit loses of its weight.
@@ -241,29 +243,29 @@ def learn_lexicon(sample: DataFrame, text_col: str, label_col: str) -> tuple[dic
     toxic = sample.where(F.col(label_col) == 1).select(text_col).mapInPandas(incidence, "fs array<string>").collect()
     terms: dict[str, float] = {}
     stems: dict[str, float] = {}
-    for r in _cover(good, [set(x["fs"]) for x in toxic], tested, base):
+    for r in _cover(good, [set(x["fs"]) for x in toxic]):
         kind, body = r["f"][0], r["f"][1:]
         (terms if kind == "w" else stems)[body] = r["odds"]
     return terms, stems
 
 
-def _cover(good: list, docs: list[set[str]], tested: int, base: float) -> list:
+def _cover(good: list, docs: list[set[str]]) -> list:
     """Entries picked one by one, each for the toxic documents that no entry before it is in.
 
     Words that merely come along in copies of a toxic document explain none
     that its slurs do not, and so stay out; so do stems of which one word is
-    the reason.  An entry must stand out by what it adds alone.
+    the reason.  An entry must add ``LEAST_ADDED`` of the toxic documents.
     """
     where: dict[str, set[int]] = {r["f"]: set() for r in good}
     for k, fs in enumerate(docs):
         for f in fs:
             where[f].add(k)
-    left, picked, limit = set(range(len(docs))), [], math.log(DISCOVERY_RATE / max(tested, 1))
+    left, picked, least = set(range(len(docs))), [], max(2, LEAST_ADDED * len(docs))
     while len(picked) < LEXICON_SIZE:
         new = {r["f"]: len(where[r["f"]] & left) for r in good}
         # Of equal gains the longer entry, a word before a stem: it says the same more exactly.
         best = max(good, key=lambda r: (new[r["f"]] * r["odds"], len(r["f"]), r["f"][0] == "w", r["f"]), default=None)
-        if best is None or new[best["f"]] < 3 or _log_p(best["c0"], new[best["f"]], base) > limit:
+        if best is None or new[best["f"]] < least:
             break
         picked.append(best)
         left -= where[best["f"]]
