@@ -215,3 +215,34 @@ def length_distribution(table: Table, name: str) -> DataFrame:
     from ..functions.text import js_trim
 
     return cells(table, [name]).where("not blank").groupBy(F.length(js_trim(F.col("raw"))).alias("length")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def ranked_values(table: Table, name: str, k: int = 20) -> DataFrame:
+    """(rank, label, n): the k most frequent values, then what is left as ``Other (n values)``; blanks are ``(blank)``."""
+    top = top_values(table, [name], k)
+    label = F.when(F.col("value") == "", "(blank)").otherwise(F.col("value"))
+    shown = top.select(F.col("rank").cast("int").alias("rank"), label.alias("label"), "n")
+    rest = top.where((F.col("rank") == k) & (F.col("n_values") > k)).select(
+        F.lit(k + 1).alias("rank"), F.concat(F.lit("Other ("), (F.col("n_values") - k).cast("string"), F.lit(" values)")).alias("label"), F.col("other").alias("n")
+    )
+    return shown.unionByName(rest)
+
+
+def summary_without(table: Table, name: str, excluded: tuple[float, ...]) -> DataFrame:
+    """(count, min, max, mean, median, deviation) of a measure without the placeholders ``excluded``."""
+    v = cells(table, [name]).where(F.col("value").isNotNull() & ~F.col("value").isin(*excluded)).select("column", "value")
+    basic = v.groupBy("column").agg(
+        F.count(F.lit(1)).alias("count"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.avg("value").alias("mean"),
+        F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("deviation"),
+    )
+    return basic.join(quartiles(v, ["column"]).select("column", "median"), "column").drop("column")
+
+
+def distribution_kind(kind: str, present: int, distinct: int) -> str:
+    """How a column is best shown: ``histogram`` of a measure, ``lengths`` of free text, else a ``ranking``."""
+    if kind != "text":
+        return "histogram"
+    return "lengths" if present and distinct / present > 0.6 else "ranking"

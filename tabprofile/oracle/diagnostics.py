@@ -164,4 +164,68 @@ def findings(spark, sf_dir):
     return D.findings(_dirty(spark, sf_dir))
 
 
+#: Codes with leading zeros, prices with spellings of a missing value, notes with damaged accents.
+_CODE = "lpad(cast(c_custkey as string), 5, '0')"
+_PRICE = "CASE WHEN c_custkey % 6 = 0 THEN 'NULL' WHEN c_custkey % 10 = 1 THEN '-' ELSE cast(c_custkey as string) END"
+_NOTE = "CASE WHEN c_custkey % 50 = 0 THEN 'TrÃ¨s bon' WHEN c_custkey % 50 = 1 THEN 'Ça va' ELSE 'bon' END"
+
+
+def _written(spark, sf_dir):
+    extra = {"code": F.expr(_CODE), "price": F.expr(_PRICE), "note": F.expr(_NOTE)}
+    return table(spark, sf_dir, "customer", ["code", "price", "note"], extra)
+
+
+@R.add("""SELECT 'code' AS "column" """)
+def leading_zeros(spark, sf_dir):
+    return D.leading_zeros(_written(spark, sf_dir))
+
+
+@R.add("""SELECT 'price' AS "column", '-, NULL' AS tokens""")
+def would_be_numeric(spark, sf_dir):
+    return D.would_be_numeric(_written(spark, sf_dir)).withColumn("tokens", F.array_join("tokens", ", "))
+
+
+@R.add("""SELECT 'note' AS "column", 'TrÃ¨s bon' AS raw, 'Très bon' AS fixed, count(*) AS n FROM customer WHERE c_custkey % 50 = 0""")
+def garbled(spark, sf_dir):
+    return D.garbled(_written(spark, sf_dir))
+
+
+@R.add(
+    """SELECT 'number' AS kind, value, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 11 = 0 THEN 'x' || (c_custkey % 3) END AS value FROM customer)
+WHERE value IS NOT NULL GROUP BY value"""
+)
+def offenders(spark, sf_dir):
+    e = "CASE WHEN c_custkey % 11 = 0 THEN concat('x', c_custkey % 3) ELSE cast(c_custkey as string) END"
+    return D.offenders(table(spark, sf_dir, "customer", ["v"], {"v": F.expr(e)}), "v")
+
+
+@R.add(
+    """SELECT 'c_mktsegment' AS "column", 'text' AS kind, count(*) AS non_null, 'object' AS dtype FROM customer WHERE c_mktsegment IS NOT NULL
+UNION ALL SELECT 'c_acctbal', 'numeric', count(*), 'float64' FROM customer WHERE c_acctbal IS NOT NULL"""
+)
+def dataset_info(spark, sf_dir):
+    return D.dataset_info(table(spark, sf_dir, "customer", ["c_mktsegment", "c_acctbal"]))
+
+
+@R.add("SELECT p_partkey, concat_ws(',', p_partkey, '\"' || p_name || ', \"\"' || p_brand || '\"\"\"', '\"' || p_type || ' \"') AS line FROM part")
+def csv_lines(spark, sf_dir):
+    from ..plans.table import ROW
+    from ..sources.csv import csv_lines as lines
+
+    extra = {"p_name": F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')), "p_type": F.concat("p_type", F.lit(" "))}
+    t = table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type"], extra)
+    return lines(t, ",", header=False).select(F.col(ROW).alias("p_partkey"), "line")
+
+
+@R.add("SELECT c_custkey, unnest(range(0, 3))::INT AS col, unnest([c_name, '\"' || c_mktsegment || ',\"', c_nationkey::VARCHAR]) AS field FROM customer")
+def raw_segments(spark, sf_dir):
+    from ..sources.csv import raw_segments as segments
+    from .common import read
+
+    df = read(spark, sf_dir, "customer")
+    line = F.concat_ws(",", "c_name", F.concat(F.lit('"'), "c_mktsegment", F.lit(',"')), "c_nationkey")
+    out = df.select("c_custkey", F.explode(segments(line, ",")).alias("s")).where("s.column >= 0")
+    return out.select("c_custkey", F.col("s.column").alias("col"), F.col("s.text").alias("field"))
+
+
 QUERIES, ORACLE = R.queries, R.oracle

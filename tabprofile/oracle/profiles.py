@@ -242,4 +242,28 @@ def sort_numeric(spark, sf_dir):
     return top.select((rank - 1).alias("place"), "c_custkey")
 
 
+@R.add(
+    """WITH r AS (SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS rank, count(*) OVER () AS vals FROM (
+  SELECT p_name AS value, count(*) AS n FROM part GROUP BY 1))
+SELECT rank::INT AS rank, value AS label, n FROM r WHERE rank <= 20
+UNION ALL SELECT 21, 'Other (' || (any_value(vals) - 20) || ' values)', sum(n)::BIGINT FROM r WHERE rank > 20 HAVING count(*) > 0"""
+)
+def ranked_values(spark, sf_dir):
+    return P.ranked_values(table(spark, sf_dir, "part", ["p_name"]), "p_name")
+
+
+@R.add(
+    """SELECT count(*) AS "count", min(v) AS "min", max(v) AS "max", round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS deviation, round(median(v), 4) AS "median"
+FROM (SELECT CASE WHEN event_id % 40 = 0 THEN -999.0 ELSE value END::DOUBLE AS v FROM events) WHERE v <> -999"""
+)
+def summary_without(spark, sf_dir):
+    t = table(spark, sf_dir, "events", ["v"], {"v": F.expr("CASE WHEN event_id % 40 = 0 THEN -999.0D ELSE value END")})
+    return rounded(P.summary_without(t, "v", (-999.0,)), "mean", "deviation", "median")
+
+
+@R.add("SELECT length(trim(p_name)) AS length, count(*) AS n FROM part GROUP BY 1")
+def length_distribution(spark, sf_dir):
+    return P.length_distribution(table(spark, sf_dir, "part", ["p_name"]), "p_name")
+
+
 QUERIES, ORACLE = R.queries, R.oracle
