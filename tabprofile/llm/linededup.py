@@ -53,16 +53,19 @@ def _min_rank(counts: DataFrame, group: list[str], order: str, spread: Column) -
     )
 
 
-def _line_table(firsts: DataFrame, min_chars: int) -> DataFrame:
-    """Per line: its place, digest, and the lengths of the shortest long enough runs from it and up to it."""
-    lines = firsts.select("__id", "__t", F.posexplode(_lines(F.col("__text"))).alias("__ln", "__line")).select(
-        *_AT, F.md5("__line").alias("__d"), (F.length("__line") + 1).cast("long").alias("__c")
+def _line_table(named: DataFrame, heads: DataFrame, text_col: str, min_chars: int) -> DataFrame:
+    """Per line of the first documents: its place, digest, and the lengths of the shortest long enough runs from it and up to it.
+
+    Texts are taken apart where they are read; only digests and lengths are shuffled.
+    """
+    lines = named.select("__id", "__t", F.posexplode(_lines(F.col(text_col))).alias("__ln", "__line")).select(
+        *_AT, F.unhex(F.md5("__line")).alias("__d"), (F.length("__line") + 1).cast("long").alias("__c")
     )
+    lines = lines.join(heads, ["__id", "__t"], "left_semi")
     doc = W.partitionBy("__id", "__t")
     one = lines.groupBy(*_AT).agg(F.first("__d").alias("__d"), F.first("__c").alias("__c"))
     placed = (
-        one.repartition("__id", "__t")
-        .withColumn("__end", F.sum("__c").over(doc.orderBy("__ln")))
+        one.withColumn("__end", F.sum("__c").over(doc.orderBy("__ln")))
         .withColumn("__start", F.col("__end") - F.col("__c"))
         .withColumn("__all", F.sum("__c").over(doc))
     )
@@ -81,7 +84,7 @@ def _first_level(lines: DataFrame) -> DataFrame:
     counts = lines.groupBy("__d").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     counts = settle(counts)
     bits = bits_for(counts.count(), 4096)
-    bucket = F.shiftright(F.conv(F.substring("__d", 1, 8), 16, 10).cast("long"), 32 - bits)
+    bucket = F.shiftright(F.conv(F.hex(F.substring("__d", 1, 4)), 16, 10).cast("long"), 32 - bits)
     inner = W.partitionBy("__bucket").orderBy("__d").rowsBetween(W.unboundedPreceding, -1)
     cut = counts.withColumn("__bucket", bucket)
     sums = cut.groupBy("__bucket").agg(F.sum("__n").alias("__sum"))  # at most 2**bits rows
@@ -170,27 +173,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = list(docs.columns)
     # A struct is never null and its fields compare as equal when both are: null ids need no joins of their own.
     order = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"))
-    named = docs.withColumns({"__id": order, "__digest": F.md5(F.col(text_col)), "__t": F.xxhash64(text_col)})
+    named = docs.withColumns({"__id": order, "__t": F.xxhash64(text_col)})
     heads = settle(
         named.where(F.col(text_col).isNotNull())
-        .groupBy(F.col("__digest").alias("__hd"))
-        .agg(F.min("__id").alias("__hid"))
+        .groupBy(F.md5(F.col(text_col)).alias("__digest"))
+        .agg(F.min("__id").alias("__id"), F.first("__t").alias("__t"))  # equal texts have equal hashes
+        .select("__id", "__t")
     )
-    # The digest alone would bring all copies of a text to one task; with the id it does not.
-    is_head = (F.col("__digest") == F.col("__hd")) & (F.col("__id") == F.col("__hid"))
-    firsts = named.join(heads, is_head, "left_semi").select("__id", "__t", F.col(text_col).alias("__text"))
-    lines = settle(_line_table(firsts, min_chars))
+    lines = settle(_line_table(named, heads, text_col, min_chars))
     gone = (
         later_copies(lines)
         .select("__id", "__t", F.explode(F.sequence("__ln", F.col("__ln") + F.col("__len") - 1)).alias("__ln"))
-        .groupBy(F.col("__id").alias("__gid"), F.col("__t").alias("__gt"))
+        .groupBy("__id", "__t")
         .agg(F.sort_array(F.collect_set("__ln")).alias("__gone"))
     )
-    marked = (
-        named.join(heads.withColumn("__first", F.lit(True)), is_head, "left")
-        .join(gone, (F.col("__id") == F.col("__gid")) & (F.col("__t") == F.col("__gt")), "left")
-        .withColumn("__lines", _lines(F.col(text_col)))
-    )
+    # All that is known about a first document in one row, so that the texts are shuffled once.
+    marks = settle(heads.join(gone, ["__id", "__t"], "left").withColumn("__first", F.lit(True)))
+    marked = named.join(marks, ["__id", "__t"], "left").withColumn("__lines", _lines(F.col(text_col)))
     n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("__lines"))
     copy = F.col("__first").isNull() & F.col(text_col).isNotNull() & (F.length(text_col) + 1 >= min_chars)
     # Lines between deleted runs, taken by slices.
