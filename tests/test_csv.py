@@ -61,7 +61,7 @@ def test_round_trip_and_copies(spark, tmp_path):
     assert lines == ["2\ta;b", "4\t"]
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.text(alphabet='ab,"\n ', max_size=6), min_size=3, max_size=3), min_size=1, max_size=8))
 def test_any_cells_come_back(spark, tmp_path, cells):
     out = io.StringIO()
