@@ -23,6 +23,7 @@ HASHES = 3
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _CHECK = np.uint64(0xD6E8FEB86659FD93)
 _ROWS = np.arange(HASHES)[:, None]
+_ONE, _MINUS = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def paragraph_digests(text: str | None) -> np.ndarray:
@@ -54,53 +55,72 @@ def _check(keys: np.ndarray) -> np.ndarray:
 
 
 class Sketch:
-    """Cells of (count, sum of keys, sum of checks), the sums modulo 2**64."""
+    """Cells of (count, sum of keys, sum of checks), all modulo 2**64, one array after the other in ``data``."""
 
-    __slots__ = ("count", "keys", "checks")
+    __slots__ = ("data", "cells")
 
-    def __init__(self, count: np.ndarray, keys: np.ndarray, checks: np.ndarray):
-        self.count, self.keys, self.checks = count, keys, checks
+    def __init__(self, data: np.ndarray):
+        self.data, self.cells = data, len(data) // 3
+
+    @property
+    def count(self) -> np.ndarray:
+        return self.data[: self.cells].view(np.int64)
+
+    @property
+    def keys(self) -> np.ndarray:
+        return self.data[self.cells : 2 * self.cells]
+
+    @property
+    def checks(self) -> np.ndarray:
+        return self.data[2 * self.cells :]
 
     @classmethod
     def of(cls, keys: np.ndarray, cells: int) -> Sketch:
-        out = cls(np.zeros(cells, np.int64), np.zeros(cells, np.uint64), np.zeros(cells, np.uint64))
-        out._add(keys, 1)
+        out = cls(np.zeros(3 * cells, np.uint64))
+        out._add(keys, _ONE)
+        return out
+
+    @classmethod
+    def of_difference(cls, a: np.ndarray, b: np.ndarray, cells: int) -> Sketch:
+        out = cls.of(a, cells)
+        out._add(b, _MINUS)
         return out
 
-    def _add(self, keys: np.ndarray, sign: int) -> None:
+    def _add(self, keys: np.ndarray, sign: np.ndarray) -> None:
+        """Add each key ``sign`` times (modulo 2**64; one sign or one for each key)."""
         if not len(keys):
             return
-        at = _cells(keys, len(self.count)).ravel()
-        unsigned = np.uint64(1) if sign > 0 else np.uint64(0xFFFFFFFFFFFFFFFF)
-        self.count += sign * np.bincount(at, minlength=len(self.count))
-        np.add.at(self.keys, at, np.tile(keys * unsigned, HASHES))
-        np.add.at(self.checks, at, np.tile(_check(keys) * unsigned, HASHES))
+        at = _cells(keys, self.cells)
+        values = np.empty((3, HASHES, len(keys)), np.uint64)
+        values[0] = sign
+        values[1] = keys * sign
+        values[2] = _check(keys) * sign
+        places = np.empty((3, HASHES, len(keys)), np.int64)
+        for k in range(3):
+            np.add(at, k * self.cells, out=places[k])
+        np.add.at(self.data, places.ravel(), values.ravel())
 
     def minus(self, other: Sketch) -> Sketch:
-        return Sketch(self.count - other.count, self.keys - other.keys, self.checks - other.checks)
+        return Sketch(self.data - other.data)
 
     def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
         """Keys only in the first and only in the second set; None if cells are left over.  Uses the sketch up."""
-        mine: list[np.ndarray] = []
-        theirs: list[np.ndarray] = []
-        for _ in range(len(self.count) + 1):
-            before = len(mine), len(theirs)
-            for sign, found in ((1, mine), (-1, theirs)):
-                at = np.flatnonzero(self.count == sign)
-                if not len(at):
-                    continue
-                key = self.keys[at] if sign > 0 else np.uint64(0) - self.keys[at]
-                check = self.checks[at] if sign > 0 else np.uint64(0) - self.checks[at]
-                pure = (check == _check(key)) & (_cells(key, len(self.count)) == at).any(axis=0)
-                if pure.any():
-                    found.append(keys := np.unique(key[pure]))
-                    self._add(keys, -sign)
-            if before == (len(mine), len(theirs)):
+        keys: list[np.ndarray] = [np.zeros(0, np.uint64)]
+        signs: list[np.ndarray] = [np.zeros(0, np.uint64)]
+        while len(at := np.flatnonzero(np.abs(self.count) == 1)):
+            sign = self.data[at]
+            key = self.keys[at] * sign
+            pure = self.checks[at] * sign == _check(key)
+            if not pure.any():
                 break
-        if self.count.any() or self.keys.any() or self.checks.any():
+            key, first = np.unique(key[pure], return_index=True)
+            keys.append(key)
+            signs.append(sign := sign[pure][first])
+            self._add(key, np.uint64(0) - sign)
+        if self.data.any():
             return None
-        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        return join(mine), join(theirs)
+        key, sign = np.concatenate(keys), np.concatenate(signs)
+        return key[sign == _ONE], key[sign == _MINUS]
 
     def text(self, n: int) -> str:
         """The sketch and the number of paragraphs as a string: counts in 4 bytes, sums in 6 and 4."""
@@ -121,7 +141,7 @@ def difference(a: np.ndarray, b: np.ndarray, base: tuple[Sketch, Sketch] | None
     while found is None:
         cells = max(2 * cells, HASHES * -(-3 * (len(a) + len(b)) // (2 * HASHES)) + 3 * HASHES)
         cells += -cells % HASHES
-        found = Sketch.of(a, cells).minus(Sketch.of(b, cells)).peel()
+        found = Sketch.of_difference(a, b, cells).peel()
     return found
 
 
