@@ -132,9 +132,11 @@ def later_copies(lines: DataFrame) -> DataFrame:
         members = own.join(level, _AT).join(last, same).select(*_AT, "__len", "__r", "__r2")
         key = ["__len", "__r", "__r2"]
         intervals = members.groupBy(*key).agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__n"))
+        # Settled, it is a small table of its own: the join may then split the rows of a frequent line.
+        intervals = settle(intervals.where("__n > 1").drop("__n"))
         copies = (
             members.withColumn("__place", place)
-            .join(intervals.where("__n > 1"), key)
+            .join(intervals, key)
             .where(F.col("__place") > F.col("__first"))
             .select(*_AT, "__len")
         )
