@@ -116,7 +116,7 @@ def numeric_placeholders(table: Table, names: list[str] | None = None) -> DataFr
     fences of all other values.
     """
     names = [c.name for c in table.columns if c.kind == "numeric" and (names is None or c.name in names)]
-    rows = cells(table, names).where("value is not null").select("column", "value")
+    rows = cells(table, names, None).where("value is not null").select("column", "value")
     f = rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     spread = F.col("q3") - F.col("q1")
     out = (F.col("value") < F.col("q1") - 1.5 * spread) | (F.col("value") > F.col("q3") + 1.5 * spread)
@@ -207,7 +207,7 @@ def sequence_gaps(table: Table, name: str) -> DataFrame:
 
 def near_key_repeats(table: Table, names: list[str] | None = None) -> DataFrame:
     """(column, values, rows, distinct): values that repeat in a column that is nearly a key."""
-    f = frequencies(table, names).where("not blank")
+    f = frequencies(table, names, "identity").where("not blank")
     numeric = [c.name for c in table.columns if c.kind == "numeric"]
     whole = F.coalesce(F.bool_and(F.when(F.col("column").isin(*numeric), F.col("value") == F.floor("value"))), F.lit(True))
     facts = f.groupBy("column").agg(

@@ -76,7 +76,7 @@ def fences() -> tuple[Column, Column]:
 
 def counts(table: Table, names: list[str] | None = None) -> DataFrame:
     """Per column: total, missing, present, distinct, unique; distinct and unique are of raw, present values."""
-    f = frequencies(table, names)
+    f = frequencies(table, names, "identity")
     n = F.col("n")
     return f.groupBy("column").agg(
         F.sum("n").alias("total"),
@@ -93,7 +93,7 @@ def measures(table: Table, names: list[str] | None = None) -> DataFrame:
     The deviation of a single value is 0.  Unreadable cells take no part.
     """
     names = [c.name for c in table.columns if c.measurable and (names is None or c.name in names)]
-    values = cells(table, names).where(F.col("value").isNotNull()).select("column", "value")
+    values = cells(table, names, None).where(F.col("value").isNotNull()).select("column", "value")
     basic = values.groupBy("column").agg(
         F.min("value").alias("min"),
         F.max("value").alias("max"),
@@ -142,7 +142,7 @@ def histogram(table: Table, names: list[str] | None = None, bins: int = BINS) ->
         F.when(clip, F.least("high", "max")).otherwise(F.col("max")).alias("to"),
     )
     names = [c.name for c in table.columns if c.measurable and (names is None or c.name in names)]
-    values = cells(table, names).where(F.col("value").isNotNull())
+    values = cells(table, names, None).where(F.col("value").isNotNull())
     width = F.col("to") - F.col("from")
     place = F.floor((F.col("value") - F.col("from")) / F.when(width > 0, width) * bins)
     bin_ = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(bins - 1), place)), F.lit(0)).cast("int")
@@ -230,7 +230,7 @@ def ranked_values(table: Table, name: str, k: int = 20) -> DataFrame:
 
 def summary_without(table: Table, name: str, excluded: tuple[float, ...]) -> DataFrame:
     """(count, min, max, mean, median, deviation) of a measure without the placeholders ``excluded``."""
-    v = cells(table, [name]).where(F.col("value").isNotNull() & ~F.col("value").isin(*excluded)).select("column", "value")
+    v = cells(table, [name], None).where(F.col("value").isNotNull() & ~F.col("value").isin(*excluded)).select("column", "value")
     basic = v.groupBy("column").agg(
         F.count(F.lit(1)).alias("count"),
         F.min("value").alias("min"),
