@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .common import settle, without
@@ -30,11 +30,12 @@ SEED = 42
 SKETCH_BITS = 16
 #: Up to this many different fingerprints three partitions are cheapest, beyond it two.
 THREE_PARTITIONS_UP_TO = 1 << 24
+#: Ids (about 100 bytes each) up to which they are broadcast.
+BROADCAST_IDS = 200_000
 #: A probe costs about this many candidates.
 PROBE_COST = 0.1
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CHUNK = 1 << 16
 
 
@@ -177,13 +178,25 @@ def partitions_for(n: int, radius: int) -> int:
     return min(range(2, min(4, radius + 1) + 1), key=cost) if radius else 1
 
 
-def links(fps: DataFrame, radius: int = 3, col: str = "fp", parts: int | None = None) -> DataFrame:
-    """Pairs (a, b), a < b, of different fingerprints that differ in at most ``radius`` bits; each pair once.
+def links(
+    fps: DataFrame,
+    radius: int = 3,
+    col: str = "fp",
+    parts: int | None = None,
+    order: str | None = None,
+    of: DataFrame | None = None,
+    firsts: bool = False,
+) -> DataFrame:
+    """Pairs (a, b), a before b, of different fingerprints that differ in at most ``radius`` bits; each pair once.
 
     ``fps`` holds each fingerprint once and is read several times, so it
-    should be a settled table.
+    should be a settled table.  Before is by the unique long ``order``, or by
+    the fingerprint itself.  ``of`` limits b to some of the fingerprints;
+    with ``firsts`` only the first a of each index entry that b probes is looked at.
     """
-    spark, fps = fps.sparkSession, fps.select(F.col(col).alias("fp"))
+    wanted = [F.col(col).alias("fp"), F.col(order or col).alias("o")]
+    spark, fps = fps.sparkSession, fps.select(*wanted)
+    of = fps if of is None else of.select(*wanted)
     n = fps.count()
     parts = parts or (3 if n <= THREE_PARTITIONS_UP_TO else 2)
     pack = lambda batch: batch["fp"].to_numpy(np.int64).view(np.uint64)
@@ -236,22 +249,25 @@ def links(fps: DataFrame, radius: int = 3, col: str = "fp", parts: int | None =
                     for at in np.array_split(own := np.flatnonzero(chosen[i] == t), max(1, len(own_masks := masks[i][t]) * len(own) // 200_000)):
                         if len(at):
                             probes = (value[at, None] ^ own_masks[None, :]).ravel()
-                            yield pd.DataFrame(
-                                {"part": np.full(len(probes), i), "value": probes.astype(np.int64), "b": np.repeat(fp[at].view(np.int64), len(own_masks))}
-                            )
+                            out = {"part": np.full(len(probes), i), "value": probes.astype(np.int64), "b": np.repeat(fp[at].view(np.int64), len(own_masks))}
+                            yield pd.DataFrame(out | ({"bo": np.repeat(batch["o"].to_numpy()[at], len(own_masks))} if order else {}))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         groups = shared.value[0]
         for batch in batches:
             fp = pack(batch)
             for i, g in enumerate(groups):
-                yield pd.DataFrame(
-                    {"ipart": np.full(len(fp), i), "ivalue": gather_bits(fp, g).astype(np.int64), "a": fp.view(np.int64)}
-                )
-
-    probes = fps.mapInPandas(probe, "part int, value long, b long")
-    stored = fps.mapInPandas(index, "ipart int, ivalue long, a long")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+                out = {"ipart": np.full(len(fp), i), "ivalue": gather_bits(fp, g).astype(np.int64), "a": fp.view(np.int64)}
+                yield pd.DataFrame(out | ({"ao": batch["o"].to_numpy()} if order else {}))
+
+    bo, ao = (", bo long", ", ao long") if order else ("", "")
+    probes = of.mapInPandas(probe, "part int, value long, b long" + bo)
+    stored = fps.mapInPandas(index, "ipart int, ivalue long, a long" + ao)
+    if firsts:
+        first = F.min(F.struct(F.col("ao" if order else "a").alias("o"), F.col("a").alias("v")))
+        stored = stored.groupBy("ipart", "ivalue").agg(first.alias("m")).select("ipart", "ivalue", F.col("m.v").alias("a"), F.col("m.o").alias("ao"))
+    earlier = F.col("ao") < F.col("bo") if order else F.col("a") < F.col("b")
+    near = earlier & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     same = (F.col("part") == F.col("ipart")) & (F.col("value") == F.col("ivalue"))
     return probes.join(stored, same & near).select("a", "b").distinct()
 
@@ -323,19 +339,16 @@ def near_duplicates(
         F.nullif(F.coalesce("least", "first"), F.lit(last)).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
-    return prints.join(classes, "fp").select(
+    # Settled, so that the last join stands alone and may split the rows of a fingerprint that many texts share.
+    return prints.join(settle(classes), "fp").select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "fp", "component_id", "n_links"
     )
 
 
-def shingle_hashes(text: Column, words: int = 5) -> Column:
-    """Distinct hashes of the word shingles of a text; a shorter text is one shingle, one without words has none."""
-    w = F.filter(F.split(F.translate(text, _UPPER, _UPPER.lower()), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    n = F.greatest(F.size(w), F.lit(1))
-    # Zipped with its own tails: an index into the words would split the text again for each of them.
-    tails = F.arrays_zip(*[F.slice(w, k + 1, n).alias(f"w{k}") for k in range(words)])
-    full = F.slice(tails, 1, F.greatest(n - (words - 1), F.lit(1)))
-    return F.array_distinct(F.transform(full, lambda x: F.xxhash64(*[x[f"w{k}"] for k in range(words)])))
+def word_shingles(text: str, words: int = 5) -> set[tuple[str, ...]]:
+    """The distinct word shingles of a text; a shorter text is one shingle, one without words has none."""
+    w = text.encode().translate(_LOWER).split()
+    return set(zip(*(w[k:] for k in range(words)))) or ({tuple(w)} if w else set())
 
 
 def drop_near_copies(
@@ -367,40 +380,65 @@ def drop_near_copies(
     those of ``docs``.
     """
     kept = list(docs.columns)
-    order = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.md5(text_col).alias("digest"))
-    named = docs.withColumn("__me", order)
-    heads = settle(
-        named.where(F.col(text_col).isNotNull()).groupBy(F.col("__me.digest").alias("__d")).agg(F.min("__me").alias("__head"))
-    ).select("__head")
-    firsts = named.join(heads, F.col("__me") == F.col("__head"), "left_semi").select("__me", F.col(text_col).alias("__text"))
-    prints = settle(
-        with_fingerprints(firsts, "__text", 1, "fp", distinct=True)
-        .where(F.rlike("__text", F.lit(r"[^\x20\x09-\x0D]")))
-        .select("__me", "fp")
-        .dropDuplicates(["__me"])
-    )
-    unique = settle(prints.groupBy("fp").agg(F.min("__me").alias("__rep")))
-    pairs = links(unique, radius, parts=partitions_for(unique.count(), radius))
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(unique, F.col("b") == F.col("fp")).select(F.col("a").alias("fp"), "__rep").unionByName(unique)
-    tries = prints.join(near, "fp").where(F.col("__rep") < F.col("__me")).select("__me", "__rep")
+    me = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.md5(text_col).alias("digest"))
+    named = docs.withColumn("__me", me)
+    texts = named.where(F.col(text_col).isNotNull()).select("__me", F.col(text_col).alias("__text"))
+    wordy = F.rlike("__text", F.lit(r"[^\x20\x09-\x0D]")).alias("__wordy")
+    # The one pass over all texts; what follows works on ids and fingerprints.
+    all_ = settle(with_fingerprints(texts, "__text", 1, "fp", distinct=True).select("__me", "fp", wordy))
+    heads = settle(all_.groupBy(F.col("__me.digest").alias("__d")).agg(F.min("__me").alias("__me")).select("__me"))
+    prints = settle(all_.where("__wordy").select("__me", "fp").join(heads, "__me", "left_semi").dropDuplicates(["__me"]))
+    unique = prints.groupBy("fp").agg(F.min("__me").alias("__rep")).orderBy("__rep")
+    unique = settle(unique.withColumn("__o", F.monotonically_increasing_id()))  # numbers in the order of the texts
+    parts = partitions_for(unique.count(), radius)
+    own = prints.join(unique, "fp").where(F.col("__rep") < F.col("__me")).select("__me", "__rep")
+    # First the earliest candidates only: they settle most of a large group before its pairs are drawn up.
+    early = links(unique, radius, parts=parts, order="__o", firsts=True)
+    early = _candidates(early, unique, prints).unionByName(own)
+    bad = _verified(early, texts, similarity, words)
+    left = settle(prints.join(bad, "__me", "left_anti"))
+    open_ = settle(unique.join(left.select("fp").distinct(), "fp", "left_semi"))
+    pairs = links(unique, radius, parts=parts, order="__o", of=open_)
+    bad = bad.unionByName(_verified(_candidates(pairs, unique, left), texts, similarity, words))
+    keeps = heads.join(bad, "__me", "left_anti")
+    gone = settle(all_.select("__me").distinct().join(keeps, "__me", "left_anti"))
+    return _only(named, gone, "left_anti").select(*[F.col(f"`{c}`") for c in kept])
+
+
+def _candidates(pairs: DataFrame, unique: DataFrame, prints: DataFrame) -> DataFrame:
+    """(__me, __rep): each text with the first, earlier texts of the fingerprints it is paired with."""
+    reps = settle(pairs).join(unique.select(F.col("fp").alias("a"), "__rep"), "a").select(F.col("b").alias("fp"), "__rep")
+    found = prints.join(reps, (prints["fp"] == reps["fp"]) & (reps["__rep"] < prints["__me"]))
+    return found.select("__me", "__rep")
+
+
+def _verified(tries: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The texts (__me) that one of their candidates (__rep) is similar enough to, verified in rounds of 1, 2, 4, ..."""
     turn = F.row_number().over(W.partitionBy("__me").orderBy("__rep"))
     tries = settle(tries.withColumn("__turn", turn))
     last = tries.agg(F.max("__turn")).first()[0] or 0
-    bad, size, at = None, 1, 1
+
+    @F.pandas_udf("boolean")
+    def near_enough(mine: pd.Series, theirs: pd.Series) -> pd.Series:
+        def one(a: set, b: set) -> bool:
+            shared = len(a & b)
+            return shared >= similarity * (len(a) + len(b) - shared)
+
+        return pd.Series([one(word_shingles(x, words), word_shingles(y, words)) for x, y in zip(mine, theirs)], dtype=bool)
+
+    ends = settle(tries.select("__me").unionByName(tries.select(F.col("__rep").alias("__me"))).distinct())
+    texts = settle(_only(texts, ends).dropDuplicates(["__me"]))
+    found, size, at = tries.select("__me").where(F.lit(False)), 1, 1
     while at <= last:
-        now = tries.where(F.col("__turn").between(at, at + size - 1)).drop("__turn")
-        if bad is not None:
-            now = now.join(bad, "__me", "left_anti")
-        mine = firsts.select("__me", shingle_hashes(F.col("__text"), words).alias("__mine"))
-        theirs = firsts.select(F.col("__me").alias("__rep"), shingle_hashes(F.col("__text"), words).alias("__theirs"))
-        both_ends = now.join(mine, "__me").join(theirs, "__rep")
-        shared = F.size(F.array_intersect("__mine", "__theirs"))
-        alike = shared / (F.size("__mine") + F.size("__theirs") - shared)
-        found = settle(both_ends.where(alike >= similarity).select("__me").distinct())
-        bad = found if bad is None else bad.unionByName(found)
+        now = tries.where(F.col("__turn").between(at, at + size - 1)).drop("__turn").join(found, "__me", "left_anti")
+        mine = texts.select("__me", F.col("__text").alias("__mine"))
+        theirs = texts.select(F.col("__me").alias("__rep"), F.col("__text").alias("__theirs"))
+        both = now.join(mine, "__me").join(theirs, "__rep")
+        found = found.unionByName(settle(both.where(near_enough("__mine", "__theirs")).select("__me").distinct()))
         at, size = at + size, 2 * size
-    keeps = named.join(heads, F.col("__me") == F.col("__head"), "left_semi")
-    if bad is not None:
-        keeps = keeps.join(bad, "__me", "left_anti")
-    return keeps.unionByName(named.where(F.col(text_col).isNull())).select(*[F.col(f"`{c}`") for c in kept])
+    return found
+
+
+def _only(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose ``__me`` is (or is not) among settled ids, which are broadcast if they are few."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "__me", how)
