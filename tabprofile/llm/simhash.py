@@ -19,10 +19,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import settle, without
+from .common import bits_for, settle, without
 
 BITS = 64
 SEED = 42
@@ -37,6 +37,9 @@ PROBE_COST = 0.1
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _CHUNK = 1 << 16
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Texts of a shared shingle that are paired by one task at a time.
+LIST_ROWS = 1000
 
 
 def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False) -> int:
@@ -351,6 +354,106 @@ def word_shingles(text: str, words: int = 5) -> set[tuple[str, ...]]:
     return set(zip(*(w[k:] for k in range(words)))) or ({tuple(w)} if w else set())
 
 
+def shingle_hashes(text: str, words: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of :func:`word_shingles`, sorted."""
+    w = text.encode().translate(_LOWER).split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(x, SEED) for x in w), np.uint64, len(w))
+    size = min(words, len(w))
+    out = np.zeros(len(w) - size + 1, np.uint64)
+    for k in range(size):
+        out = out * _FACTOR + h[k : len(w) - size + 1 + k]
+    out = (out ^ (out >> np.uint64(32))) * _FACTOR
+    return np.unique(out ^ (out >> np.uint64(29)))
+
+
+def shingle_ranks(texts: DataFrame, n: int, words: int) -> np.ndarray:
+    """About how many texts have a shingle, by the leading bits of its hash; ``n`` texts, rows (text)."""
+    bits = bits_for(n * 16, 1, 16, 24)
+    pieces = 64
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(1 << bits, np.int32)
+        for batch in batches:
+            for text in batch["text"]:
+                np.add.at(counts, (shingle_hashes(text, words) >> np.uint64(64 - bits)).astype(np.int64), 1)
+        counts = np.minimum(counts, 255).astype(np.uint8).reshape(pieces, -1)
+        if counts.any():
+            yield pd.DataFrame({"piece": np.arange(pieces), "counts": [c.tobytes() for c in counts]})
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((1 << bits) // pieces, np.int64)
+        for c in rows["counts"]:
+            total += np.frombuffer(c, np.uint8)
+        return pd.DataFrame({"piece": rows["piece"].iloc[:1], "counts": [np.minimum(total, 65535).astype("<u2").tobytes()]})
+
+    schema = "piece int, counts binary"
+    ranks = np.zeros((pieces, (1 << bits) // pieces), np.uint16)
+    for r in texts.select("text").mapInPandas(count, schema).groupBy("piece").applyInPandas(add, schema).collect():  # 32 MB at most
+        ranks[r["piece"]] = np.frombuffer(r["counts"], "<u2")
+    return ranks.ravel()
+
+
+def sharing(texts: DataFrame, n: int, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """Pairs (a, b) of keys: all that may be at least ``similarity`` alike and have an open text; each pair once.
+
+    ``texts`` holds about ``n`` different texts as (key long, text, open
+    boolean).  Prefix filter: the shingles of each text are put in one order
+    for all, rare ones first.  The first shingle that two similar texts share
+    is, in both, among the first ``n - ceil(similarity * n) + 1`` of their n,
+    and as many as the similarity asks for must be left from there on.  The
+    ranks only make the lists short; any would find the same similar pairs.
+    """
+    ranks = shingle_ranks(texts, n, words)
+    shared = texts.sparkSession.sparkContext.broadcast(ranks)
+    bits = len(ranks).bit_length() - 1
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranks = shared.value
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            sizes = [len(h) for h, *_ in rows]
+            key, size, opened = (np.repeat([r[k] for r in rows], sizes) for k in (1, 2, 3))
+            left = size - np.concatenate([np.arange(k) for k in sizes])
+            hashes = np.concatenate([h for h, *_ in rows]).view(np.int64)
+            return pd.DataFrame({"h": hashes, "key": key, "n": size, "left": left, "open": opened})
+
+        rows, held = [], 0
+        for batch in batches:
+            for key, text, opened in zip(batch["key"], batch["text"], batch["open"]):
+                h = shingle_hashes(text, words)
+                if not (size := len(h)):
+                    continue
+                most = size - math.ceil(similarity * size - 1e-9) + 1
+                h = h[np.argsort(ranks[(h >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")[:most]]
+                rows.append((h, key, size, opened))
+                held += len(h)
+                if held >= _CHUNK:
+                    yield frame(rows)
+                    rows, held = [], 0
+        if rows:
+            yield frame(rows)
+
+    entries = texts.mapInPandas(prefixes, "h long, key long, n int, left int, open boolean")
+    one = F.struct("key", "n", "left", "open")
+    lists = entries.repartition("h").groupBy("h").agg(F.collect_list(one).alias("all"))
+    lists = lists.where((F.size("all") > 1) & F.exists("all", lambda x: x["open"]))
+    # A long list is cut, so that several tasks share its pairs.
+    starts = F.sequence(F.lit(0), F.size("all") - 1, F.lit(LIST_ROWS))
+    cut = lists.select("h", "all", F.explode(starts).alias("at")).repartition("h", "at")
+    each = cut.select("all", F.explode(F.slice("all", F.col("at") + 1, LIST_ROWS)).alias("mine")).where("mine.open")
+
+    def alike(a: Column) -> Column:
+        b = F.col("mine")
+        once = (a["key"] < b["key"]) | (~a["open"] & (a["key"] != b["key"]))
+        return once & (F.least(a["left"], b["left"]) >= similarity / (1 + similarity) * (a["n"] + b["n"]) - 1e-6)
+
+    found = each.select("mine", F.explode(F.filter("all", alike)).alias("theirs"))
+    return found.select(F.col("theirs.key").alias("a"), F.col("mine.key").alias("b")).distinct()
+
+
 def drop_near_copies(
     docs: DataFrame,
     similarity: float = 0.8,
@@ -362,12 +465,13 @@ def drop_near_copies(
     """The documents less those that an earlier one (by id) equals or nearly equals.
 
     Nearly equal are texts whose sets of ``words``-word shingles have a
-    Jaccard similarity of at least ``similarity``.  Candidates are texts whose
-    SimHash over distinct single words lies within ``radius`` bits: a change
-    of a word touches one feature of it and five shingles, so at a similarity
-    of 0.8 it turns 3 to 4 bits on average.  Texts of the same fingerprint
-    stand for each other: each is compared with the first text of its own and
-    of every near fingerprint.
+    Jaccard similarity of at least ``similarity``; every such pair counts.
+    SimHash over distinct single words, within ``radius`` bits, only comes
+    first: each text is compared with the first text of its own fingerprint
+    and the first of each index entry near it, which settles most of a large
+    group before its pairs are drawn up.  The texts that this leaves are
+    compared with all that :func:`sharing` pairs them with, which leaves out no
+    pair that is similar enough.
 
     Equal texts are found by digest before anything else.  A text's
     candidates are verified in rounds of 1, 2, 4, ... further ones until one
@@ -384,10 +488,11 @@ def drop_near_copies(
     named = docs.withColumn("__me", me)
     texts = named.where(F.col(text_col).isNotNull()).select("__me", F.col(text_col).alias("__text"))
     wordy = F.rlike("__text", F.lit(r"[^\x20\x09-\x0D]")).alias("__wordy")
-    # The one pass over all texts; what follows works on ids and fingerprints.
-    all_ = settle(with_fingerprints(texts, "__text", 1, "fp", distinct=True).select("__me", "fp", wordy))
+    # What follows works on ids and fingerprints, but for two passes over the texts that draw up the pairs.
+    prints_of = with_fingerprints(texts, "__text", 1, "fp", distinct=True)
+    all_ = settle(prints_of.select("__me", "fp", F.xxhash64("__text").alias("__key"), wordy))
     heads = settle(all_.groupBy(F.col("__me.digest").alias("__d")).agg(F.min("__me").alias("__me")).select("__me"))
-    prints = settle(all_.where("__wordy").select("__me", "fp").join(heads, "__me", "left_semi").dropDuplicates(["__me"]))
+    prints = settle(all_.where("__wordy").select("__me", "fp", "__key").join(heads, "__me", "left_semi").dropDuplicates(["__me"]))
     unique = prints.groupBy("fp").agg(F.min("__me").alias("__rep")).orderBy("__rep")
     unique = settle(unique.withColumn("__o", F.monotonically_increasing_id()))  # numbers in the order of the texts
     parts = partitions_for(unique.count(), radius)
@@ -395,11 +500,18 @@ def drop_near_copies(
     # First the earliest candidates only: they settle most of a large group before its pairs are drawn up.
     early = links(unique, radius, parts=parts, order="__o", firsts=True)
     early = _candidates(early, unique, prints).unionByName(own)
-    bad = _verified(early, texts, similarity, words)
-    left = settle(prints.join(bad, "__me", "left_anti"))
-    open_ = settle(unique.join(left.select("fp").distinct(), "fp", "left_semi"))
-    pairs = links(unique, radius, parts=parts, order="__o", of=open_)
-    bad = bad.unionByName(_verified(_candidates(pairs, unique, left), texts, similarity, words))
+    bad = settle(_verified(early, texts, similarity, words))
+    # Known texts: an equal one came before, or they are settled; the latter still stand for later ones.
+    copies = all_.select("__me").distinct().join(heads, "__me", "left_anti").select("__me", F.lit(True).alias("__copy"))
+    known = settle(copies.unionByName(bad.select("__me", F.lit(False).alias("__copy"))))
+    first = _only(texts, known, "left").where("__copy is null or not __copy")
+    first = first.select(F.xxhash64("__text").alias("key"), F.col("__text").alias("text"), F.isnull("__copy").alias("open"))
+    pairs = sharing(first, prints.count(), similarity, words)
+    ends = [prints.select(F.col("__key").alias(k), F.col("__me").alias(f"__{k}")) for k in ("a", "b")]
+    tries = pairs.join(ends[0], "a").join(ends[1], "b")
+    tries = tries.select(F.greatest("__a", "__b").alias("__me"), F.least("__a", "__b").alias("__rep"))
+    tries = tries.join(bad, "__me", "left_anti")
+    bad = bad.unionByName(_verified(tries, texts, similarity, words))
     keeps = heads.join(bad, "__me", "left_anti")
     gone = settle(all_.select("__me").distinct().join(keeps, "__me", "left_anti"))
     return _only(named, gone, "left_anti").select(*[F.col(f"`{c}`") for c in kept])

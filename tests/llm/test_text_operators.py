@@ -207,6 +207,35 @@ def test_near_copies_are_dropped_as_by_brute_force(spark):
     assert SH.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def _near_by_brute_force(rows):
+    """Ids that an earlier text equals or nearly equals."""
+    bad, earlier = set(), []
+    for d, t in sorted(rows):
+        s = SH.word_shingles(t)
+        if any(len(s & e) >= 0.8 * len(s | e) for e in earlier):
+            bad.add(d)
+        earlier.append(s)
+    return bad
+
+
+def test_near_copies_with_contiguous_edits_are_dropped(spark):
+    """Appended, cut, block-replaced and short texts: many lie further apart than the SimHash radius."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(120):
+        n = rng.choice([3, 6, 12, 40, 127, 300])
+        base = ["a%d" % rng.randrange(9000) for _ in range(n)]
+        new = ["b%d" % rng.randrange(9000) for _ in range(max(1, rng.randrange(n // 8, n // 4 + 1)))]
+        at = rng.randrange(n)
+        other = [base + new, base[: n - len(new)] or base, base[:at] + new + base[at + len(new) :]][k % 3]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    want = _near_by_brute_force(rows)
+    prints = {d: SH.fingerprint(t, 1, distinct=True) for d, t in rows}
+    assert sum((prints[d] ^ prints[d - 1]).bit_count() > 6 for d in want if d % 2) > 5
+    got = {r["doc_id"] for r in SH.drop_near_copies(docs_of(spark, rows)).collect()}
+    assert {d for d, _ in rows} - got == want
+
+
 # Sketches
 
 
