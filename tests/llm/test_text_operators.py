@@ -236,6 +236,19 @@ def test_near_copies_with_contiguous_edits_are_dropped(spark):
     assert {d for d, _ in rows} - got == want
 
 
+def test_texts_of_one_word_set_are_each_compared(spark):
+    """All orders of one word list share a fingerprint, so its first text cannot stand for the others."""
+    rng = random.Random(12)
+    words = ["v%d" % k for k in range(120)]
+    rows = []
+    for k in range(40):
+        base = rng.sample(words, len(words))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + base[:3]))]
+    assert len({SH.fingerprint(t, 1, distinct=True) for _, t in rows}) == 1
+    got = {r["doc_id"] for r in SH.drop_near_copies(docs_of(spark, rows)).collect()}
+    assert got == {2 * k for k in range(40)}
+
+
 # Sketches
 
 
