@@ -289,6 +289,18 @@ def test_versions(spark):
     assert SK.sketch_versions(docs_of(spark, [(None, "x"), (1, "y"), (1, "y")])).count() == 3
 
 
+def test_returned_fingerprints_peel(spark):
+    text = ". ".join("p%d q" % k for k in range(50))
+    docs = docs_of(spark, [(1, text), (2, text.replace("p7 ", "z7 ")), (3, text + ". more. yet")])
+    prints = {r["doc_id"]: SK.Sketch.read(r["fingerprint"]) for r in SK.sketch_versions(docs).collect()}
+    keys = {r["doc_id"]: SK.paragraph_digests(r["text"]) for r in docs.collect()}
+    for a, b in ((1, 2), (1, 3), (2, 1)):
+        assert prints[a][0] == len(keys[a])
+        mine, theirs = prints[a][1].minus(prints[b][1]).peel()
+        assert set(mine.tolist()) == set(keys[a].tolist()) - set(keys[b].tolist())
+        assert set(theirs.tolist()) == set(keys[b].tolist()) - set(keys[a].tolist())
+
+
 # Toxicity
 
 
