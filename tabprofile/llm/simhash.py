@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bits_for, settle, without
@@ -38,8 +38,6 @@ PROBE_COST = 0.1
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _CHUNK = 1 << 16
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Texts of a shared shingle that are paired by one task at a time.
-LIST_ROWS = 1000
 
 
 def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False) -> int:
@@ -397,14 +395,18 @@ def shingle_ranks(texts: DataFrame, n: int, words: int) -> np.ndarray:
 
 
 def sharing(texts: DataFrame, n: int, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """Pairs (a, b) of keys: all that may be at least ``similarity`` alike and have an open text; each pair once.
-
-    ``texts`` holds about ``n`` different texts as (key long, text, open
-    boolean).  Prefix filter: the shingles of each text are put in one order
-    for all, rare ones first.  The first shingle that two similar texts share
-    is, in both, among the first ``n - ceil(similarity * n) + 1`` of their n,
-    and as many as the similarity asks for must be left from there on.  The
-    ranks only make the lists short; any would find the same similar pairs.
+    """Pairs (a, b) of keys: all that may be at least ``similarity`` alike and have different roots; each pair once.
+
+    ``texts`` holds about ``n`` different texts as (key long, text, root
+    long).  Prefix filter: the shingles of each text are put in one order for
+    all, rare ones first.  The first shingle that two similar texts share is,
+    in both, among the first ``n - ceil(similarity * n) + 1`` of their n, and
+    as many as the similarity asks for must be left from there on.  The ranks
+    only make the lists short; any would find the same similar pairs.
+
+    The lists meet in one equi-join that tests sizes, places and roots before
+    a pair is a row.  No list is gathered, and Spark may split a shingle that
+    many texts have.
     """
     ranks = shingle_ranks(texts, n, words)
     shared = texts.sparkSession.sparkContext.broadcast(ranks)
@@ -415,20 +417,20 @@ def sharing(texts: DataFrame, n: int, similarity: float = 0.8, words: int = 5) -
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
             sizes = [len(h) for h, *_ in rows]
-            key, size, opened = (np.repeat([r[k] for r in rows], sizes) for k in (1, 2, 3))
+            key, root, size = (np.repeat([r[k] for r in rows], sizes) for k in (1, 2, 3))
             left = size - np.concatenate([np.arange(k) for k in sizes])
             hashes = np.concatenate([h for h, *_ in rows]).view(np.int64)
-            return pd.DataFrame({"h": hashes, "key": key, "n": size, "left": left, "open": opened})
+            return pd.DataFrame({"h": hashes, "key": key, "root": root, "n": size, "left": left})
 
         rows, held = [], 0
         for batch in batches:
-            for key, text, opened in zip(batch["key"], batch["text"], batch["open"]):
+            for key, text, root in zip(batch["key"], batch["text"], batch["root"]):
                 h = shingle_hashes(text, words)
                 if not (size := len(h)):
                     continue
                 most = size - math.ceil(similarity * size - 1e-9) + 1
                 h = h[np.argsort(ranks[(h >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")[:most]]
-                rows.append((h, key, size, opened))
+                rows.append((h, key, root, size))
                 held += len(h)
                 if held >= _CHUNK:
                     yield frame(rows)
@@ -436,99 +438,110 @@ def sharing(texts: DataFrame, n: int, similarity: float = 0.8, words: int = 5) -
         if rows:
             yield frame(rows)
 
-    entries = texts.mapInPandas(prefixes, "h long, key long, n int, left int, open boolean")
-    one = F.struct("key", "n", "left", "open")
-    lists = entries.repartition("h").groupBy("h").agg(F.collect_list(one).alias("all"))
-    lists = lists.where((F.size("all") > 1) & F.exists("all", lambda x: x["open"]))
-    # A long list is cut, so that several tasks share its pairs.
-    starts = F.sequence(F.lit(0), F.size("all") - 1, F.lit(LIST_ROWS))
-    cut = lists.select("h", "all", F.explode(starts).alias("at")).repartition("h", "at")
-    each = cut.select("all", F.explode(F.slice("all", F.col("at") + 1, LIST_ROWS)).alias("mine")).where("mine.open")
+    entries = texts.mapInPandas(prefixes, "h long, key long, root long, n int, left int")
+    x, y = entries.alias("x"), entries.alias("y")
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))
+    enough = F.least("x.left", "y.left") >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    found = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & smaller & enough)
+    return found.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
 
-    def alike(a: Column) -> Column:
-        b = F.col("mine")
-        once = (a["key"] < b["key"]) | (~a["open"] & (a["key"] != b["key"]))
-        return once & (F.least(a["left"], b["left"]) >= similarity / (1 + similarity) * (a["n"] + b["n"]) - 1e-6)
 
-    found = each.select("mine", F.explode(F.filter("all", alike)).alias("theirs"))
-    return found.select(F.col("theirs.key").alias("a"), F.col("mine.key").alias("b")).distinct()
-
-
-def drop_near_copies(
+def near_copy_classes(
     docs: DataFrame,
     similarity: float = 0.8,
     words: int = 5,
     radius: int = 6,
     id_col: str = "doc_id",
     text_col: str = "text",
-) -> DataFrame:
-    """The documents less those that an earlier one (by id) equals or nearly equals.
-
-    Nearly equal are texts whose sets of ``words``-word shingles have a
-    Jaccard similarity of at least ``similarity``; every such pair counts.
-    SimHash over distinct single words, within ``radius`` bits, only comes
-    first: each text is compared with the first text of its own fingerprint
-    and the first of each index entry near it, which settles most of a large
-    group before its pairs are drawn up.  The texts that this leaves are
-    compared with all that :func:`sharing` pairs them with, which leaves out no
-    pair that is similar enough.
-
-    Equal texts are found by digest before anything else.  A text's
-    candidates are verified in rounds of 1, 2, 4, ... further ones until one
-    holds, so the texts of a large group of near copies, which all have the
-    group's first text as a candidate, are each compared once.
-
-    Null ids come last and null texts are kept.  Rows equal in id and text are
-    kept or dropped together; texts without words equal each other only if
-    they are the same.  An empty table gives an empty result; the columns are
-    those of ``docs``.
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with texts, and the classes of near copies among their different texts; both settled.
+
+    First: ``__me`` (struct of null, id and text digest, which orders the
+    rows) of each row with a text.  Second: (``__me``, ``__root``) of the
+    first row of each different text, ``__root`` being the first of its class.
+    A class is what can be reached over pairs of texts whose sets of
+    ``words``-word shingles have a Jaccard similarity of at least
+    ``similarity``.
+
+    Equal texts are found by digest.  SimHash over distinct single words,
+    within ``radius`` bits by the generalised pigeonhole principle, pairs each
+    text with the first text of its own fingerprint and with those of the
+    first and the nearest fingerprint near it; verified pairs are links, which
+    gather most of a large group around few texts.  A radius reaches only
+    some of the pairs of 0.8 (about seven of eight), so :func:`sharing` pairs
+    what else may be similar and has no common root yet, which leaves out
+    nothing; these pairs are verified too.
     """
-    kept = list(docs.columns)
     me = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.md5(text_col).alias("digest"))
-    named = docs.withColumn("__me", me)
-    texts = named.where(F.col(text_col).isNotNull()).select("__me", F.col(text_col).alias("__text"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(me.alias("__me"), F.col(text_col).alias("__text"))
     wordy = F.rlike("__text", F.lit(r"[^\x20\x09-\x0D]")).alias("__wordy")
     # What follows works on ids and fingerprints, but for two passes over the texts that draw up the pairs.
     prints_of = with_fingerprints(texts, "__text", 1, "fp", distinct=True)
     all_ = settle(prints_of.select("__me", "fp", F.xxhash64("__text").alias("__key"), wordy))
-    heads = settle(all_.groupBy(F.col("__me.digest").alias("__d")).agg(F.min("__me").alias("__me")).select("__me"))
-    prints = settle(all_.where("__wordy").select("__me", "fp", "__key").join(heads, "__me", "left_semi").dropDuplicates(["__me"]))
+    row = F.struct("__me", "fp", "__key", "__wordy")
+    heads = settle(all_.groupBy(F.col("__me.digest").alias("__d")).agg(F.min(row).alias("r")).select("r.*"))
+    prints = heads.where("__wordy")
     unique = prints.groupBy("fp").agg(F.min("__me").alias("__rep")).orderBy("__rep")
     unique = settle(unique.withColumn("__o", F.monotonically_increasing_id()))  # numbers in the order of the texts
-    parts = partitions_for(unique.count(), radius)
-    own = prints.join(unique, "fp").where(F.col("__rep") < F.col("__me")).select("__me", "__rep")
-    # First the earliest candidates only: they settle most of a large group before its pairs are drawn up.
-    early = links(unique, radius, parts=parts, order="__o", firsts=True)
-    early = _candidates(early, unique, prints).unionByName(own)
-    bad = settle(_verified(early, texts, similarity, words))
-    # Known texts: an equal one came before, or they are settled; the latter still stand for later ones.
-    copies = all_.select("__me").distinct().join(heads, "__me", "left_anti").select("__me", F.lit(True).alias("__copy"))
-    known = settle(copies.unionByName(bad.select("__me", F.lit(False).alias("__copy"))))
+    early = links(unique, radius, parts=partitions_for(unique.count(), radius), order="__o", firsts=True)
+    early = settle(_similar(_candidates(early, unique, prints), texts, similarity, words))
+    roots = _roots(early)
+    # Texts that are not the first of their digest take no part; those with a root carry its key.
+    keys = prints.select(F.col("__me").alias("__root"), F.col("__key").alias("__rootkey"))
+    rooted = roots.join(keys, "__root").select("__me", "__rootkey", F.lit(False).alias("__copy"))
+    copies = all_.select("__me").distinct().join(heads, "__me", "left_anti")
+    known = settle(rooted.unionByName(copies.select("__me", F.lit(None).cast("long").alias("__rootkey"), F.lit(True).alias("__copy"))))
     first = _only(texts, known, "left").where("__copy is null or not __copy")
-    first = first.select(F.xxhash64("__text").alias("key"), F.col("__text").alias("text"), F.isnull("__copy").alias("open"))
+    key = F.xxhash64("__text")
+    first = first.select(key.alias("key"), F.col("__text").alias("text"), F.coalesce("__rootkey", key).alias("root"))
     pairs = sharing(first, prints.count(), similarity, words)
     ends = [prints.select(F.col("__key").alias(k), F.col("__me").alias(f"__{k}")) for k in ("a", "b")]
     tries = pairs.join(ends[0], "a").join(ends[1], "b")
     tries = tries.select(F.greatest("__a", "__b").alias("__me"), F.least("__a", "__b").alias("__rep"))
-    tries = tries.join(bad, "__me", "left_anti")
-    bad = bad.unionByName(_verified(tries, texts, similarity, words))
-    keeps = heads.join(bad, "__me", "left_anti")
-    gone = settle(all_.select("__me").distinct().join(keeps, "__me", "left_anti"))
-    return _only(named, gone, "left_anti").select(*[F.col(f"`{c}`") for c in kept])
+    late = settle(_similar(tries, texts, similarity, words))
+    if not late.isEmpty():
+        roots = _roots(early.unionByName(late))
+    return all_, heads.join(roots, "__me", "left").select("__me", F.coalesce("__root", "__me").alias("__root"))
+
+
+def drop_near_copies(
+    docs: DataFrame,
+    similarity: float = 0.8,
+    words: int = 5,
+    radius: int = 6,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One document of each class of equal and near-equal texts, the first by id; see :func:`near_copy_classes`.
+
+    Null ids come last and null texts are kept.  Rows equal in id and text are
+    kept or dropped together; texts without words equal each other only if
+    they are the same.  An empty table gives an empty result; the columns are
+    those of ``docs``.
+    """
+    rows, classes = near_copy_classes(docs, similarity, words, radius, id_col, text_col)
+    keeps = classes.where(F.col("__me") == F.col("__root")).select("__me")
+    gone = settle(rows.select("__me").distinct().join(keeps, "__me", "left_anti"))
+    me = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.md5(text_col).alias("digest"))
+    return _only(docs.withColumn("__me", me), gone, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _candidates(pairs: DataFrame, unique: DataFrame, prints: DataFrame) -> DataFrame:
-    """(__me, __rep): each text with the first, earlier texts of the fingerprints it is paired with."""
-    reps = settle(pairs).join(unique.select(F.col("fp").alias("a"), "__rep"), "a").select(F.col("b").alias("fp"), "__rep")
-    found = prints.join(reps, (prints["fp"] == reps["fp"]) & (reps["__rep"] < prints["__me"]))
-    return found.select("__me", "__rep")
+    """(__me, __rep): each text with earlier ones, at most three, however large the groups are.
 
+    They are the first text of its own fingerprint, and those of the first
+    and the nearest of the fingerprints that its own is paired with.
+    """
+    reps = pairs.join(unique.select(F.col("fp").alias("a"), "__rep"), "a")
+    bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    near = reps.groupBy(F.col("b").alias("fp")).agg(F.min("__rep").alias("__first"), F.min(F.struct(bits, "__rep")).alias("__near"))
+    each = unique.join(near, "fp", "left").select("fp", F.array("__rep", "__first", "__near.__rep").alias("__reps"))
+    found = prints.join(each, "fp").select("__me", F.explode(F.array_distinct("__reps")).alias("__rep"))
+    return found.where(F.col("__rep") < F.col("__me"))
 
-def _verified(tries: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The texts (__me) that one of their candidates (__rep) is similar enough to, verified in rounds of 1, 2, 4, ..."""
-    turn = F.row_number().over(W.partitionBy("__me").orderBy("__rep"))
-    tries = settle(tries.withColumn("__turn", turn))
-    last = tries.agg(F.max("__turn")).first()[0] or 0
+
+def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Those of the pairs (__me, __rep) whose texts are similar enough."""
 
     @F.pandas_udf("boolean")
     def near_enough(mine: pd.Series, theirs: pd.Series) -> pd.Series:
@@ -538,17 +551,20 @@ def _verified(tries: DataFrame, texts: DataFrame, similarity: float, words: int)
 
         return pd.Series([one(word_shingles(x, words), word_shingles(y, words)) for x, y in zip(mine, theirs)], dtype=bool)
 
-    ends = settle(tries.select("__me").unionByName(tries.select(F.col("__rep").alias("__me"))).distinct())
-    texts = settle(_only(texts, ends).dropDuplicates(["__me"]))
-    found, size, at = tries.select("__me").where(F.lit(False)), 1, 1
-    while at <= last:
-        now = tries.where(F.col("__turn").between(at, at + size - 1)).drop("__turn").join(found, "__me", "left_anti")
-        mine = texts.select("__me", F.col("__text").alias("__mine"))
-        theirs = texts.select(F.col("__me").alias("__rep"), F.col("__text").alias("__theirs"))
-        both = now.join(mine, "__me").join(theirs, "__rep")
-        found = found.unionByName(settle(both.where(near_enough("__mine", "__theirs")).select("__me").distinct()))
-        at, size = at + size, 2 * size
-    return found
+    pairs = settle(pairs)
+    ends = settle(pairs.select("__me").unionByName(pairs.select(F.col("__rep").alias("__me"))).distinct())
+    some = settle(_only(texts, ends).dropDuplicates(["__me"]))  # settled, so that the joins may split a text with many partners
+    mine = some.select("__me", F.col("__text").alias("__mine"))
+    theirs = some.select(F.col("__me").alias("__rep"), F.col("__text").alias("__theirs"))
+    return pairs.join(mine, "__me").join(theirs, "__rep").where(near_enough("__mine", "__theirs")).select("__me", "__rep")
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    """(__me, __root) of every text with a link."""
+    ends = edges.select("__me").unionByName(edges.select(F.col("__rep").alias("__me"))).distinct()
+    nodes = ends.select(F.col("__me").alias("node"), F.col("__me").alias("label"))
+    found = components(edges.select(F.col("__me").alias("a"), F.col("__rep").alias("b")), nodes)
+    return found.select(F.col("node").alias("__me"), F.col("root.label").alias("__root"))
 
 
 def _only(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:

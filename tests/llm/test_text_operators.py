@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -190,14 +191,12 @@ def test_near_copies_are_dropped_as_by_brute_force(spark):
         return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
     order = sorted({(d is None, d or 0, t) for d, t in rows if t is not None})
-    kept, seen, earlier = set(), set(), []
-    for null, d, t in order:
-        s = shingles(t)
-        near = t in seen or any(s and e and len(s & e) >= 0.8 * len(s | e) for e in earlier)
-        seen.add(t)
-        earlier.append(s)
-        if not near:
-            kept.add((None if null else d, t))
+    firsts = {}
+    for row in order:
+        firsts.setdefault(row[2], row)
+    heads = sorted(firsts.values())
+    root = _classes([shingles(t) for *_, t in heads])
+    kept = {(None if null else d, t) for k, (null, d, t) in enumerate(heads) if root[k] == k}
     docs = docs_of(spark, rows).withColumn("fp", F.lit("clash"))
     got = SH.drop_near_copies(docs)
     assert got.columns == docs.columns
@@ -207,15 +206,32 @@ def test_near_copies_are_dropped_as_by_brute_force(spark):
     assert SH.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def _classes(sets):
+    """The first member of each one's class, by number; sets without shingles are alone."""
+    root = list(range(len(sets)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    lists = {}
+    for k, s in enumerate(sets):
+        shared = Counter(j for x in s for j in lists.get(x, ()))
+        for j, n in shared.items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n):
+                a, b = sorted((top(j), top(k)))
+                root[b] = a
+        for x in s:
+            lists.setdefault(x, []).append(k)
+    return [top(k) for k in range(len(sets))]
+
+
 def _near_by_brute_force(rows):
-    """Ids that an earlier text equals or nearly equals."""
-    bad, earlier = set(), []
-    for d, t in sorted(rows):
-        s = SH.word_shingles(t)
-        if any(len(s & e) >= 0.8 * len(s | e) for e in earlier):
-            bad.add(d)
-        earlier.append(s)
-    return bad
+    """Ids that are not the first of their class."""
+    rows = sorted(rows)
+    root = _classes([SH.word_shingles(t) for _, t in rows])
+    return {d for k, (d, _) in enumerate(rows) if root[k] != k}
 
 
 def test_near_copies_with_contiguous_edits_are_dropped(spark):
@@ -249,6 +265,37 @@ def test_texts_of_one_word_set_are_each_compared(spark):
     assert got == {2 * k for k in range(40)}
 
 
+def test_near_copies_of_a_chain_and_a_hot_group(spark):
+    """Links go on over texts that are dropped; a large group of copies, light and heavy edits, is compared in full."""
+    rng = random.Random(13)
+    base = ["c%d" % rng.randrange(9000) for _ in range(100)]
+    chain = [base[k * 6 :] + ["d%d" % j for j in range(k * 6)] for k in range(6)]
+    rows = [(k if k else 50, " ".join(t)) for k, t in enumerate(chain)]  # the chain's start has the largest id
+    hot = ["e%d" % rng.randrange(9000) for _ in range(150)]
+    for k in range(400):
+        words = list(hot)
+        for _ in range(rng.randrange(1, 8)):
+            words[rng.randrange(150)] = "f%d" % rng.randrange(10**6)
+        rows.append((100 + k, " ".join(words)))
+    want = _near_by_brute_force(rows)
+    assert {2, 3, 4, 5, 50} <= want and len(want) < len(rows) - 2
+    got = {r["doc_id"] for r in SH.drop_near_copies(docs_of(spark, rows)).collect()}
+    assert {d for d, _ in rows} - got == want
+
+
+def test_near_copies_of_a_whole_table(spark):
+    """Every class of sf0.01, against an exact index of all shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    firsts = {}
+    for d, t in rows:
+        firsts.setdefault(t, d)
+    want = {d for d, t in rows if firsts[t] != d} | _near_by_brute_force([(d, t) for t, d in firsts.items()])
+    assert len(want) > len(rows) - len(firsts)  # near copies, too
+    got = {r["doc_id"] for r in SH.drop_near_copies(docs).collect()}
+    assert {d for d, _ in rows} - got == want
+
+
 # Sketches
 
 
