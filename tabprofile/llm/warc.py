@@ -1,12 +1,12 @@
 """Dictionary-compressed WARC archives (.warc.zst), written and read by Spark tasks.
 
 Layout of an archive: a skippable frame (magic 0x184D2A5D) that holds the
-Zstandard dictionary, then one frame per WARC record compressed with it.
-Spark's text writer puts the frames into files through its own commit
-protocol, so that archives can lie in any store that Spark writes to and a
-lost or repeated task leaves none of them damaged.  The writer's line
-separator is an empty skippable frame, which every Zstandard reader passes
-over.
+Zstandard dictionary, then one frame per WARC record compressed with it, the
+first of them a ``warcinfo`` record.  Spark's text writer puts the frames into
+files through its own commit protocol, so that archives can lie in any store
+that Spark writes to and a lost or repeated task leaves none of them damaged;
+then the files get their extension.  The writer's line separator is an empty
+skippable frame, which every Zstandard reader passes over.
 """
 
 from __future__ import annotations
@@ -67,13 +67,14 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
     )
 
 
-def record_id(value: str | None) -> str:
-    return "urn:page:" + ("null" if value is None else value)
+def record_id(value: str | None, digest: str) -> str:
+    """Rows that repeat an id have records of their own unless their payloads are equal, too."""
+    return f"urn:page:{'null' if value is None else value}:{digest[:32]}"
 
 
 def _parse_id(urn: str | None) -> int | None:
-    tail = (urn or "").strip("<>").rpartition(":")[2]
-    return None if tail in ("", "null") else int(tail)
+    value = (urn or "").strip("<>").split(":")[2:3]
+    return None if value in ([], ["null"]) else int(value[0])
 
 
 def _line(value) -> str:
@@ -87,7 +88,7 @@ def warc_record(page_id, url, payload: bytes, digest: str, kind: str, refers_to,
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <{record_id(page_id)}>",
+        f"WARC-Record-ID: <{record_id(page_id, digest)}>",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {_line(url)}",
         "Content-Type: application/http; msgtype=response",
@@ -97,12 +98,29 @@ def warc_record(page_id, url, payload: bytes, digest: str, kind: str, refers_to,
     if kind == "revisit":
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <{record_id(refers_to)}>",
+            f"WARC-Refers-To: <{record_id(refers_to, digest)}>",
         ]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def warcinfo(records: list[bytes], date: str) -> bytes:
+    """The record that describes an archive; its id follows from the archive's records."""
+    seen = hashlib.sha256()
+    for r in records:
+        seen.update(r)
+    block = b"software: tabprofile\r\nformat: WARC File Format 1.1\r\n"
+    head = [
+        "WARC/1.1",
+        "WARC-Type: warcinfo",
+        f"WARC-Record-ID: <urn:archive:{seen.hexdigest()[:32]}>",
+        f"WARC-Date: {date}",
+        "Content-Type: application/warc-fields",
+        f"Content-Length: {len(block)}",
+    ]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields (lower-case names) and payload of one record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -169,13 +187,15 @@ def write_archives(
     date: str = "1970-01-01T00:00:00Z",
     archive_bytes: int = ARCHIVE_BYTES,
 ) -> None:
-    """Write every page as a record to .warc.zst archives (text files of frames) below ``path``.
-
-    An archive is one task's file: rows are dealt evenly into as many tasks as
-    ``archive_bytes`` of payload ask for, and a task turns to a new dictionary
-    each ``archive_bytes``, so its memory is bounded.  Null
-    payloads are empty, a null URL is an empty field, extra columns are left
-    out; an empty table writes no records.
+    """Write every page as a record to archives ``part-*.warc.zst`` below ``path``.
+
+    A task turns to a new archive, with a dictionary of its own, each
+    ``archive_bytes``, so its memory is bounded.  Payloads are shuffled once
+    at most, to meet the first of their digest; where Spark sees that
+    repeated digests are few and broadcasts them, not at all.  Null payloads
+    are empty, a null URL is an empty field, extra columns are left out; rows
+    with a null id have records of the id ``null``, rows that repeat an id
+    each their own; an empty table writes no records.
     """
     cols = [id_col, url_col, "payload", "digest", "record_type", "refers_to"]
     planned = plan_records(pages.select(id_col, url_col, payload_col), id_col, payload_col).select(*cols)
@@ -186,7 +206,7 @@ def write_archives(
         held, size = [], 0
 
         def flush() -> pd.DataFrame:
-            return pd.DataFrame({"archive": pd.Series([_joined(held)], dtype=object)})
+            return pd.DataFrame({"archive": pd.Series([_joined(held, date)], dtype=object)})
 
         for batch in batches:
             for page_id, url, payload, digest, kind, ref in batch.itertuples(index=False, name=None):
@@ -199,21 +219,30 @@ def write_archives(
         if held:
             yield flush()
 
-    bytes_total = pages.agg(F.sum(F.octet_length(payload_col))).first()[0] or 0
-    tasks = max(1, -(-bytes_total // archive_bytes))
-    spread = planned.repartition(int(tasks))
     (
-        spread.mapInPandas(frames, "archive binary")
+        planned.mapInPandas(frames, "archive binary")
         .select(F.col("archive").cast("string").alias("value"))
         .write.option("lineSep", SEPARATOR)
         .option("maxRecordsPerFile", 1)
         .mode("errorifexists")
         .text(path)
     )
+    _rename(pages.sparkSession, path)
+
+
+def _joined(records: list[bytes], date: str) -> bytes:
+    """An archive; its dictionary is built from the records alone."""
+    return SEPARATOR.encode().join(archive_frames([warcinfo(records, date), *records]))
 
 
-def _joined(records: list[bytes]) -> bytes:
-    return SEPARATOR.encode().join(archive_frames(records))
+def _rename(spark: SparkSession, path: str) -> None:
+    """Give the committed files their extension: names only, through the file system of the path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for one in files.listStatus(folder):
+        name = one.getPath().getName()
+        if name.startswith("part-") and name.endswith(".txt"):
+            files.rename(one.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(".txt") + ".warc.zst"))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -233,6 +262,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for raw in read_archive(bytes(content)):
                     f, payload = parse_record(raw)
+                    if f["warc-type"] == "warcinfo":
+                        continue
                     digest, length = f["warc-payload-digest"].removeprefix("sha256:"), int(f["x-payload-length"])
                     if f["warc-type"] == "response" and (
                         len(payload) != length or hashlib.sha256(payload).hexdigest() != digest

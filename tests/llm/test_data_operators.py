@@ -120,12 +120,45 @@ def test_archives_come_back(spark, tmp_path):
         assert (r["record_type"], r["refers_to"]) == (("revisit", first[html]) if again else ("response", None))
         assert bytes(r["payload"]) == (b"" if again else data)
     files = list((tmp_path / "w").glob("part-*"))
-    assert len(files) > 1 and all(struct.unpack("<I", f.read_bytes()[:4])[0] == warc.DICTIONARY_MAGIC for f in files)
+    assert len(files) > 1 and all(f.name.endswith(".warc.zst") for f in files)
+    heads, ids = [], set()
+    for f in files:
+        data = f.read_bytes()
+        assert struct.unpack("<I", data[:4])[0] == warc.DICTIONARY_MAGIC
+        fields = [warc.parse_record(raw)[0] for raw in warc.read_archive(data)]
+        heads.append(fields[0]["warc-type"])
+        ids |= {x["warc-record-id"] for x in fields}
+        assert not any(x["warc-type"] == "warcinfo" for x in fields[1:])
+    assert set(heads) == {"warcinfo"} and len(ids) == len(pages) + len(files)
     empty = str(tmp_path / "e")
     warc.write_archives(df.limit(0), empty)
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_archives_of_null_and_repeated_ids(spark, tmp_path):
+    big, other = "<p>" + "same " * 40, "<p>" + "other " * 40
+    pages = [(None, "a", big), (None, "b", big), (7, "c", big), (7, "d", big), (7, "e", other), (9, "f", big), (None, "g", other), (None, "h", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    path = str(tmp_path / "n")
+    warc.write_archives(df, path)
+    got = {r["url"]: r for r in warc.read_archives(spark, path).collect()}
+    kinds = {u: (got[u]["page_id"], got[u]["record_type"], got[u]["refers_to"]) for u in got}
+    # The smallest id that is not null has the responses, each row with it one.
+    assert kinds == {
+        "a": (None, "revisit", 7),
+        "b": (None, "revisit", 7),
+        "c": (7, "response", None),
+        "d": (7, "response", None),
+        "e": (7, "response", None),
+        "f": (9, "revisit", 7),
+        "g": (None, "revisit", 7),
+        "h": (None, "response", None),
+    }
+    alone = spark.createDataFrame([(None, "a", big), (None, "b", big)], df.schema)
+    warc.write_archives(alone, str(tmp_path / "a"))
+    assert [r["record_type"] for r in warc.read_archives(spark, str(tmp_path / "a")).collect()] == ["response"] * 2
+
+
 def test_dictionary_helps():
     rng = random.Random(1)
     records = [("<html><head><title>Shop</title></head>%d %d" % (rng.random() * 1e9, k)).encode() * 3 for k in range(400)]
