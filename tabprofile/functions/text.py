@@ -17,6 +17,7 @@ CP1252_BYTES = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93
 KNOWN_NULL_TOKENS = ("na", "n/a", "#na", "#n/a", "nan", "-nan", "null", "none", "<na>", "nil")
 EXTRA_NULL_TOKENS = ("-", "--", "?", ".", "nc", "n.c.", "inconnu", "unknown", "vide", "empty")
 
+# How numbers, dates and times are written.
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
 YMD = rf"^(\d{{4}})([-/])(\d{{1,2}})\2(\d{{1,2}})(?:[T ]{_CLOCK})?$"
@@ -95,8 +96,8 @@ def null_token(c: Column) -> Column:
 
 
 def value_pattern(c: Column) -> Column:
-    """The shape of a cell: each digit 9, each run of capitals A, each run of small letters a."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\d", "9"), r"\p{Lu}+", "A"), r"\p{Ll}+", "a")
+    """The shape of a trimmed cell: each digit 9, each run of capitals A, each run of small letters a."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(js_trim(c), r"\d", "9"), r"\p{Lu}+", "A"), r"\p{Ll}+", "a")
 
 
 def remove_controls(c: Column) -> Column:

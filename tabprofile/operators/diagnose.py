@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.infer import readability
-from ..plans.filters import duplicate_rows
+from ..plans.filters import duplicate_groups as groups_of_rows
 from ..plans.table import Table
-from .freq import cells, frequencies
-from .profile import quartiles
+from .freq import frequencies, only
+from .profile import ZOOM, quartiles
 
 # Numbers and dates that exports write for "nothing".
 SENTINELS = (-99999, -9999, -999, -99, 99, 999, 9999, 99999, 9999999)
@@ -39,22 +41,37 @@ def missing_cells(table: Table, names: list[str] | None = None) -> DataFrame:
 
 def null_tokens(table: Table, names: list[str] | None = None) -> DataFrame:
     """(column, token, known, n): spellings of a missing value, trimmed; ``known`` ones any CSV reader knows."""
-    f = frequencies(table, names).where("not blank").withColumn("__k", X.null_token(F.col("raw"))).where("__k is not null")
-    return f.groupBy("column", X.js_trim(F.col("raw")).alias("token"), (F.col("__k") == "known").alias("known")).agg(F.sum("n").alias("n"))
+    return _tokens(frequencies(table, names)).groupBy("column", "token", "known").agg(F.sum("n").alias("n"))
+
+
+def _tokens(f: DataFrame) -> DataFrame:
+    kind = X.null_token(F.col("raw"))
+    some = only(f, ~F.col("blank") & kind.isNotNull())
+    return some.select("column", "raw", X.js_trim(F.col("raw")).alias("token"), (kind == "known").alias("known"), "n")
 
 
 def case_variants(table: Table, names: list[str] | None = None) -> DataFrame:
-    """(column, folded, spellings, n): trimmed values that differ in capitals only."""
-    f = frequencies(table, names).where("not blank")
-    t = f.groupBy("column", X.js_trim(F.col("raw")).alias("v")).agg(F.sum("n").alias("n"))
-    folded = t.groupBy("column", F.lower("v").alias("folded")).agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n"))
-    return folded.where("spellings > 1")
+    """(column, folded, spelling, n): each trimmed spelling that differs from others in capitals only."""
+    return _spellings(frequencies(table, names)).groupBy("column", "folded", "spelling").agg(F.sum("n").alias("n"))
+
+
+def _spellings(f: DataFrame) -> DataFrame:
+    """(column, folded, spelling, raw, n) of the raw values behind case variants."""
+    t = X.js_trim(F.col("raw"))
+    raw = only(f, ~F.col("blank")).select("column", F.lower(t).alias("folded"), t.alias("spelling"), "raw", "n")
+    one, other = F.min("spelling"), F.max("spelling")  # two spellings are enough to know
+    several = raw.groupBy("column", "folded").agg(one.alias("__one"), other.alias("__other")).where("__one <> __other")
+    return raw.join(several.select("column", "folded"), ["column", "folded"], "left_semi")
 
 
 def padded(table: Table, names: list[str] | None = None) -> DataFrame:
-    """(column, values, n): present cells with white space at an end."""
-    f = frequencies(table, names).where(~F.col("blank") & (F.col("raw") != X.js_trim(F.col("raw"))))
-    return f.groupBy("column").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"))
+    """(column, value, n): present raw values with white space at an end."""
+    return _padded(frequencies(table, names))
+
+
+def _padded(f: DataFrame) -> DataFrame:
+    raw = F.col("raw")
+    return only(f, ~F.col("blank") & (raw != X.js_trim(raw))).groupBy("column", raw.alias("value")).agg(F.sum("n").alias("n"))
 
 
 def leading_zeros(table: Table, names: list[str] | None = None) -> DataFrame:
@@ -65,12 +82,19 @@ def leading_zeros(table: Table, names: list[str] | None = None) -> DataFrame:
     return flags.where("d and z").select("column")
 
 
+def pattern_values(table: Table, names: list[str] | None = None) -> DataFrame:
+    """(column, pattern, value, n): the raw, present values of each shape, for columns with at most 12 shapes."""
+    f = frequencies(table, names)
+    values = only(f, ~F.col("blank")).groupBy("column", X.value_pattern(F.col("raw")).alias("pattern"), F.col("raw").alias("value")).agg(F.sum("n").alias("n"))
+    shapes = values.groupBy("column", "pattern").agg(F.count(F.lit(1)).alias("__v"))
+    few = shapes.groupBy("column").agg(F.count(F.lit(1)).alias("__p")).where(F.col("__p") <= MAX_PATTERNS)
+    return values.join(F.broadcast(few.select("column")), "column", "left_semi")  # a row for each column
+
+
 def patterns(table: Table, names: list[str] | None = None) -> DataFrame:
     """(column, pattern, values, n): shapes of present cells, for columns with at most 12 of them."""
-    f = frequencies(table, names).where("not blank")
-    shapes = f.groupBy("column", X.value_pattern(F.col("raw")).alias("pattern")).agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"))
-    many = shapes.groupBy("column").agg(F.count(F.lit(1)).alias("__p")).where(F.col("__p") <= MAX_PATTERNS)
-    return shapes.join(many.drop("__p"), "column", "left_semi")
+    found = pattern_values(table, names)
+    return found.groupBy("column", "pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"))
 
 
 def offenders(table: Table, name: str) -> DataFrame:
@@ -101,11 +125,6 @@ def offenders(table: Table, name: str) -> DataFrame:
     return f.where(~readers[kind]).select(F.lit(kind).alias("kind"), raw.alias("value"), "n")
 
 
-def _by_value(table: Table, names: list[str] | None) -> DataFrame:
-    f = frequencies(table, names).where("value is not null")
-    return f.groupBy("column", "value").agg(F.sum("n").alias("n"), F.max_by("raw", F.struct("n", "raw")).alias("raw"))
-
-
 def numeric_placeholders(table: Table, names: list[str] | None = None) -> DataFrame:
     """(column, value, n): numbers that stand for an absence.
 
@@ -113,60 +132,92 @@ def numeric_placeholders(table: Table, names: list[str] | None = None) -> DataFr
     as a spike (3 and 0.1 % of the cells) and three times as frequent as the
     next values on either side.  A sentinel that dominates its column pulls the
     fences over itself; known ones that are not found yet are judged by the
-    fences of all other values.
+    fences of all other values.  Columns without numbers have no rows.
     """
     names = [c.name for c in table.columns if c.kind == "numeric" and (names is None or c.name in names)]
-    rows = cells(table, names, None).where("value is not null").select("column", "value")
-    f = rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return _placeholders(frequencies(table, names, "identity"), names)
+
+
+def _placeholders(freq: DataFrame, numeric: list[str]) -> DataFrame:
+    n, v = F.col("n"), F.col("value")
+    f = only(freq, F.col("column").isin(*numeric) & v.isNotNull()).groupBy("column", "value").agg(F.sum("n").alias("n"))
     spread = F.col("q3") - F.col("q1")
-    out = (F.col("value") < F.col("q1") - 1.5 * spread) | (F.col("value") > F.col("q3") + 1.5 * spread)
+    out = (v < F.col("q1") - 1.5 * spread) | (v > F.col("q3") + 1.5 * spread)
     totals = f.groupBy("column").agg(F.sum("n").alias("__all"))
+    facts = quartiles(f, ["column"], counted=True).join(totals, "column")  # a row for each column
     spike = F.greatest(F.lit(MIN_SPIKE), F.ceil(F.col("__all") * SPIKE_SHARE))
-    known = F.col("value").isin(*[float(v) for v in SENTINELS])
-    judged = f.join(quartiles(rows, ["column"]), "column").join(totals, "column")
-    sure = judged.where(out & known & (F.col("n") >= 2)).select("column", "value", "n")
-    # Each has 0.1 % of its column's cells, so there are at most 1,000 a column to look for neighbours of.
-    spikes = judged.where(out & ~known & (F.col("n") >= spike)).select(F.col("column").alias("__c"), F.col("value").alias("__v"), F.col("n").alias("__n"))
-    below, above = F.col("value") < F.col("__v"), F.col("value") > F.col("__v")
-    pair = F.struct("value", "n")
-    alone = (
-        f.join(F.broadcast(spikes), (F.col("column") == F.col("__c")) & (below | above))
-        .groupBy("column", "__v", "__n")
-        .agg(F.max(F.when(below, pair)).alias("__b"), F.min(F.when(above, pair)).alias("__a"))
-        .where(F.col("__n") >= SPIKE_FACTOR * F.greatest(F.coalesce("__b.n", F.lit(0)), F.coalesce("__a.n", F.lit(0))))
-        .select("column", F.col("__v").alias("value"), F.col("__n").alias("n"))
+    known = v.isin(*[float(x) for x in SENTINELS])
+    judged = f.join(F.broadcast(facts), "column")
+    sure = judged.where(out & known & (n >= 2)).select("column", "value", "n")
+    # Each spike has 0.1 % of its column's cells, so a column has at most 1,000.
+    spikes = judged.where(out & ~known & (n >= spike)).select("column", "value", "n")
+    listed = spikes.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("__s"))
+    # The values between two spikes: their least and largest are the spikes' neighbours.
+    between = f.join(F.broadcast(listed), "column").where(~F.array_contains("__s", v))
+    between = between.groupBy("column", F.size(F.filter("__s", lambda x: x < v)).alias("__k")).agg(
+        F.min_by("n", "value").alias("__first"), F.max_by("n", "value").alias("__last")
     )
-    again = judged.where(~out & known & (F.col("n") >= 2)).select("column", "value", "n")
-    rest = rows.join(again.select("column", "value"), ["column", "value"], "left_anti")
-    late = again.join(quartiles(rest, ["column"]), "column").where(out).select("column", "value", "n")
+    by = W.partitionBy("column").orderBy("value")  # at most 1,000 rows
+    placed = spikes.withColumns({"__k": F.row_number().over(by) - 1, "__lag": F.lag("n").over(by), "__lead": F.lead("n").over(by)})
+    below = between.select("column", "__k", F.col("__last").alias("__below"))
+    above = between.select("column", (F.col("__k") - 1).alias("__k"), F.col("__first").alias("__above"))
+    near = placed.join(below, ["column", "__k"], "left").join(above, ["column", "__k"], "left")
+    most = F.greatest(F.coalesce("__below", "__lag", F.lit(0)), F.coalesce("__above", "__lead", F.lit(0)))
+    alone = near.where(n >= SPIKE_FACTOR * most).select("column", "value", "n")
+    again = judged.where(~out & known & (n >= 2)).select("column", "value", "n")
+    gone = again.select("column", "value", F.lit(True).alias("__gone"))  # nine values a column at most
+    rest = f.join(F.broadcast(gone), ["column", "value"], "left")
+    rest = rest.select("column", F.when(F.col("__gone").isNull(), v).alias("value"), "n")
+    late = again.join(quartiles(rest, ["column"], counted=True), "column").where(out).select("column", "value", "n")
     return sure.unionByName(alone).unionByName(late)
 
 
 def temporal_placeholders(table: Table, names: list[str] | None = None) -> DataFrame:
-    """(column, token, n): filler dates as written, seen at least twice."""
-    names = [c.name for c in table.columns if c.kind in ("date", "time") and c.stored == "raw" and (names is None or c.name in names)]
-    f = frequencies(table, names).withColumn("token", X.js_trim(F.col("raw"))).where(F.col("token").isin(*FILLER_DATES))
-    return f.groupBy("column", "token").agg(F.sum("n").alias("n")).where("n >= 2")
+    """(column, token, n): filler dates as written, seen at least twice; only raw columns have any."""
+    names = [c.name for c in table.columns if names is None or c.name in names]
+    return _fillers(frequencies(table, names), table).groupBy("column", "token").agg(F.max("__n").alias("n"))
+
+
+def _fillers(f: DataFrame, table: Table) -> DataFrame:
+    """(column, token, raw, n, __n) of the raw values behind filler dates."""
+    dates = [c.name for c in table.columns if c.kind in ("date", "time") and c.stored == "raw"]
+    token = X.js_trim(F.col("raw"))
+    some = only(f, F.col("column").isin(*dates) & token.isin(*FILLER_DATES)).select("column", token.alias("token"), "raw", "n")
+    twice = some.groupBy("column", "token").agg(F.sum("n").alias("__n")).where("__n >= 2")  # eight tokens a column
+    return some.join(F.broadcast(twice), ["column", "token"])
 
 
 def garbled(table: Table, names: list[str] | None = None) -> DataFrame:
     """(column, raw, fixed, n): text cells that were decoded with the wrong encoding."""
-    names = [c.name for c in table.columns if c.kind == "text" and c.stored == "raw" and (names is None or c.name in names)]
-    f = frequencies(table, names).withColumn("fixed", X.fix_mojibake(F.col("raw")))
-    return f.where("fixed is not null").select("column", "raw", "fixed", "n")
+    return _garbled(frequencies(table, [c.name for c in table.columns if names is None or c.name in names]), table)
+
+
+def _garbled(f: DataFrame, table: Table) -> DataFrame:
+    texts = [c.name for c in table.columns if c.kind == "text" and c.stored == "raw"]
+    fixed = X.fix_mojibake(F.col("raw"))
+    some = only(f, F.col("column").isin(*texts) & fixed.isNotNull())
+    return some.select("column", "raw", fixed.alias("fixed"), "n")
 
 
-def _steps(values: DataFrame, points: int = 1 << 16) -> DataFrame:
+def _steps(values: DataFrame, points: int = 1 << 16, zoom: int = ZOOM) -> DataFrame:
     """(before, value, delta) of each distinct value but the least, found in stretches of the range of values.
 
-    The points of a sequence lie evenly, so stretches of equal width hold about equally many.
+    The range is cut into ``zoom`` stretches of equal width, and each stretch
+    again, from its least to its largest value, by how many ``points`` it
+    has; so a few values far away do not crowd the others into one task.
     """
-    span = values.agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"), F.count(F.lit(1)).alias("__n"))
-    many = F.floor(F.col("__n") / points) + 1
-    place = F.floor((F.col("value") - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1.0)) * many)
-    cut = values.join(F.broadcast(span), F.lit(True)).select("value", place.alias("__s"))
+    v = F.col("value")
+    place = lambda low, high, parts: F.coalesce(
+        F.least(parts - 1, F.floor((v / 2 - low / 2) / F.when(high > low, high / 2 - low / 2) * parts)), F.lit(0)
+    )
+    span = values.agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"))
+    first = values.join(F.broadcast(span), F.lit(True)).select("value", place(F.col("__lo"), F.col("__hi"), F.lit(zoom)).alias("__a"))
+    parts = first.groupBy("__a").agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"), (F.floor(F.count(F.lit(1)) / points) + 1).alias("__k"))
+    parts = parts.withColumnRenamed("__a", "__b")  # at most ``zoom`` rows
+    cut = first.join(F.broadcast(parts), F.col("__a") == F.col("__b"))
+    cut = cut.select("value", F.struct("__a", place(F.col("__lo"), F.col("__hi"), F.col("__k")).alias("k")).alias("__s"))
     last = cut.groupBy("__s").agg(F.max("value").alias("__last"))
-    prior = last.select(F.col("__s").alias("__t"), F.lag("__last").over(W.orderBy("__s")).alias("__prior"))
+    prior = last.select(F.col("__s").alias("__t"), F.lag("__last").over(W.orderBy("__s")).alias("__prior"))  # a row for each stretch
     before = F.coalesce(F.lag("value").over(W.partitionBy("__s").orderBy("value")), F.col("__prior"))
     steps = cut.join(prior, F.col("__s") == F.col("__t")).select("value", before.alias("before"))
     return steps.where("before is not null").withColumn("delta", F.col("value") - F.col("before"))
@@ -180,7 +231,7 @@ def sequence_gaps(table: Table, name: str) -> DataFrame:
     """
     c = table[name]
     temporal = c.kind in ("date", "time")
-    f = _by_value(table, [name]).select("value", "n")
+    f = only(frequencies(table, [name], "identity"), F.col("value").isNotNull()).groupBy("value").agg(F.sum("n").alias("n"))
     facts = f.agg(
         F.count(F.lit(1)).alias("points"), F.sum("n").alias("present"), F.bool_and(F.col("value") == F.floor("value")).alias("whole")
     )
@@ -205,25 +256,36 @@ def sequence_gaps(table: Table, name: str) -> DataFrame:
     )
 
 
-def near_key_repeats(table: Table, names: list[str] | None = None) -> DataFrame:
-    """(column, values, rows, distinct): values that repeat in a column that is nearly a key."""
-    f = frequencies(table, names, "identity").where("not blank")
-    numeric = [c.name for c in table.columns if c.kind == "numeric"]
+def repeated_values(table: Table, names: list[str] | None = None) -> DataFrame:
+    """(column, value, n, distinct): the values that repeat in a column that is nearly a key, placeholders left out.
+
+    At least 20 present cells, 90 % of them different, and numbers only if
+    they are whole.
+    """
+    chosen = [c.name for c in table.columns if c.kind in ("numeric", "text") and (names is None or c.name in names)]
+    f = frequencies(table, chosen)
+    numeric = [c.name for c in table.columns if c.kind == "numeric" and c.name in chosen]
+    present = only(f, ~F.col("blank"))
     whole = F.coalesce(F.bool_and(F.when(F.col("column").isin(*numeric), F.col("value") == F.floor("value"))), F.lit(True))
-    facts = f.groupBy("column").agg(
-        F.sum("n").alias("present"),
-        F.count(F.lit(1)).alias("distinct"),
-        F.count_if(F.col("n") > 1).alias("values"),
-        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows"),
-        whole.alias("whole"),
-    )
-    key = (F.col("present") >= 20) & (F.col("distinct") >= 0.9 * F.col("present")) & F.col("whole") & (F.col("values") > 0)
-    return facts.where(key).select("column", "values", "rows", "distinct")
+    facts = present.groupBy("column").agg(F.sum("n").alias("present"), F.count(F.lit(1)).alias("distinct"), whole.alias("whole"))
+    key = (F.col("present") >= 20) & (F.col("distinct") >= 0.9 * F.col("present")) & F.col("whole")
+    keys = facts.where(key).select("column", "distinct")  # a row for each column
+    again = only(f, ~F.col("blank") & (F.col("n") > 1)).join(F.broadcast(keys), "column")
+    if numeric:
+        stand_ins = _placeholders(f, numeric).select("column", "value")
+        again = again.join(stand_ins, ["column", "value"], "left_anti")
+    return again.select("column", F.col("raw").alias("value"), "n", "distinct")
+
+
+def near_key_repeats(table: Table, names: list[str] | None = None) -> DataFrame:
+    """(column, values, rows, distinct): how many values repeat in a column that is nearly a key, and in how many rows."""
+    found = repeated_values(table, names).groupBy("column", "distinct").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows"))
+    return found.select("column", "values", "rows", "distinct")
 
 
 def duplicate_groups(table: Table) -> DataFrame:
     """(first_row, n): groups of equal rows (hidden columns included), by first appearance."""
-    return duplicate_rows(table).groupBy(F.col("_group").alias("first_row")).agg(F.count(F.lit(1)).alias("n"))
+    return groups_of_rows(table).select("first_row", "n")
 
 
 def duplicate_count(table: Table) -> DataFrame:
@@ -287,20 +349,58 @@ def would_be_numeric(table: Table, names: list[str] | None = None) -> DataFrame:
     return g.where("some and rest and numbers").select("column", "tokens")
 
 
+def finding_values(table: Table) -> DataFrame:
+    """(column, kind, fix, what, value, n): everything a cleaning step could mend, with the raw values to filter on.
+
+    ``what`` tells findings of one kind apart: the placeholder, or what a
+    garbled value should be; the trimmed token or spelling.  ``n`` counts
+    rows.  All kinds come from one table of values, and so from one scan.
+    """
+    f = frequencies(table)
+    numeric = [c.name for c in table.columns if c.kind == "numeric"]
+
+    def part(rows: DataFrame, kind: str, fix: str, what: Column, value: Column) -> DataFrame:
+        return rows.select("column", F.lit(kind).alias("kind"), F.lit(fix).alias("fix"), what.alias("what"), value.alias("value"), "n")
+
+    raw = F.col("raw")
+    found = [
+        part(_spellings(f), "case variants", "merge", F.col("spelling"), raw),
+        part(_padded(f), "padded", "trim", F.lit(None).cast("string"), F.col("value")),
+        part(_garbled(f, table), "damaged encoding", "fix encoding", F.col("fixed"), raw),
+        part(_fillers(f, table), "placeholder", "empty", F.col("token"), raw),
+        part(_tokens(f), "null token", "empty", F.col("token"), raw),
+    ]
+    if numeric:
+        stand_ins = _placeholders(f, numeric).select("column", "value")
+        shown = F.when(F.col("value") == F.floor("value"), F.col("value").cast("decimal(38,0)").cast("string")).otherwise(F.col("value").cast("string"))
+        found.append(part(only(f, F.col("value").isNotNull()).join(stand_ins, ["column", "value"]), "placeholder", "empty", shown, raw))
+    return reduce(DataFrame.unionByName, found)
+
+
 def findings(table: Table) -> DataFrame:
-    """(column, kind, n, fix): everything that a cleaning step could mend, in one list."""
-    part = lambda df, kind, fix: df.groupBy("column").agg(F.sum("n").alias("n")).select(
-        "column", F.lit(kind).alias("kind"), "n", F.lit(fix).alias("fix")
-    )
-    numeric = numeric_placeholders(table)
-    return (
-        part(case_variants(table), "case variants", "merge")
-        .unionByName(part(padded(table), "padded", "trim"))
-        .unionByName(part(garbled(table), "damaged encoding", "fix encoding"))
-        .unionByName(part(numeric, "placeholder", "empty"))
-        .unionByName(part(temporal_placeholders(table), "placeholder", "empty"))
-        .unionByName(part(null_tokens(table), "null token", "empty"))
+    """(column, kind, n, fix, text): one row for each finding, in words; :func:`finding_values` has the values behind it.
+
+    ``n`` counts spellings for case variants and rows for all else.  Each
+    placeholder is a finding of its own; the null tokens of a column are one.
+    """
+    v = finding_values(table)
+    titles = table.df.sparkSession.createDataFrame([(c.name, c.title) for c in table.columns], "column string, title string")
+    per = v.groupBy("column", "kind", "fix", "what").agg(F.sum("n").alias("n"), F.min("value").alias("value"))
+    own = F.when(F.col("kind") == "placeholder", F.col("what"))
+    count = F.when(F.col("kind") == "case variants", F.count(F.lit(1))).otherwise(F.sum("n"))
+    some = F.max_by(F.struct("what", "value"), F.struct("n", "value"))  # the most frequent one stands for the others
+    token = F.when(F.col("kind") == "null token", F.struct((-F.col("n")).alias("n"), "what"))
+    tokens = F.transform(F.array_sort(F.collect_set(token)), lambda x: F.concat(x["what"], F.lit(" ("), (-x["n"]).cast("string"), F.lit(")")))  # of 20 words
+    rows = per.groupBy("column", "kind", "fix", own.alias("__own")).agg(count.alias("n"), some.alias("__some"), F.array_join(tokens, ", ").alias("__tokens"))
+    n = F.col("n").cast("string")
+    text = (
+        F.when(F.col("kind") == "case variants", F.concat(n, F.lit(" spellings differ in capitals only")))
+        .when(F.col("kind") == "padded", F.concat(n, F.lit(" cells with spaces at an end")))
+        .when(F.col("kind") == "damaged encoding", F.concat(n, F.lit(" cells like "), F.col("__some.value"), F.lit(" for "), F.col("__some.what")))
+        .when(F.col("kind") == "placeholder", F.concat(F.col("__own"), F.lit(" in "), n, F.lit(" cells stands for nothing")))
+        .otherwise(F.concat(F.lit("nothing is written "), F.col("__tokens")))
     )
+    return rows.join(F.broadcast(titles), "column").select("column", "kind", "n", "fix", F.concat("title", F.lit(": "), text).alias("text"))
 
 
 def dataset_info(table: Table) -> DataFrame:

@@ -42,6 +42,16 @@ def cells(table: Table, names: list[str] | None = None, text: str | None = "show
     return table.df.select(F.explode(F.array(*[one(c) for c in infos])).alias("__c")).select("__c.*")
 
 
+def only(freq: DataFrame, condition: Column) -> DataFrame:
+    """Rows of a frequency table that fulfil a condition, tested after they are counted.
+
+    A plain filter would move below the aggregation, and each reader of the
+    table would then count cells of its own; so they share one exchange, and
+    all that is derived from a table in one query comes from one scan.
+    """
+    return freq.where(F.when(condition, F.col("n")) > 0)
+
+
 def frequencies(table: Table, names: list[str] | None = None, text: str = "shown") -> DataFrame:
     """(column, raw, blank, value, n): each raw value of each column with its count."""
     return cells(table, names, text).groupBy("column", "raw", "blank", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -2,68 +2,86 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..plans.table import Table
-from .freq import cells, frequencies
+from .freq import cells, frequencies, only
 
 BINS, TOP_VALUES = 20, 7
-#: Rank error of the sketches that bracket a quantile; the exact pass handles about 5 in so many values.
-ACCURACY = 10_000
+#: Stretches that a range of values is cut into on the way to a quantile.
+ZOOM = 4096
 
 
-def quantiles(values: DataFrame, by: list[str], fractions: tuple[float, ...]) -> DataFrame:
+def quantiles(values: DataFrame, by: list[str], fractions: tuple[float, ...], counted: bool = False) -> DataFrame:
     """Exact quantiles of ``value`` in each group, interpolated at ``f * (n - 1)``: the group, ``f``, ``q``.
 
-    A mergeable sketch brackets each quantile first.  Of the values outside
-    the bracket only a count is kept, so what a group's task sorts is a few
-    ten-thousandths of its rows, not all of them.  Null values are left out; a
-    group without values has no row.
+    No column is sorted.  The range of values is cut into ``ZOOM`` stretches
+    of equal width, whose counts tell in which one a rank lies; that
+    stretch, from its least to its largest value, is cut up again; only the
+    values inside are ranked one by one.  Values that crowd together cost
+    nothing but a less even first cut.
+
+    ``counted`` says that ``values`` has counts ``n``.  Null values are left
+    out; a group without values has no row.  Groups are few (columns): tables
+    of a row for each are broadcast.
     """
-    present = values.where(F.col("value").isNotNull()).select(*by, "value", F.lit(1).alias("__n"))
-    eps = 2.0 / ACCURACY
-    edges = [x for f in fractions for x in (max(0.0, f - eps), min(1.0, f + eps))]
-    counted = F.sum("__n").alias("__total")
-    around = present.groupBy(*by).agg(counted, F.percentile_approx("value", edges, ACCURACY).alias("__e"))
-    spans = F.array(
-        *[
-            F.struct(F.lit(f).alias("f"), F.col("__e")[2 * k].alias("lo"), F.col("__e")[2 * k + 1].alias("hi"))
-            for k, f in enumerate(fractions)
-        ]
-    )
-    asked = around.select(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(by)], "__total", F.explode(spans).alias("__s"))
-    same = F.lit(True)
-    for k, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"__g{k}"))
-    zone = F.when(F.col("value") < F.col("__s.lo"), -1).when(F.col("value") > F.col("__s.hi"), 1).otherwise(0)
-    merged = (
-        present.join(asked, same)
-        .groupBy(*by, F.col("__s.f").alias("f"), "__total", zone.alias("__zone"), F.when(zone == 0, F.col("value")).alias("__at"))
-        .agg(
-            F.sum("__n").alias("__n"),
-            # The sketch may be one rank off at either edge: the nearest value outside stands by.
-            F.max(F.when(zone < 0, F.col("value"))).alias("__max"),
-            F.min(F.when(zone >= 0, F.col("value"))).alias("__min"),
-        )
-        .withColumn("value", F.coalesce("__max", "__min"))
-    )
-    up_to = F.sum("__n").over(W.partitionBy(*by, "f").orderBy("__zone", "value").rowsBetween(W.unboundedPreceding, 0))
-    rank = F.col("f") * (F.col("__total") - 1)
-    low = F.floor(rank)
-    at = lambda r: F.min(F.when(F.col("__upto") > r, F.col("value")))
-    found = merged.withColumn("__upto", up_to).groupBy(*by, "f", "__total").agg(
-        at(low).alias("__a"), at(low + 1).alias("__b")
-    )
-    part = rank - low
-    return found.select(
-        *by, "f", F.when(part == 0, F.col("__a")).otherwise(F.col("__a") + (F.col("__b") - F.col("__a")) * part).alias("q")
+    if not counted:
+        values = values.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
+    t = values.select(*by, "value", "n")
+    there = F.when(F.col("value").isNotNull(), F.col("n"))
+    g = [f"__g{k}" for k in range(len(by))]
+    named = [F.col(c).alias(x) for c, x in zip(by, g)]
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(x)) for c, x in zip(by, g)])
+
+    def place(low: Column, high: Column) -> Column:
+        wide = F.when(high > low, high - low)
+        return F.coalesce(F.least(F.lit(ZOOM - 1), F.floor((F.col("value") / 2 - low / 2) / (wide / 2) * ZOOM)), F.lit(0))
+
+    def sums(rows: DataFrame, *keys) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+    def reached(cuts: DataFrame, over: list[str], order: str) -> DataFrame:
+        upto = F.sum("n").over(W.partitionBy(*over).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+        return cuts.withColumn("__to", upto).withColumn("__from", F.col("__to") - F.col("n"))
+
+    # The ranks asked for: the ones below and above each fraction.
+    whole = t.groupBy(*by).agg(F.sum(there).alias("__total"), F.min("value").alias("__low"), F.max("value").alias("__high"))
+    whole = whole.select(*named, "__total", "__low", "__high")
+    rank = lambda f: F.lit(f) * (F.col("__total") - 1)
+    asked = [F.struct(F.lit(f).alias("f"), F.lit(up).alias("up"), F.floor(rank(f)) + int(up)) for f in fractions for up in (False, True)]
+    asked = F.transform(F.array(*asked), lambda x: F.struct(x["f"].alias("f"), x["up"].alias("up"), F.least(x["col3"], F.col("__total") - 1).alias("r")))
+    first = only(t, F.col("value").isNotNull()).join(F.broadcast(whole), same)
+    first = sums(first, *g, "__total", place(F.col("__low"), F.col("__high")).alias("__at"))
+    first = reached(first, g, "__at").withColumn("w", F.explode(asked))
+    inside = (F.col("w.r") >= F.col("__from")) & (F.col("w.r") < F.col("__to"))
+    interval = F.struct("w.f", "w.up", (F.col("w.r") - F.col("__from")).alias("r"), "low", "high")
+
+    def within(found: DataFrame) -> DataFrame:
+        """The values in the intervals that were found, with the interval ``w`` that each lies in."""
+        listed = found.groupBy(*g).agg(F.collect_list(interval).alias("__w"))  # two for each fraction
+        near = F.filter("__w", lambda x: F.col("value").between(x["low"], x["high"]))
+        return t.join(F.broadcast(listed), same).select(*g, "value", "n", F.explode(near).alias("w"))
+
+    second = sums(within(first.where(inside)), *g, "w", place(F.col("w.low"), F.col("w.high")).alias("__at"))
+    second = reached(second, [*g, "w"], "__at").where(inside)
+    last = within(second).groupBy(*g, "w", "value").agg(F.sum("n").alias("n"))
+    last = reached(last, [*g, "w"], "value").where(inside)
+    ends = last.groupBy(*g, F.col("w.f").alias("f")).agg(
+        F.max(F.when(~F.col("w.up"), F.col("value"))).alias("__a"), F.max(F.when(F.col("w.up"), F.col("value"))).alias("__b")
     )
+    part = rank(0.0) + F.col("f") * (F.col("__total") - 1)
+    part = part - F.floor(part)
+    joined = ends.join(F.broadcast(whole.select(*[F.col(x).alias(f"{x}_") for x in g], "__total")), reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"{x}_")) for x in g]))
+    q = F.when(part == 0, F.col("__a")).otherwise(F.col("__a") + (F.col("__b") - F.col("__a")) * part)
+    return joined.select(*[F.col(x).alias(c) for c, x in zip(by, g)], "f", q.alias("q"))
 
 
-def quartiles(values: DataFrame, by: list[str]) -> DataFrame:
+def quartiles(values: DataFrame, by: list[str], counted: bool = False) -> DataFrame:
     """(group, q1, median, q3)."""
-    q = quantiles(values, by, (0.25, 0.5, 0.75))
+    q = quantiles(values, by, (0.25, 0.5, 0.75), counted)
     pick = lambda f: F.max(F.when(F.col("f") == f, F.col("q")))
     return q.groupBy(*by).agg(pick(0.25).alias("q1"), pick(0.5).alias("median"), pick(0.75).alias("q3"))
 
@@ -76,7 +94,10 @@ def fences() -> tuple[Column, Column]:
 
 def counts(table: Table, names: list[str] | None = None) -> DataFrame:
     """Per column: total, missing, present, distinct, unique; distinct and unique are of raw, present values."""
-    f = frequencies(table, names, "identity")
+    return _counts(frequencies(table, names, "identity"))
+
+
+def _counts(f: DataFrame) -> DataFrame:
     n = F.col("n")
     return f.groupBy("column").agg(
         F.sum("n").alias("total"),
@@ -87,33 +108,46 @@ def counts(table: Table, names: list[str] | None = None) -> DataFrame:
     )
 
 
+def _measurable(table: Table, names: list[str] | None) -> list[str]:
+    return [c.name for c in table.columns if c.measurable and (names is None or c.name in names)]
+
+
 def measures(table: Table, names: list[str] | None = None) -> DataFrame:
     """Per measurable column: min, max, mean, deviation, q1, median, q3, low, high (fences), outliers.
 
-    The deviation of a single value is 0.  Unreadable cells take no part.
+    The deviation of a single value is 0.  Unreadable cells take no part; a
+    column without readable cells has no row, nor has an empty table.
     """
-    names = [c.name for c in table.columns if c.measurable and (names is None or c.name in names)]
-    values = cells(table, names, None).where(F.col("value").isNotNull()).select("column", "value")
-    basic = values.groupBy("column").agg(
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-        F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("deviation"),
+    return _measures(frequencies(table, _measurable(table, names), "identity"))
+
+
+def _measures(f: DataFrame) -> DataFrame:
+    v, n = F.col("value"), F.col("n")
+    basic = only(f, v.isNotNull()).groupBy("column").agg(
+        F.min("value").alias("min"), F.max("value").alias("max"), F.sum(n).alias("__n"), (F.sum(v * n) / F.sum(n)).alias("mean")
     )
     low, high = fences()
-    q = quartiles(values, ["column"]).withColumns({"low": low, "high": high})
-    edges = q.select(F.col("column").alias("__c"), "low", "high")  # a row for each column
-    out = values.join(F.broadcast(edges), F.col("column") == F.col("__c")).groupBy("column")
-    outliers = out.agg(F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("outliers"))
-    return basic.join(q, "column").join(outliers, "column")
+    q = quartiles(f, ["column"], counted=True).withColumns({"low": low, "high": high})
+    edges = basic.join(q, "column")  # a row for each column
+    spread = F.sum((v - F.col("mean")) * (v - F.col("mean")) * n)
+    some = only(f, v.isNotNull()).join(F.broadcast(edges), "column").groupBy("column", *[c for c in edges.columns if c != "column"])
+    out = some.agg(
+        F.coalesce(F.sqrt(spread / F.when(F.col("__n") > 1, F.col("__n") - 1)), F.lit(0.0)).alias("deviation"),
+        F.coalesce(F.sum(F.when((v < F.col("low")) | (v > F.col("high")), n)), F.lit(0)).alias("outliers"),
+    )
+    return out.select("column", "min", "max", "mean", "deviation", "q1", "median", "q3", "low", "high", "outliers")
 
 
 def profile(table: Table, names: list[str] | None = None) -> DataFrame:
-    """One row per column: kind, counts with shares, and the measures where there are any."""
+    """One row per column: kind, counts with shares, and the measures where there are any.
+
+    Everything comes from one table of values with their counts, and so from one scan.
+    """
     kinds = table.df.sparkSession.createDataFrame([(c.name, c.kind) for c in table.columns], "column string, kind string")
-    all_ = counts(table, names).join(F.broadcast(kinds), "column")
-    if any(c.measurable and (names is None or c.name in names) for c in table.columns):
-        all_ = all_.join(measures(table, names), "column", "left")
+    f = frequencies(table, names, "identity")
+    all_ = _counts(f).join(F.broadcast(kinds), "column")
+    if _measurable(table, names):
+        all_ = all_.join(_measures(f), "column", "left")
     return all_.withColumns(
         {
             "missing_share": F.try_divide("missing", "total"),
@@ -128,11 +162,12 @@ def histogram(table: Table, names: list[str] | None = None, bins: int = BINS) ->
     The range goes from fence to fence, clipped to the values, if there are
     outliers, else over all values; what lies outside falls into the edge
     bins, which reach to the extremes.  ``below`` and ``above`` count the
-    outliers of the edge bins.
+    outliers of the edge bins.  Equal values all fall into the first bin; a
+    column without readable cells has no bins.
     """
-    m = measures(table, names)
+    f = frequencies(table, _measurable(table, names), "identity")
     clip = (F.col("outliers") > 0) & (F.least("high", "max") > F.greatest("low", "min"))
-    span = m.select(
+    span = _measures(f).select(
         F.col("column").alias("__c"),
         "min",
         "max",
@@ -141,15 +176,13 @@ def histogram(table: Table, names: list[str] | None = None, bins: int = BINS) ->
         F.when(clip, F.greatest("low", "min")).otherwise(F.col("min")).alias("from"),
         F.when(clip, F.least("high", "max")).otherwise(F.col("max")).alias("to"),
     )
-    names = [c.name for c in table.columns if c.measurable and (names is None or c.name in names)]
-    values = cells(table, names, None).where(F.col("value").isNotNull())
     width = F.col("to") - F.col("from")
     place = F.floor((F.col("value") - F.col("from")) / F.when(width > 0, width) * bins)
     bin_ = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(bins - 1), place)), F.lit(0)).cast("int")
+    values = only(f, F.col("value").isNotNull())
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     got = values.join(F.broadcast(span), F.col("column") == F.col("__c")).groupBy("column", bin_.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("value") < F.col("low")).alias("below"),
-        F.count_if(F.col("value") > F.col("high")).alias("above"),
+        F.sum("n").alias("n"), n(F.col("value") < F.col("low")).alias("below"), n(F.col("value") > F.col("high")).alias("above")
     )
     grid = span.select(F.col("__c").alias("column"), "min", "max", "from", "to", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     step = width / bins
@@ -194,10 +227,8 @@ def fold_ranking(top: DataFrame, rows: int = TOP_VALUES) -> DataFrame:
 
 
 def value_counts(table: Table, name: str) -> DataFrame:
-    """(value, n), most frequent first; blanks are one value ''."""
-    c = table[name]
-    shown = F.when(c.blank(), "").otherwise(c.raw()).alias("value")
-    return table.df.groupBy(shown).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value")
+    """(value, n) of the raw values, as they are written, most frequent first; null counts as ''."""
+    return table.df.groupBy(table[name].raw().alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value")
 
 
 def lengths(table: Table, names: list[str] | None = None) -> DataFrame:

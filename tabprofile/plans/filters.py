@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from .table import ROW, ColumnInfo, Table
 
 #: Lists longer than this are joined instead of written into the plan.
@@ -36,13 +37,15 @@ class TextFilter:
 class CompareFilter:
     """``=``, ``!=``, ``>``, ``>=``, ``<``, ``<=`` or ``between`` (bounds in any order, both included).
 
-    A blank or unreadable cell fulfils ``!=`` only, unless ``blanks`` decides the blank ones.
+    A bound is a number, or text as it is typed: a date as the column writes
+    it or ISO, a time, a number.  A blank or unreadable cell fulfils ``!=``
+    only, unless ``blanks`` decides the blank ones.
     """
 
     column: str
     op: str
-    value: float
-    other: float | None = None
+    value: float | str
+    other: float | str | None = None
     blanks: str | None = None
 
 
@@ -121,12 +124,25 @@ def _text(f: TextFilter, c: ColumnInfo) -> Column:
     return tests[f.op]
 
 
+def typed(bound: float | str, c: ColumnInfo) -> Column:
+    """A bound as the number that cells of the column are read as; null for text that cannot be read."""
+    if not isinstance(bound, str):
+        return F.lit(float(bound))
+    text = F.lit(bound)
+    if c.kind == "time":
+        return X.parse_temporal(text, "time")
+    if c.kind == "date":
+        return F.coalesce(X.parse_temporal(text, c.order or "ymd"), X.parse_temporal(text, "ymd"))
+    return X.parse_number(text, c.decimal_comma)
+
+
 def _compare(f: CompareFilter, c: ColumnInfo) -> Column:
-    v = c.value()
+    """An unreadable bound compares with nothing; Spark folds the reading of a bound into a constant."""
+    v, bound = c.value(), typed(f.value, c)
     if f.op == "between":
-        low, high = sorted((f.value, f.value if f.other is None else f.other))
-        return F.coalesce(v.between(low, high), F.lit(False))
-    tests = {"=": v == f.value, "!=": v != f.value, ">": v > f.value, ">=": v >= f.value, "<": v < f.value, "<=": v <= f.value}
+        other = bound if f.other is None else typed(f.other, c)
+        return F.coalesce((v >= F.least(bound, other)) & (v <= F.greatest(bound, other)), F.lit(False))
+    tests = {"=": v == bound, "!=": v != bound, ">": v > bound, ">=": v >= bound, "<": v < bound, "<=": v <= bound}
     return F.coalesce(tests[f.op], F.lit(f.op == "!="))
 
 
@@ -166,20 +182,23 @@ def _long_list(df: DataFrame, f: ValuesFilter, table: Table) -> DataFrame:
     return hit.drop("__raw")
 
 
+def _row_digest(table: Table) -> Column:
+    """A SHA-256 of all cells of a row as they are written; null and '' differ."""
+    return F.sha2(F.to_json(F.struct(*[c.cell for c in table.columns])), 256)
+
+
+def duplicate_groups(table: Table) -> DataFrame:
+    """(first_row, n, digest): groups of equal rows (hidden columns included); copies are counted before they meet."""
+    groups = table.df.groupBy(_row_digest(table).alias("digest")).agg(F.min(ROW).alias("first_row"), F.count(F.lit(1)).alias("n"))
+    return groups.where("n > 1").select("first_row", "n", "digest")
+
+
 def duplicate_rows(table: Table) -> DataFrame:
     """The table's rows that have a twin, with ``_group`` (the ``_row`` of the first of the group)."""
-    key = F.xxhash64(*[F.coalesce(c.cell.cast("string"), F.lit("")) for c in table.columns], *[c.cell.isNull() for c in table.columns])
-    names = [c.name for c in table.columns]
-    keyed = table.df.withColumn("__key", key)
-    # Groups are counted first; only rows of a hash that repeats meet their twins.
-    twins = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__key")
-    some = keyed.join(twins, "__key", "left_semi")
-    groups = some.groupBy("__key", *[F.col(f"`{n}`") for n in names]).agg(F.min(ROW).alias("_group"), F.count(F.lit(1)).alias("__n"))
-    groups = groups.where("__n > 1").drop("__n")
-    right = groups.select(F.col("__key").alias("__k2"), "_group", F.struct(*[F.col(f"`{n}`") for n in names]).alias("__s2"))
-    left = some.withColumn("__s1", F.struct(*[F.col(f"`{n}`") for n in names]))
-    same = (F.col("__key") == F.col("__k2")) & (F.col("__s1") == F.col("__s2"))  # structs compare null fields as equal
-    return left.join(right, same).drop("__key", "__k2", "__s1", "__s2")
+    # A key of their own: groups and rows are both dealt out for this join, which lets Spark split the rows of a large group.
+    groups = duplicate_groups(table).select(F.concat("digest", F.lit("")).alias("__group"), F.col("first_row").alias("_group"))
+    rows = table.df.withColumn("__digest", _row_digest(table))
+    return rows.join(groups, F.col("__digest") == F.col("__group")).drop("__digest", "__group")
 
 
 def _value_key(c: ColumnInfo) -> Column:
@@ -237,9 +256,13 @@ def label(f: Filter) -> str:
     if isinstance(f, TextFilter):
         return f"{name} {f.op.replace('_', ' ')} “{f.text}”" + (f" ({f.blanks} blanks)" if f.blanks else "")
     if isinstance(f, CompareFilter):
+        say = lambda x: x if isinstance(x, str) else f"{x:g}"
         if f.op == "between":
-            return f"{name} ∈ [{min(f.value, f.other):g}, {max(f.value, f.other):g}]"
-        return f"{name} {dict([('!=', '≠'), ('>=', '≥'), ('<=', '≤')]).get(f.op, f.op)} {f.value:g}"
+            low, high = f.value, f.value if f.other is None else f.other
+            if not isinstance(low, str) and not isinstance(high, str):
+                low, high = sorted((low, high))
+            return f"{name} ∈ [{say(low)}, {say(high)}]"
+        return f"{name} {dict([('!=', '≠'), ('>=', '≥'), ('<=', '≤')]).get(f.op, f.op)} {say(f.value)}"
     if isinstance(f, ValuesFilter):
         shown = [v if v.strip() else "(empty)" for v in f.values]
         if len(shown) == 1:
