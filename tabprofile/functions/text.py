@@ -120,19 +120,21 @@ def fix_mojibake(c: Column) -> Column:
     return F.when(marked & (fixed != c) & ~F.coalesce(fixed.contains("�"), F.lit(False)), fixed)
 
 
-#: Letters with a mark that NFD takes apart, and the letters without it (Latin-1 and Latin Extended-A).
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćĈĉĊċČčĎďĒēĔĕĖėĘęĚěĜĝĞğĠġĢģĤĥĨĩĪīĬĭĮįİĴĵĶķĹĺĻļĽľŃńŅņŇňŌōŎŏŐőŔŕŖŗŘřŚśŜŝŞşŠšŢţŤťŨũŪūŬŭŮůŰűŲųŴŵŶŷŸŹźŻżŽž"
+def _marked_letters() -> tuple[str, str]:
+    """All characters that canonical decomposition takes apart into one character and marks (U+0300 to U+036F), and that character."""
+    from unicodedata import normalize
 
+    bare = {chr(c): "".join(x for x in normalize("NFD", chr(c)) if not "\u0300" <= x <= "\u036f") for c in range(0xC0, 0xD800)}
+    pairs = [(c, b) for c, b in bare.items() if len(b) == 1 and b != c]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
 
-def _plain() -> str:
-    import unicodedata
 
-    return "".join(unicodedata.normalize("NFD", x)[0] for x in ACCENTED)
+MARKED, UNMARKED = _marked_letters()
 
 
 def strip_accents(c: Column) -> Column:
-    """Letters without their marks; marks that stand alone are dropped."""
-    return F.translate(F.regexp_replace(c, r"[\x{300}-\x{36F}]", ""), ACCENTED, _plain())
+    """Letters of any script without their marks; marks that stand alone are dropped."""
+    return F.translate(F.regexp_replace(c, r"[\x{300}-\x{36F}]", ""), MARKED, UNMARKED)
 
 
 def loose_key(c: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..functions.infer import readability
 from ..plans.filters import duplicate_groups as groups_of_rows
 from ..plans.table import Table
-from .freq import frequencies, only
+from .freq import frequencies, held, local, only
 from .profile import ZOOM, quartiles
 
 # Numbers and dates that exports write for "nothing".
@@ -135,22 +135,27 @@ def numeric_placeholders(table: Table, names: list[str] | None = None) -> DataFr
     fences of all other values.  Columns without numbers have no rows.
     """
     names = [c.name for c in table.columns if c.kind == "numeric" and (names is None or c.name in names)]
-    return _placeholders(frequencies(table, names, "identity"), names)
+    f = frequencies(table, names, "identity").where("value is not null").groupBy("column", "value").agg(F.sum("n").alias("n"))
+    with held(f) as f:
+        return _placeholders(f)
 
 
-def _placeholders(freq: DataFrame, numeric: list[str]) -> DataFrame:
+def _placeholders(f: DataFrame) -> DataFrame:
+    """Placeholders from a held table (column, value, n); gathered between its steps, as a column has a thousand at most."""
     n, v = F.col("n"), F.col("value")
-    f = only(freq, F.col("column").isin(*numeric) & v.isNotNull()).groupBy("column", "value").agg(F.sum("n").alias("n"))
     spread = F.col("q3") - F.col("q1")
     out = (v < F.col("q1") - 1.5 * spread) | (v > F.col("q3") + 1.5 * spread)
     totals = f.groupBy("column").agg(F.sum("n").alias("__all"))
-    facts = quartiles(f, ["column"], counted=True).join(totals, "column")  # a row for each column
+    facts = totals.join(F.broadcast(quartiles(f, ["column"], counted=True)), "column")
+    facts = local(facts.collect(), facts)  # a row for each column
     spike = F.greatest(F.lit(MIN_SPIKE), F.ceil(F.col("__all") * SPIKE_SHARE))
     known = v.isin(*[float(x) for x in SENTINELS])
     judged = f.join(F.broadcast(facts), "column")
-    sure = judged.where(out & known & (n >= 2)).select("column", "value", "n")
     # Each spike has 0.1 % of its column's cells, so a column has at most 1,000.
-    spikes = judged.where(out & ~known & (n >= spike)).select("column", "value", "n")
+    odd = judged.where((known & (n >= 2)) | (out & ~known & (n >= spike))).select("column", "value", "n", out.alias("out"), known.alias("known"))
+    odd = local(odd.collect(), odd)
+    sure = odd.where("out and known").select("column", "value", "n")
+    spikes = odd.where("out and not known").select("column", "value", "n")
     listed = spikes.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("__s"))
     # The values between two spikes: their least and largest are the spikes' neighbours.
     between = f.join(F.broadcast(listed), "column").where(~F.array_contains("__s", v))
@@ -164,12 +169,12 @@ def _placeholders(freq: DataFrame, numeric: list[str]) -> DataFrame:
     near = placed.join(below, ["column", "__k"], "left").join(above, ["column", "__k"], "left")
     most = F.greatest(F.coalesce("__below", "__lag", F.lit(0)), F.coalesce("__above", "__lead", F.lit(0)))
     alone = near.where(n >= SPIKE_FACTOR * most).select("column", "value", "n")
-    again = judged.where(~out & known & (n >= 2)).select("column", "value", "n")
-    gone = again.select("column", "value", F.lit(True).alias("__gone"))  # nine values a column at most
-    rest = f.join(F.broadcast(gone), ["column", "value"], "left")
-    rest = rest.select("column", F.when(F.col("__gone").isNull(), v).alias("value"), "n")
-    late = again.join(quartiles(rest, ["column"], counted=True), "column").where(out).select("column", "value", "n")
-    return sure.unionByName(alone).unionByName(late)
+    again = odd.where("known and not out").select("column", "value", "n")
+    rest = f.join(F.broadcast(again), ["column", "value"], "left_anti")  # nine values a column at most
+    rest = rest.join(F.broadcast(again.select("column").distinct()), "column", "left_semi")
+    late = again.join(F.broadcast(quartiles(rest, ["column"], counted=True)), "column").where(out).select("column", "value", "n")
+    found = sure.unionByName(alone).unionByName(late)
+    return local(found.collect(), found)
 
 
 def temporal_placeholders(table: Table, names: list[str] | None = None) -> DataFrame:
@@ -207,8 +212,8 @@ def _steps(values: DataFrame, points: int = 1 << 16, zoom: int = ZOOM) -> DataFr
     has; so a few values far away do not crowd the others into one task.
     """
     v = F.col("value")
-    place = lambda low, high, parts: F.coalesce(
-        F.least(parts - 1, F.floor((v / 2 - low / 2) / F.when(high > low, high / 2 - low / 2) * parts)), F.lit(0)
+    place = lambda low, high, parts: F.least(
+        parts - 1, F.coalesce(F.floor((v / 2 - low / 2) / F.when(high > low, high / 2 - low / 2) * parts), F.lit(0))
     )
     span = values.agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"))
     first = values.join(F.broadcast(span), F.lit(True)).select("value", place(F.col("__lo"), F.col("__hi"), F.lit(zoom)).alias("__a"))
@@ -272,8 +277,8 @@ def repeated_values(table: Table, names: list[str] | None = None) -> DataFrame:
     keys = facts.where(key).select("column", "distinct")  # a row for each column
     again = only(f, ~F.col("blank") & (F.col("n") > 1)).join(F.broadcast(keys), "column")
     if numeric:
-        stand_ins = _placeholders(f, numeric).select("column", "value")
-        again = again.join(stand_ins, ["column", "value"], "left_anti")
+        stand_ins = numeric_placeholders(table, numeric).select("column", "value")
+        again = again.join(F.broadcast(stand_ins), ["column", "value"], "left_anti")
     return again.select("column", F.col("raw").alias("value"), "n", "distinct")
 
 
@@ -354,7 +359,8 @@ def finding_values(table: Table) -> DataFrame:
 
     ``what`` tells findings of one kind apart: the placeholder, or what a
     garbled value should be; the trimmed token or spelling.  ``n`` counts
-    rows.  All kinds come from one table of values, and so from one scan.
+    rows.  All kinds come from one table of values, and so from one scan;
+    placeholders among numbers are looked for before, in a scan of the numbers.
     """
     f = frequencies(table)
     numeric = [c.name for c in table.columns if c.kind == "numeric"]
@@ -371,7 +377,7 @@ def finding_values(table: Table) -> DataFrame:
         part(_tokens(f), "null token", "empty", F.col("token"), raw),
     ]
     if numeric:
-        stand_ins = _placeholders(f, numeric).select("column", "value")
+        stand_ins = F.broadcast(numeric_placeholders(table, numeric).select("column", "value"))
         shown = F.when(F.col("value") == F.floor("value"), F.col("value").cast("decimal(38,0)").cast("string")).otherwise(F.col("value").cast("string"))
         found.append(part(only(f, F.col("value").isNotNull()).join(stand_ins, ["column", "value"]), "placeholder", "empty", shown, raw))
     return reduce(DataFrame.unionByName, found)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,21 @@ def cells(table: Table, names: list[str] | None = None, text: str | None = "show
     return table.df.select(F.explode(F.array(*[one(c) for c in infos])).alias("__c")).select("__c.*")
 
 
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep a table for the jobs of an operator that returns a few rows for each column; it can be computed again if parts are lost."""
+    df = df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def local(rows: list, like: DataFrame) -> DataFrame:
+    """A few collected rows as a table of the same schema."""
+    return like.sparkSession.createDataFrame(rows, like.schema)
+
+
 def only(freq: DataFrame, condition: Column) -> DataFrame:
     """Rows of a frequency table that fulfil a condition, tested after they are counted.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..plans.table import Table
-from .freq import cells, frequencies, only
+from .freq import cells, frequencies, held, local
 
 BINS, TOP_VALUES = 20, 7
 #: Stretches that a range of values is cut into on the way to a quantile.
@@ -24,59 +25,71 @@ def quantiles(values: DataFrame, by: list[str], fractions: tuple[float, ...], co
     values inside are ranked one by one.  Values that crowd together cost
     nothing but a less even first cut.
 
-    ``counted`` says that ``values`` has counts ``n``.  Null values are left
-    out; a group without values has no row.  Groups are few (columns): tables
-    of a row for each are broadcast.
+    ``counted`` says that ``values`` has counts ``n``; it is read four times,
+    so it should be held.  Null values are left out; a group without values
+    has no row.  Groups are few (columns): what passes between the jobs is
+    two rows for each group and fraction.
     """
     if not counted:
-        values = values.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
-    t = values.select(*by, "value", "n")
-    there = F.when(F.col("value").isNotNull(), F.col("n"))
+        with held(values.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))) as t:
+            return quantiles(t, by, fractions, counted=True)
+    t = values.where(F.col("value").isNotNull()).select(*by, "value", "n")
     g = [f"__g{k}" for k in range(len(by))]
-    named = [F.col(c).alias(x) for c, x in zip(by, g)]
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(x)) for c, x in zip(by, g)])
+    types = dict(t.dtypes)
+    keys = ", ".join(f"{x} {types[c]}" for c, x in zip(by, g))
+    spark = values.sparkSession
 
-    def place(low: Column, high: Column) -> Column:
-        wide = F.when(high > low, high - low)
-        return F.coalesce(F.least(F.lit(ZOOM - 1), F.floor((F.col("value") / 2 - low / 2) / (wide / 2) * ZOOM)), F.lit(0))
-
-    def sums(rows: DataFrame, *keys) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-
-    def reached(cuts: DataFrame, over: list[str], order: str) -> DataFrame:
-        upto = F.sum("n").over(W.partitionBy(*over).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-        return cuts.withColumn("__to", upto).withColumn("__from", F.col("__to") - F.col("n"))
-
-    # The ranks asked for: the ones below and above each fraction.
-    whole = t.groupBy(*by).agg(F.sum(there).alias("__total"), F.min("value").alias("__low"), F.max("value").alias("__high"))
-    whole = whole.select(*named, "__total", "__low", "__high")
-    rank = lambda f: F.lit(f) * (F.col("__total") - 1)
-    asked = [F.struct(F.lit(f).alias("f"), F.lit(up).alias("up"), F.floor(rank(f)) + int(up)) for f in fractions for up in (False, True)]
-    asked = F.transform(F.array(*asked), lambda x: F.struct(x["f"].alias("f"), x["up"].alias("up"), F.least(x["col3"], F.col("__total") - 1).alias("r")))
-    first = only(t, F.col("value").isNotNull()).join(F.broadcast(whole), same)
-    first = sums(first, *g, "__total", place(F.col("__low"), F.col("__high")).alias("__at"))
-    first = reached(first, g, "__at").withColumn("w", F.explode(asked))
-    inside = (F.col("w.r") >= F.col("__from")) & (F.col("w.r") < F.col("__to"))
-    interval = F.struct("w.f", "w.up", (F.col("w.r") - F.col("__from")).alias("r"), "low", "high")
-
-    def within(found: DataFrame) -> DataFrame:
-        """The values in the intervals that were found, with the interval ``w`` that each lies in."""
-        listed = found.groupBy(*g).agg(F.collect_list(interval).alias("__w"))  # two for each fraction
+    def inside(intervals: dict) -> DataFrame:
+        """The values within each group's intervals (f, up, rank, low, high), cut into stretches; with the place of the rank."""
+        listed = spark.createDataFrame([(*k, v) for k, v in intervals.items()], f"{keys}, __w array<struct<f:double,up:boolean,r:long,low:double,high:double>>")
         near = F.filter("__w", lambda x: F.col("value").between(x["low"], x["high"]))
         return t.join(F.broadcast(listed), same).select(*g, "value", "n", F.explode(near).alias("w"))
 
-    second = sums(within(first.where(inside)), *g, "w", place(F.col("w.low"), F.col("w.high")).alias("__at"))
-    second = reached(second, [*g, "w"], "__at").where(inside)
-    last = within(second).groupBy(*g, "w", "value").agg(F.sum("n").alias("n"))
-    last = reached(last, [*g, "w"], "value").where(inside)
-    ends = last.groupBy(*g, F.col("w.f").alias("f")).agg(
-        F.max(F.when(~F.col("w.up"), F.col("value"))).alias("__a"), F.max(F.when(F.col("w.up"), F.col("value"))).alias("__b")
-    )
-    part = rank(0.0) + F.col("f") * (F.col("__total") - 1)
-    part = part - F.floor(part)
-    joined = ends.join(F.broadcast(whole.select(*[F.col(x).alias(f"{x}_") for x in g], "__total")), reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"{x}_")) for x in g]))
-    q = F.when(part == 0, F.col("__a")).otherwise(F.col("__a") + (F.col("__b") - F.col("__a")) * part)
-    return joined.select(*[F.col(x).alias(c) for c, x in zip(by, g)], "f", q.alias("q"))
+    def reached(rows: DataFrame, *cut: str) -> list:
+        """The stretch that each rank lies in."""
+        sums = rows.groupBy(*g, "w", *cut).agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        upto = F.sum("n").over(W.partitionBy(*g, "w").orderBy("low").rowsBetween(W.unboundedPreceding, 0))
+        sums = sums.withColumn("to", upto).withColumn("r", F.col("w.r") - F.col("to") + F.col("n"))
+        return sums.where((F.col("r") >= 0) & (F.col("r") < F.col("n"))).select(*g, "w.f", "w.up", "r", "low", "high").collect()
+
+    def grouped(rows: list) -> dict:
+        out: dict = {}
+        for r in rows:
+            out.setdefault(tuple(r[x] for x in g), []).append((r["f"], r["up"], r["r"], r["low"], r["high"]))
+        return out
+
+    whole = t.groupBy(*[F.col(c).alias(x) for c, x in zip(by, g)]).agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+    totals = {tuple(r[x] for x in g): r["n"] for r in whole}
+    # All ranks lie in the whole range, so the first cut is the same for each of them.
+    ends = spark.createDataFrame([(*[r[x] for x in g], r["low"], r["high"]) for r in whole], f"{keys}, low double, high double")
+    cut = t.join(F.broadcast(ends), same).groupBy(*g, _stretch("low", "high").alias("at"))
+    upto = F.sum("n").over(W.partitionBy(*g).orderBy("low").rowsBetween(W.unboundedPreceding, 0))
+    cut = cut.agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).withColumn("to", upto)
+    ranks = [(*k, f, up, min(math.floor(f * (n - 1)) + up, n - 1)) for k, n in totals.items() for f in fractions for up in (False, True)]
+    asked = spark.createDataFrame(ranks, f"{', '.join(f'{x}_ {types[c]}' for c, x in zip(by, g))}, f double, up boolean, rank long")
+    here = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"{x}_")) for x in g])
+    here = here & (F.col("rank") >= F.col("to") - F.col("n")) & (F.col("rank") < F.col("to"))
+    found = cut.join(F.broadcast(asked), here).select(*g, "f", "up", (F.col("rank") - F.col("to") + F.col("n")).alias("r"), "low", "high").collect()
+    if any(r["low"] < r["high"] for r in found):
+        second = inside(grouped(found))
+        found = reached(second.withColumn("at", _stretch("w.low", "w.high")), "at")
+    if any(r["low"] < r["high"] for r in found):
+        found = reached(inside(grouped(found)).withColumn("at", F.col("value")), "at")
+    at = {(*[r[x] for x in g], r["f"], r["up"]): r["low"] for r in found}
+    out = []
+    for k, n in totals.items():
+        for f in fractions:
+            low, part = at[(*k, f, False)], f * (n - 1) % 1
+            out.append((*k, f, low + (at[(*k, f, True)] - low) * part if part else low))
+    return spark.createDataFrame(out, f"{', '.join(f'`{c}` {types[c]}' for c in by)}, f double, q double")
+
+
+def _stretch(low: str, high: str) -> Column:
+    """Which of ``ZOOM`` stretches between two bounds a value lies in (halved, so that no width overflows)."""
+    low, high = F.col(low), F.col(high)
+    width = F.when(high > low, high / 2 - low / 2)
+    return F.least(F.lit(ZOOM - 1), F.coalesce(F.floor((F.col("value") / 2 - low / 2) / width * ZOOM), F.lit(0)))
 
 
 def quartiles(values: DataFrame, by: list[str], counted: bool = False) -> DataFrame:
@@ -118,36 +131,38 @@ def measures(table: Table, names: list[str] | None = None) -> DataFrame:
     The deviation of a single value is 0.  Unreadable cells take no part; a
     column without readable cells has no row, nor has an empty table.
     """
-    return _measures(frequencies(table, _measurable(table, names), "identity"))
+    with held(frequencies(table, _measurable(table, names), "identity")) as f:
+        return _measures(f)
 
 
 def _measures(f: DataFrame) -> DataFrame:
+    """Measures from a held table of values with their counts; a row for each column, so they are gathered."""
     v, n = F.col("value"), F.col("n")
-    basic = only(f, v.isNotNull()).groupBy("column").agg(
-        F.min("value").alias("min"), F.max("value").alias("max"), F.sum(n).alias("__n"), (F.sum(v * n) / F.sum(n)).alias("mean")
-    )
+    some = f.where(v.isNotNull())
     low, high = fences()
     q = quartiles(f, ["column"], counted=True).withColumns({"low": low, "high": high})
-    edges = basic.join(q, "column")  # a row for each column
+    basic = some.groupBy("column").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.sum(n).alias("__n"), (F.sum(v * n) / F.sum(n)).alias("mean"))
+    edges = local((joined := basic.join(F.broadcast(q), "column")).collect(), joined)
     spread = F.sum((v - F.col("mean")) * (v - F.col("mean")) * n)
-    some = only(f, v.isNotNull()).join(F.broadcast(edges), "column").groupBy("column", *[c for c in edges.columns if c != "column"])
-    out = some.agg(
+    out = some.join(F.broadcast(edges), "column").groupBy("column", *[c for c in edges.columns if c != "column"]).agg(
         F.coalesce(F.sqrt(spread / F.when(F.col("__n") > 1, F.col("__n") - 1)), F.lit(0.0)).alias("deviation"),
         F.coalesce(F.sum(F.when((v < F.col("low")) | (v > F.col("high")), n)), F.lit(0)).alias("outliers"),
     )
-    return out.select("column", "min", "max", "mean", "deviation", "q1", "median", "q3", "low", "high", "outliers")
+    out = out.select("column", "min", "max", "mean", "deviation", "q1", "median", "q3", "low", "high", "outliers")
+    return local(out.collect(), out)
 
 
 def profile(table: Table, names: list[str] | None = None) -> DataFrame:
     """One row per column: kind, counts with shares, and the measures where there are any.
 
-    Everything comes from one table of values with their counts, and so from one scan.
+    Everything comes from one held table of values with their counts, and so from one scan.
     """
     kinds = table.df.sparkSession.createDataFrame([(c.name, c.kind) for c in table.columns], "column string, kind string")
-    f = frequencies(table, names, "identity")
-    all_ = _counts(f).join(F.broadcast(kinds), "column")
-    if _measurable(table, names):
-        all_ = all_.join(_measures(f), "column", "left")
+    with held(frequencies(table, names, "identity")) as f:
+        all_ = _counts(f)
+        all_ = local(all_.collect(), all_).join(F.broadcast(kinds), "column")
+        if _measurable(table, names):
+            all_ = all_.join(F.broadcast(_measures(f)), "column", "left")
     return all_.withColumns(
         {
             "missing_share": F.try_divide("missing", "total"),
@@ -165,7 +180,12 @@ def histogram(table: Table, names: list[str] | None = None, bins: int = BINS) ->
     outliers of the edge bins.  Equal values all fall into the first bin; a
     column without readable cells has no bins.
     """
-    f = frequencies(table, _measurable(table, names), "identity")
+    with held(frequencies(table, _measurable(table, names), "identity")) as f:
+        out = _histogram(f, bins)
+        return local(out.collect(), out)
+
+
+def _histogram(f: DataFrame, bins: int) -> DataFrame:
     clip = (F.col("outliers") > 0) & (F.least("high", "max") > F.greatest("low", "min"))
     span = _measures(f).select(
         F.col("column").alias("__c"),
@@ -178,10 +198,10 @@ def histogram(table: Table, names: list[str] | None = None, bins: int = BINS) ->
     )
     width = F.col("to") - F.col("from")
     place = F.floor((F.col("value") - F.col("from")) / F.when(width > 0, width) * bins)
-    bin_ = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(bins - 1), place)), F.lit(0)).cast("int")
-    values = only(f, F.col("value").isNotNull())
+    bin_ = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.coalesce(place, F.lit(0)))).cast("int")
     n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    got = values.join(F.broadcast(span), F.col("column") == F.col("__c")).groupBy("column", bin_.alias("bin")).agg(
+    values = f.where(F.col("value").isNotNull()).join(F.broadcast(span), F.col("column") == F.col("__c"))
+    got = values.groupBy("column", bin_.alias("bin")).agg(
         F.sum("n").alias("n"), n(F.col("value") < F.col("low")).alias("below"), n(F.col("value") > F.col("high")).alias("above")
     )
     grid = span.select(F.col("__c").alias("column"), "min", "max", "from", "to", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
@@ -261,15 +281,11 @@ def ranked_values(table: Table, name: str, k: int = 20) -> DataFrame:
 
 def summary_without(table: Table, name: str, excluded: tuple[float, ...]) -> DataFrame:
     """(count, min, max, mean, median, deviation) of a measure without the placeholders ``excluded``."""
-    v = cells(table, [name], None).where(F.col("value").isNotNull() & ~F.col("value").isin(*excluded)).select("column", "value")
-    basic = v.groupBy("column").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-        F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("deviation"),
-    )
-    return basic.join(quartiles(v, ["column"]).select("column", "median"), "column").drop("column")
+    kept = ~F.col("value").isin(*excluded) if excluded else F.lit(True)
+    with held(frequencies(table, [name], "identity").where(kept)) as f:
+        count = f.groupBy("column").agg(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("count"))
+        out = local(count.collect(), count).join(_measures(f), "column")
+    return out.select("count", "min", "max", "mean", "median", "deviation")
 
 
 def distribution_kind(kind: str, present: int, distinct: int) -> str:

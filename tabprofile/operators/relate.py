@@ -192,8 +192,9 @@ def level_shift(table: Table, name: str) -> DataFrame:
         }
     ).where((n >= 40) & ((F.col("trend").isNull()) | (F.abs("trend") < 0.9)) & (F.col("ck") <= F.floor(n * 0.9)) & (F.col("ck") < n))
     k = F.col("ck")
-    left, right = F.col("ca") / k, (F.col("ta") - F.col("ca")) / (n - k)
-    within = F.col("tb") - F.col("cb") - F.pow(F.col("ta") - F.col("ca"), 2) / (n - k) + (F.col("cb") - F.pow(F.col("ca"), 2) / k)
+    left, right = F.try_divide(F.col("ca"), k), F.try_divide(F.col("ta") - F.col("ca"), n - k)
+    # Squares about the two means: all squares less what each mean explains.
+    within = F.col("tb") - k * left * left - (n - k) * right * right
     effect = F.try_divide(F.abs(left - right), F.sqrt(F.greatest(F.lit(0.0), within) / (n - 2)))
     scored = cuts.select(k.alias("position"), effect.alias("effect"), (effect * F.sqrt(k * (n - k) / n)).alias("score"))
     best = scored.where("effect >= 1").agg(F.max_by(F.struct("position", "score"), F.struct("score", (-F.col("position")).alias("p"))).alias("m"))
