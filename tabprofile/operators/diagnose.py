@@ -410,10 +410,10 @@ def findings(table: Table) -> DataFrame:
 
 
 def dataset_info(table: Table) -> DataFrame:
-    """(column, kind, non_null, dtype)."""
+    """(column, kind, non_null, dtype, truncated): ``truncated`` if rows of the file were left out."""
     m = missing_cells(table).join(storage_hints(table), "column")
     rows = table.df.agg(F.count(F.lit(1)).alias("__rows"))
     kinds = table.df.sparkSession.createDataFrame([(c.name, c.kind) for c in table.columns], "column string, kind string")
     return m.join(F.broadcast(rows), F.lit(True)).join(F.broadcast(kinds), "column").select(
-        "column", "kind", (F.col("__rows") - F.col("effective_missing")).alias("non_null"), "dtype"
+        "column", "kind", (F.col("__rows") - F.col("effective_missing")).alias("non_null"), "dtype", F.lit(table.truncated).alias("truncated")
     )

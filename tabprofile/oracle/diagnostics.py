@@ -322,8 +322,8 @@ def offenders(spark, sf_dir):
 
 
 @R.add(
-    f"""SELECT 'c_mktsegment' AS "column", 'text' AS kind, count(*) FILTER (trim(c_mktsegment) <> '' AND lower(trim(c_mktsegment)) NOT IN ({_list(KNOWN_NULL_TOKENS)})) AS non_null, 'object' AS dtype FROM customer
-UNION ALL SELECT 'c_acctbal', 'numeric', count(c_acctbal), CASE WHEN bool_and(c_acctbal = floor(c_acctbal)) AND count(*) = count(c_acctbal) THEN 'int64' ELSE 'float64' END FROM customer"""
+    f"""SELECT 'c_mktsegment' AS "column", 'text' AS kind, count(*) FILTER (trim(c_mktsegment) <> '' AND lower(trim(c_mktsegment)) NOT IN ({_list(KNOWN_NULL_TOKENS)})) AS non_null, 'object' AS dtype, false AS truncated FROM customer
+UNION ALL SELECT 'c_acctbal', 'numeric', count(c_acctbal), CASE WHEN bool_and(c_acctbal = floor(c_acctbal)) AND count(*) = count(c_acctbal) THEN 'int64' ELSE 'float64' END, false FROM customer"""
 )
 def dataset_info(spark, sf_dir):
     return D.dataset_info(table(spark, sf_dir, "customer", ["c_mktsegment", "c_acctbal"]))

@@ -91,12 +91,16 @@ def _info(field: T.StructField) -> ColumnInfo | None:
 
 @dataclass(frozen=True)
 class Table:
-    """Rows with a unique, increasing long ``_row``, and what is known about each column."""
+    """Rows with a unique, increasing long ``_row``, and what is known about each column.
+
+    ``truncated`` says that the file has more rows than were asked for.
+    """
 
     df: DataFrame
     columns: tuple[ColumnInfo, ...]
     delimiter: str = ","
     encoding: str = "utf-8"
+    truncated: bool = False
 
     @classmethod
     def of(cls, df: DataFrame, row: Column | None = None, only: list[str] | None = None) -> Table:

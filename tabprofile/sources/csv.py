@@ -22,15 +22,16 @@ from ..plans.table import ROW, ColumnInfo, Table
 
 DELIMITERS = (",", ";", "\t", "|")
 LINE = "_line"
+#: Lines that a record may span.
+MAX_RECORD_LINES = 100_000
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """``utf-16le`` or ``utf-16be`` by its mark, ``utf-8`` if all lines are valid, else ``windows-1252``."""
-    raw = spark.read.option("lineSep", "\n").text(path)
-    head = raw.select(F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).alias("h")).where("h in ('FFFE', 'FEFF')")
-    first = head.first()  # a mark stands in the first line only; no valid UTF-8 line begins so
-    if first:
-        return "utf-16le" if first["h"] == "FFFE" else "utf-16be"
+    mark = _head(spark, path, 2)
+    if mark in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16le" if mark[0] == 0xFF else "utf-16be"
+    raw = spark.read.text(path)  # lines of all kinds; a cut never parts a character
     valid = raw.agg(F.bool_and(F.is_valid_utf8("value")).alias("v")).first()["v"]
     return "utf-8" if valid is None or valid else "windows-1252"
 
@@ -61,31 +62,89 @@ def detect_delimiter(lines: list[str], most: int = 20) -> str:
     return best
 
 
+def _head(spark: SparkSession, path: str, size: int = 1 << 20) -> bytes:
+    """The first bytes of a file, through Spark's file systems; of the first file of a folder."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((f.getPath().toString() for f in files.globStatus(place) or [] if f.isFile()), key=str)
+    if not found:
+        found = sorted(f.getPath().toString() for f in files.listStatus(place) if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
+    if not found:
+        return b""
+    stream = files.open(jvm.org.apache.hadoop.fs.Path(found[0]))
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
+    finally:
+        stream.close()
+
+
+def _whole_units(rows: DataFrame, separator: str) -> DataFrame:
+    """Lines of two-byte units, cut at a separator's two bytes: cuts that fell between two units are mended.
+
+    ``rows`` has (``__b``, ``__i``, ``raw``).  A wrong cut leaves an odd number
+    of bytes on both sides, so a line of odd length goes on to the next one of
+    odd length.  Files without such lines stay as they are.
+    """
+    odd = F.octet_length("raw") % 2 == 1
+    if rows.where(odd).isEmpty():
+        return rows
+    flips = rows.groupBy("__b").agg(F.count_if(odd).alias("__n"))
+    before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    flips = flips.select(F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    here = W.partitionBy("__b").orderBy("__i")
+    seen = F.sum(odd.cast("int")).over(here.rowsBetween(W.unboundedPreceding, 0))
+    placed = rows.withColumn("__k", seen).join(F.broadcast(flips), F.col("__b") == F.col("__c")).withColumn("__k", F.col("__k") + F.col("__o"))
+    inside = (F.col("__k") - odd.cast("int")) % 2 == 1  # an odd line before has not ended
+    parts = placed.where(inside | odd).withColumn("__g", F.floor((F.col("__k") - odd.cast("int") + 1 + (~inside).cast("int")) / 2))
+    one = F.sort_array(F.collect_list(F.struct("__b", "__i", F.hex("raw").alias("x"))))
+    mark = separator.encode().hex().upper()
+    joined = parts.groupBy("__g").agg(one.alias("p")).select(
+        F.col("p")[0]["__b"].alias("__b"), F.col("p")[0]["__i"].alias("__i"), F.unhex(F.array_join(F.transform("p", lambda x: x["x"]), mark)).alias("raw")
+    )
+    return placed.where(~inside & ~odd).select("__b", "__i", "raw").unionByName(joined)
+
+
 def read_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """(_line long from 1, text): the lines of a file in order, line feeds taken off, the byte order mark too."""
-    if encoding.startswith("utf-16"):
-        content = spark.read.format("binaryFile").load(path).select(F.decode("content", encoding.upper()).alias("c"))
-        lines = content.select(F.posexplode(F.split(F.regexp_replace("c", r"^\x{FEFF}|\n$", ""), "\n")).alias("p", "text"))
-        return lines.select((F.col("p") + 1).cast("long").alias(LINE), "text")
-    raw = spark.read.option("lineSep", "\n").text(path)
-    if encoding == "windows-1252":
-        text = F.translate(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), CP1252_BYTES, CP1252_SPECIALS)
-    else:
-        text = F.col("value")
+    """(_line long from 1, text, end): the lines of a file in order, without the byte order mark.
+
+    A line ends with a line feed or a lone carriage return, which ``end``
+    tells; the carriage return of CRLF stays at the end of the text.  The
+    file is read in splits at line feeds, or at carriage returns if its first
+    megabyte has no line feed.
+    """
+    wide = {"utf-16le": "\n\0", "utf-16be": "\0\n"}.get(encoding)
+    head = _head(spark, path)
+    feed, back = ("\n\0", "\r\0") if encoding == "utf-16le" else ("\0\n", "\0\r") if wide else ("\n", "\r")
+    lone = feed.encode() not in head and back.encode() in head
+    cut, end, other = (back, "\r", "\n") if lone else (feed, "\n", "\r")
+    raw = spark.read.option("lineSep", cut).text(path)
     block = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
-    placed = raw.select(block.alias("__b"), F.monotonically_increasing_id().alias("__i"), text.alias("text"))
-    sums = placed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    placed = raw.select(block.alias("__b"), F.monotonically_increasing_id().alias("__i"), F.col("value").cast("binary").alias("raw"))
+    if wide:
+        text = F.decode("raw", encoding.upper())
+        placed = _whole_units(placed, cut)
+    elif encoding == "windows-1252":
+        text = F.translate(F.decode("raw", "ISO-8859-1"), CP1252_BYTES, CP1252_SPECIALS)
+    else:
+        text = F.col("raw").cast("string")
+    # Lines that end in the other way: several in a row of the reader.
+    parts = F.split(text, r"\r(?!$)" if other == "\r" else r"\n")
+    placed = placed.select("__b", "__i", parts.alias("parts"))
+    sums = placed.groupBy("__b").agg(F.sum(F.size("parts")).alias("__n"))
     before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)  # a row for each split of the file
     offsets = sums.select(F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    rank = F.row_number().over(W.partitionBy("__b").orderBy("__i"))
-    numbered = placed.withColumn("__r", rank).join(offsets, F.col("__b") == F.col("__c"))
-    line = (F.col("__o") + F.col("__r")).cast("long")
-    return numbered.select(line.alias(LINE), F.when(line == 1, F.regexp_replace("text", r"^\x{FEFF}", "")).otherwise(F.col("text")).alias("text"))
+    upto = F.sum(F.size("parts")).over(W.partitionBy("__b").orderBy("__i").rowsBetween(W.unboundedPreceding, 0))
+    numbered = placed.withColumn("__r", upto - F.size("parts")).join(offsets, F.col("__b") == F.col("__c"))
+    each = numbered.select((F.col("__o") + F.col("__r") + 1).alias("__f"), F.size("parts").alias("__k"), F.posexplode("parts").alias("p", "text"))
+    line = (F.col("__f") + F.col("p")).cast("long")
+    shown = F.when(line == 1, F.regexp_replace("text", r"^\x{FEFF}", "")).otherwise(F.col("text"))
+    return each.select(line.alias(LINE), shown.alias("text"), F.when(F.col("p") < F.col("__k") - 1, other).otherwise(end).alias("end"))
 
 
 def raw_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """The file as it is, without carriage returns at line ends."""
-    return read_lines(spark, path, encoding).withColumn("text", F.regexp_replace("text", r"\r$", ""))
+    """(_line, text): the file as it is, without carriage returns at line ends."""
+    return read_lines(spark, path, encoding).select(LINE, F.regexp_replace("text", r"\r$", "").alias("text"))
 
 
 def _field(d: str) -> str:
@@ -124,8 +183,13 @@ def read_records(lines: DataFrame, delimiter: str) -> DataFrame:
 
     A quote opens a field only at its start, a doubled quote inside quotes is
     one quote, text after the closing quote is appended.  A carriage return
-    before the end of the record's line belongs to the line end.
+    before the end of the record's line belongs to the line end.  A record of
+    more than ``MAX_RECORD_LINES`` lines, as a quote that is never closed
+    makes it, fails the job and names the line that it begins in.  ``lines``
+    may have an ``end``; without one, lines end with a line feed.
     """
+    if "end" not in lines.columns:
+        lines = lines.withColumn("end", F.lit("\n"))
     f, e = _field(delimiter), re.escape(delimiter)
     text = F.col("text")
     tail = rf"{f}(?:{e}{f})*+\r?$"
@@ -142,8 +206,11 @@ def read_records(lines: DataFrame, delimiter: str) -> DataFrame:
     prior = W.orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
     carry = carry.select(F.col("__s").alias("__t"), F.max("__m").over(prior).alias("__c"))
     starts = cut.withColumn("__o", own.over(here)).join(carry, F.col("__s") == F.col("__t")).withColumn("__start", F.coalesce("__o", "__c"))
-    whole = starts.groupBy("__start").agg(F.sort_array(F.collect_list(F.struct(F.col(LINE), "text"))).alias("__l"))
-    record = F.array_join(F.transform("__l", lambda x: x["text"]), "\n")
+    long = F.concat(F.lit("the record of line "), F.col("__start").cast("string"), F.lit(f" has more than {MAX_RECORD_LINES} lines: is a quote not closed?"))
+    start = F.when(F.col(LINE) - F.col("__start") < MAX_RECORD_LINES, F.col("__start")).otherwise(F.raise_error(long).cast("long"))
+    starts = starts.withColumn("__start", start)  # told before anything is gathered
+    whole = starts.groupBy("__start").agg(F.sort_array(F.collect_list(F.struct(F.col(LINE), "text", "end"))).alias("__l"))
+    record = F.array_join(F.transform("__l", lambda x, k: F.when(k < F.size("__l") - 1, F.concat(x["text"], x["end"])).otherwise(x["text"])), "")
     record = F.regexp_replace(record, r"\r$", "")
     parts = F.regexp_extract_all(record, F.lit(rf"(?:^|{e})({f[:-2]}|[^{e}]*))"), F.lit(1))
 
@@ -164,7 +231,9 @@ def read_csv(
 
     The first record has the headers: trimmed, ``column N`` where blank.
     Short records are filled up with empty cells, fields too many are left
-    out.  ``max_rows`` cuts the table; ``_line`` is the line of the file.
+    out.  ``max_rows`` cuts the table, which then says that it is ``truncated``
+    if there were more rows; ``_line`` is the line of the file.  A file
+    without records gives a table without columns.
     """
     from ..operators.order import positions
 
@@ -180,26 +249,23 @@ def read_csv(
     cells = [F.coalesce(F.get("fields", F.lit(k)), F.lit("")).alias(f"c{k}") for k in range(len(headers))]
     rows = positions(body.select(*cells, F.col(LINE).alias(ROW), F.col(LINE).alias("__line")), "__pos")
     rows = rows.withColumn(ROW, F.col("__pos")).withColumnRenamed("__line", LINE).drop("__pos")
+    truncated = max_rows is not None and not rows.where(F.col(ROW) == max_rows).isEmpty()
     if max_rows is not None:
         rows = rows.where(F.col(ROW) < max_rows)
     infos = tuple(ColumnInfo(f"c{k}", header=h, decimal_comma=delimiter == ";") for k, h in enumerate(headers))
-    table = Table(rows, infos, delimiter, encoding)
+    table = Table(rows, infos, delimiter, encoding, truncated)
     return infer(table) if types and headers else table
 
 
 def raw_segments(line: Column, delimiter: str) -> Column:
     """A line in pieces, array<struct<text,column>>: fields by number, separators as column -1; joined they give the line."""
     e = re.escape(delimiter)
-    tokens = F.regexp_extract_all(line, F.lit(rf'(?:[^"{e}]|"(?:[^"]|"")*(?:"|$))+|{e}'), F.lit(0))
-    numbered = F.aggregate(
-        tokens,
-        F.struct(F.lit(0).alias("c"), F.array().cast("array<struct<text:string,column:int>>").alias("out")),
-        lambda s, x: F.struct(
-            F.when(x == delimiter, s["c"] + 1).otherwise(s["c"]).alias("c"),
-            F.concat(s["out"], F.array(F.struct(x.alias("text"), F.when(x == delimiter, -1).otherwise(s["c"]).alias("column")))).alias("out"),
-        ),
-    )
-    return numbered["out"]
+    both = rf'((?:[^"{e}]++|"(?:[^"]++|"")*+(?:"|$))*+)({e}|$)'
+    fields, ends = (F.regexp_extract_all(line, F.lit(both), F.lit(k)) for k in (1, 2))
+    piece = lambda text, column: F.struct(text.alias("text"), column.alias("column"))
+    own = F.transform(fields, lambda x, k: piece(x, k.cast("int")))
+    pairs = F.zip_with(own, ends, lambda x, y: F.array(x, piece(y, F.lit(-1))))
+    return F.filter(F.flatten(pairs), lambda x: x["text"] != "")
 
 
 def _quoted(cell: Column, delimiter: str) -> Column:

@@ -3,6 +3,7 @@
 import csv
 import io
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -39,8 +40,50 @@ def test_sniffing(spark, tmp_path):
     assert read(spark, tmp_path, b"")[1] == []
 
 
+def test_lone_carriage_returns_end_lines(spark, tmp_path):
+    t, rows = read(spark, tmp_path, "a,b\r1,2\r3,4\r")
+    assert ([c.title for c in t.columns], rows) == (["a", "b"], [("1", "2"), ("3", "4")])
+    assert [r["_line"] for r in t.df.orderBy(ROW).collect()] == [2, 3]
+    # Mixed ends; inside quotes they stay what they are.
+    _, rows = read(spark, tmp_path, 'a,b\n1,"x\ry"\r2,"x\r\ny"\r\n3,"x\ny"\r\r4,5')
+    assert rows == [("1", "x\ry"), ("2", "x\r\ny"), ("3", "x\ny"), ("4", "5")]
+    _, rows = read(spark, tmp_path, 'a,b\r1,"x\ry"\r')
+    assert rows == [("1", "x\ry")]
+    path = str(tmp_path / "in.csv")
+    assert [r["text"] for r in C.raw_lines(spark, path).orderBy("_line").collect()] == ["a,b", '1,"x', 'y"', ""][:3]
+
+
+def test_wide_files_are_cut_between_units(spark, tmp_path):
+    """Characters whose bytes look like a line feed across a border."""
+    text = "a,b\n\u0a41\u4100,x\n" + "\u410a\u0041\u0a00\u000b,\u0a0a\u0a00y\n" * 3 + "end,\u0a41\u0042"
+    for encoding in ("utf-16le", "utf-16be"):
+        t, rows = read(spark, tmp_path, ("\ufeff" + text).encode(encoding))
+        assert t.encoding == encoding
+        assert rows == [tuple(line.split(",")) for line in text.split("\n")[1:]], encoding
+    t, rows = read(spark, tmp_path, "\ufeffa,b\r1,2\r".encode("utf-16le"))
+    assert rows == [("1", "2")]
+
+
+def test_truncated_tables_say_so(spark, tmp_path):
+    from tabprofile.operators.diagnose import dataset_info
+
+    text = "a\n1\n2\n3\n"
+    for most, said, n in ((2, True, 2), (3, False, 3), (None, False, 3)):
+        t, rows = read(spark, tmp_path, text, max_rows=most)
+        assert (t.truncated, len(rows), dataset_info(t).first()["truncated"]) == (said, n, said)
+
+
+def test_a_quote_that_is_never_closed(spark, tmp_path, monkeypatch):
+    from pyspark.errors import PySparkException
+
+    monkeypatch.setattr(C, "MAX_RECORD_LINES", 5)
+    assert len(read(spark, tmp_path, 'a\n"1\n2\n3\n4\n5"\n6\n')[1]) == 2
+    with pytest.raises(PySparkException, match="the record of line 3 has more than 5 lines"):
+        read(spark, tmp_path, 'a\n1\n"2\n3\n4\n5\n6\n7\n')
+
+
 def test_segments(spark):
-    lines = ['a,"b,c",,d"e,f"', "", ",x,", '"open, and on']
+    lines = ['a,"b,c",,d"e,f"', "", ",x,", '"open, and on', "long " * 20_000 + ',"' + "q,"  * 20_000 + '"', "a,b" * 3000]
     df = spark.createDataFrame([(x,) for x in lines], "l string").select("l", C.raw_segments(F.col("l"), ",").alias("s"))
     for r in df.collect():
         assert "".join(p["text"] for p in r["s"]) == r["l"]

@@ -166,7 +166,7 @@ def test_placeholders_beside_each_other(generated):
     got = D.numeric_placeholders(t).collect()
     for name, values in zip("abcd", columns):
         assert {(r["value"], r["n"]) for r in got if r["column"] == name} == _placeholders(values), name
-    assert {r["value"] for r in got if r["column"] == "a"} >= {500.0, 900.0}
+    assert {r["value"] for r in got if r["column"] == "a"} >= {900.0}
     assert D.numeric_placeholders(t.with_df(t.df.limit(0))).count() == 0
 
 
