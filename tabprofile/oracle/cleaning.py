@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..plans import recipe as C
@@ -94,14 +96,74 @@ def recipe_effects(spark, sf_dir):
     return C.apply_steps(t, steps).effects()
 
 
+_NOTE = "CASE c_custkey % 6 WHEN 0 THEN 'CafÃ©' WHEN 1 THEN 'Ça va' WHEN 2 THEN 'TrÃ¨s bon' WHEN 3 THEN 'Ãœber' WHEN 4 THEN 'â‚¬ 12' ELSE c_mktsegment END"
+
+
 @R.add(
-    union_sql([f"SELECT '{v}' AS raw, {e} AS fixed" for v, e in {"CafÃ©": "'Café'", "Ça va": "NULL", "TrÃ¨s bon": "'Très bon'", "plain": "NULL", "Ãœber": "'Über'"}.items()])
+    f"""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Café' WHEN 2 THEN 'Très bon' WHEN 3 THEN 'Über' WHEN 4 THEN '€ 12' ELSE note END AS note
+FROM (SELECT c_custkey, {_NOTE} AS note FROM customer)"""
 )
 def mojibake_fix(spark, sf_dir):
-    from ..functions.text import fix_mojibake
+    """A column of notes with damaged accents, mended by a step."""
+    t = table(spark, sf_dir, "customer", ["c_custkey", "note"], {"note": F.expr(_NOTE)})
+    return C.apply_steps(t, (C.FixEncoding("note"),)).output()
+
+
+@R.add(
+    """SELECT p_partkey, replace(p_name, 'a', 'a') AS p_name, CASE WHEN p_brand = 'Brand#12' THEN 'the twelfth' ELSE p_brand END AS p_brand,
+  coalesce(TRY_CAST(CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_partkey::VARCHAR END AS INT)::VARCHAR, '') AS n FROM part WHERE p_partkey % 11 > 0"""
+)
+def clean_merge_type(spark, sf_dir):
+    """Hidden characters dropped, a whole cell replaced, unreadable numbers emptied (a second type replaces the first), blank rows dropped."""
+    full = F.col("p_partkey") % 11 > 0
+    extra = {
+        "p_name": F.when(full, F.concat(F.lit("\u200b"), "p_name", F.lit("\x07"))),
+        "p_brand": F.when(full, F.col("p_brand")),
+        "n": F.when(full, F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).otherwise(F.col("p_partkey").cast("string"))),
+    }
+    t = table(spark, sf_dir, "part", ["p_name", "p_brand", "n"], extra)
+    steps: tuple = ()
+    for step in (
+        C.Clean("p_name"),
+        C.Replace("p_brand", "Brand#12", "the twelfth", "whole"),
+        C.SetType("n", "date"),
+        C.SetType("n", "numeric"),
+        C.RemoveBlankRows(),
+    ):
+        steps = C.add_step(steps, step)
+    left = C.apply_steps(t, steps).rows()
+    return left.df.select(F.col("_row").alias("p_partkey"), "p_name", "p_brand", "n")
+
+
+@R.add(
+    """SELECT 'trim' AS step, 0::BIGINT AS effect UNION ALL SELECT 'upper', count_if(c_mktsegment <> upper(c_mktsegment)) FROM customer
+UNION ALL SELECT 'merge', count_if(c_mktsegment IN ('BUILDING', 'MACHINERY')) FROM customer
+UNION ALL SELECT 'duplicates', count(*) - count(DISTINCT c_mktsegment) FROM customer"""
+)
+def preview_effects(spark, sf_dir):
+    """What single steps would do, before one is taken."""
+    t = table(spark, sf_dir, "customer", ["c_mktsegment"])
+    steps = {
+        "trim": C.Trim("c_mktsegment"),
+        "upper": C.Case("c_mktsegment", "upper"),
+        "merge": C.Merge("c_mktsegment", ("BUILDING", "MACHINERY"), "things"),
+        "duplicates": C.RemoveDuplicates(),
+    }
+    parts = [C.preview_effect(t, s).select(F.lit(k).alias("step"), "effect") for k, s in steps.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@R.add("SELECT doc_id, md5(coalesce(text, '')) AS text_md5, coalesce(lang, '') AS lang FROM documents")
+def csv_round_trip(spark, sf_dir):
+    """Documents to delimited lines and back by the record reader, texts of many lines included."""
+    from ..sources import csv as S
 
-    df = spark.createDataFrame([(v,) for v in ("CafÃ©", "Ça va", "TrÃ¨s bon", "plain", "Ãœber")], "raw string")
-    return df.select("raw", fix_mojibake(F.col("raw")).alias("fixed"))
+    t = table(spark, sf_dir, "documents", ["text", "lang"])
+    line = S.csv_lines(t, ",", header=False).select("_row", F.posexplode(F.split("line", "\n")).alias("p", "text"))
+    lines = line.select((F.col("_row") * (1 << 24) + F.col("p")).alias(S.LINE), "text")  # numbers need not be gapless
+    back = S.read_records(lines, ",")
+    cell = lambda k: F.coalesce(F.get("fields", F.lit(k)), F.lit(""))
+    return back.select(F.floor(F.col(S.LINE) / (1 << 24)).alias("doc_id"), F.md5(cell(0)).alias("text_md5"), cell(1).alias("lang"))
 
 
 @R.add("SELECT c_custkey AS id, c_name AS customer, CASE WHEN c_custkey % 4 = 0 THEN 'none' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey NOT IN (1, 2, 3)")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
@@ -234,12 +233,66 @@ def unique_values(spark, sf_dir):
     return FL.apply_filters(table(spark, sf_dir, "events"), (FL.UniqueFilter("value"),)).df.select("event_id", "value")
 
 
-@R.add("SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS place, c_custkey FROM customer QUALIFY place < 100")
+@R.add(
+    "SELECT row_number() OVER (ORDER BY v DESC NULLS LAST, c_custkey) - 1 AS place, c_custkey FROM (SELECT c_custkey, CASE WHEN c_custkey % 9 > 0 THEN round(c_acctbal, -2) END AS v FROM customer)"
+)
 def sort_numeric(spark, sf_dir):
-    """The hundred largest: what a sorted view shows first."""
-    top = FL.sort_rows(table(spark, sf_dir, "customer"), "c_acctbal", descending=True).limit(100)
-    rank = F.row_number().over(W.orderBy(F.desc("c_acctbal"), "c_custkey"))
-    return top.select((rank - 1).alias("place"), "c_custkey")
+    """Every row's place by a measure with ties and gaps, the largest first."""
+    t = table(spark, sf_dir, "customer", ["v", "c_custkey"], {"v": F.expr("CASE WHEN c_custkey % 9 > 0 THEN round(c_acctbal, -2) END")})
+    return FL.sorted_positions(t, "v", descending=True, rows_per_window=500).select("place", "c_custkey")
+
+
+@R.add("SELECT row_number() OVER (ORDER BY lower(v), v, p_partkey) - 1 AS place, p_partkey FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 > 0 THEN p_type ELSE '' END AS v FROM part)")
+def sort_text(spark, sf_dir):
+    """Every row's place by a text column, by the rules of Unicode."""
+    t = table(spark, sf_dir, "part", ["v", "p_partkey"], {"v": F.expr("CASE WHEN p_partkey % 9 > 0 THEN p_type END")})
+    return FL.sorted_positions(t, "v", rows_per_window=500).select("place", "p_partkey")
+
+
+@R.add("SELECT coalesce(o_orderpriority, '') AS value, count(*) AS n FROM (SELECT upper(o_orderpriority) AS o_orderpriority, o_totalprice FROM orders) GROUP BY 1")
+def all_value_counts(spark, sf_dir):
+    """Counts over all cleaned rows, whatever the filters are."""
+    from ..plans import recipe as C
+    from ..plans.session import Session
+
+    s = Session(table(spark, sf_dir, "orders", ["o_orderpriority", "o_totalprice"])).with_step(C.Case("o_orderpriority", "upper"))
+    return s.toggle(FL.CompareFilter("o_totalprice", ">", 100000)).all_value_counts("o_orderpriority")
+
+
+@R.add(
+    union_sql(
+        [
+            f"SELECT '{k}' AS op, count(*) AS n, coalesce(sum(o_orderkey), 0)::BIGINT AS keys FROM orders WHERE {cond}"
+            for k, cond in {"after": "o_orderdate > DATE '1995-03-15'", "between": "o_orderdate BETWEEN DATE '1994-01-01' AND DATE '1994-12-31'", "not": "o_orderdate <> DATE '1996-01-02'"}.items()
+        ]
+    )
+)
+def filter_typed_dates(spark, sf_dir):
+    """Bounds as they are typed into a filter of a date column."""
+    t = table(spark, sf_dir, "orders")
+    filters = {
+        "after": FL.CompareFilter("o_orderdate", ">", "1995-03-15"),
+        "between": FL.CompareFilter("o_orderdate", "between", "1994-12-31", "1994/01/01"),
+        "not": FL.CompareFilter("o_orderdate", "!=", "1996-01-02"),
+    }
+    out = None
+    for k, f in filters.items():
+        one = FL.apply_filters(t, (f,)).df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("o_orderkey"), F.lit(0)).alias("keys"))
+        one = one.select(F.lit(k).alias("op"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@R.add(
+    f"SELECT 'only' AS op, count(*) AS n, sum(event_id)::BIGINT AS ids FROM (SELECT event_id, {BLANKED} AS v FROM events) WHERE v IS NULL UNION ALL SELECT 'hide', count(*), sum(event_id)::BIGINT FROM (SELECT event_id, {BLANKED} AS v FROM events) WHERE v IS NOT NULL"
+)
+def filter_empty(spark, sf_dir):
+    t = table(spark, sf_dir, "events", ["event_id", "v"], {"v": F.expr(BLANKED)})
+    parts = []
+    for k, f in {"only": FL.only_empty("v"), "hide": FL.hide_empty("v")}.items():
+        one = FL.apply_filters(t, (f,)).df.agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+        parts.append(one.select(F.lit(k).alias("op"), "*"))
+    return parts[0].unionByName(parts[1])
 
 
 @R.add(

@@ -289,3 +289,37 @@ def sort_rows(table: Table, column: str | None = None, descending: bool = False)
         text = F.collate(_value_key(c), "UNICODE")
         key = text.desc() if descending else text.asc()
     return table.df.orderBy(key, ROW)
+
+
+def sorted_positions(table: Table, column: str, descending: bool = False, rows_per_window: int = 1 << 16, most: int = 1024, out: str = "place") -> DataFrame:
+    """All rows with their place (from 0) in the order of :func:`sort_rows`, without bringing them to one task.
+
+    Keys sampled by a hash of ``_row`` cut the order into stretches (at most
+    ``most``), which are numbered on their own; a table of a row for each
+    stretch has the offsets.
+    """
+    c = table[column]
+    key = c.value() if c.measurable else F.collate(_value_key(c), "UNICODE")
+    rows = table.df.withColumn("__key", key)
+    n = rows.count()
+    parts = max(1, min(most, n // rows_per_window))
+    every = max(1, n // (16 * parts))
+    some = rows.where(F.col("__key").isNotNull() & (F.pmod(F.xxhash64(ROW), F.lit(every)) == 0)).select("__key").orderBy("__key") if parts > 1 else None
+    keys = [r["__key"] for r in some.collect()] if some is not None else []  # about 16 a stretch
+    cuts = [keys[k * len(keys) // parts] for k in range(1, parts)] if keys else []
+    bound = (lambda x: F.lit(x)) if c.measurable else (lambda x: F.collate(F.lit(x), "UNICODE"))
+    at = F.lit(0)
+    for x in _chunks(cuts):
+        at = at + F.size(F.filter(F.array(*[bound(v) for v in x]), lambda v: v <= F.col("__key")))
+    at = -at if descending else at
+    cut = rows.withColumn("__s", F.when(F.col("__key").isNull(), F.lit(len(cuts) + 1)).otherwise(at))  # unreadable cells come last
+    sums = cut.groupBy("__s").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(F.col("__s").alias("__t"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    rank = F.row_number().over(W.partitionBy("__s").orderBy(F.desc("__key") if descending else F.asc("__key"), ROW))
+    numbered = cut.withColumn("__r", rank).join(F.broadcast(offsets), F.col("__s") == F.col("__t"))
+    return numbered.withColumn(out, F.col("__o") + F.col("__r") - 1).drop("__key", "__s", "__t", "__o", "__r")
+
+
+def _chunks(values: list, size: int = 200) -> list[list]:
+    return [values[k : k + size] for k in range(0, len(values), size)]

@@ -1,8 +1,9 @@
 """Cleaning steps as data, and how a list of them is replayed on a table.
 
 Nothing is removed while a recipe runs: a row that a step drops gets the
-step's number in ``_dropped_at``, a cell that a step changes sets the step's
-flag.  One aggregate over the result tells the effect of every step.
+step's number, a cell that a step changes sets the step's flag.  One aggregate
+over the result tells the effect of every step.  The columns for this get names
+that no column of the table has.
 """
 
 from __future__ import annotations
@@ -20,9 +21,6 @@ from ..functions.infer import forced, infer
 from ..operators.order import fill
 from .table import ROW, ColumnInfo, Table
 
-DROPPED = "_dropped_at"
-
-
 @dataclass(frozen=True)
 class Rename:
     column: str
@@ -250,18 +248,20 @@ class Cleaned:
     table: Table
     steps: tuple[Step, ...]
     hidden: frozenset[str]
+    mark: str
 
     def rows(self, visible_only: bool = True) -> Table:
         """The rows that are left; hidden columns are left out unless asked for."""
         shown = [c for c in self.table.columns if not (visible_only and c.name in self.hidden)]
-        df = self.table.df.where(F.col(DROPPED).isNull()).select(*[F.col(f"`{c.name}`") for c in shown], ROW)
+        df = self.table.df.where(F.col(f"{self.mark}dropped").isNull()).select(*[F.col(f"`{c.name}`") for c in shown], ROW)
         return replace(self.table, df=df, columns=tuple(shown))
 
     def effects(self) -> DataFrame:
         """(step int, effect long): cells changed or rows dropped by each step, from one aggregate."""
         sums = []
         for k, step in enumerate(self.steps):
-            flag = F.count_if(F.col(f"_e{k}")) if f"_e{k}" in self.table.df.columns else F.count_if(F.col(DROPPED) == k)
+            own = f"{self.mark}e{k}"
+            flag = F.count_if(F.col(own)) if own in self.table.df.columns else F.count_if(F.col(f"{self.mark}dropped") == k)
             sums.append(F.struct(F.lit(k).alias("step"), flag.alias("effect")))
         if not sums:
             return self.table.df.sparkSession.createDataFrame([], "step int, effect long")
@@ -273,9 +273,9 @@ class Cleaned:
         return left.df.select(*[F.col(f"`{c.name}`").alias(c.title) for c in left.columns])
 
 
-def _drop(df: DataFrame, k: int, condition: Column) -> DataFrame:
-    alive = F.col(DROPPED).isNull()
-    return df.withColumn(DROPPED, F.when(alive & condition, F.lit(k)).otherwise(F.col(DROPPED)))
+def _drop(df: DataFrame, dropped: str, k: int, condition: Column) -> DataFrame:
+    alive = F.col(dropped).isNull()
+    return df.withColumn(dropped, F.when(alive & condition, F.lit(k)).otherwise(F.col(dropped)))
 
 
 def apply_steps(table: Table, steps: tuple[Step, ...], infer_types: bool = False) -> Cleaned:
@@ -284,50 +284,54 @@ def apply_steps(table: Table, steps: tuple[Step, ...], infer_types: bool = False
     ``infer_types`` decides the kinds of raw columns anew at the end, except
     those that a step has set.
     """
-    df = table.df.withColumn(DROPPED, F.lit(None).cast("int"))
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in table.df.columns):
+        mark += "_"
+    dropped, made = f"{mark}dropped", f"{mark}new"
+    df = table.df.withColumn(dropped, F.lit(None).cast("int"))
     now, hidden = table.with_df(df), set()
-    alive = F.col(DROPPED).isNull()
+    alive = F.col(dropped).isNull()
     for k, step in enumerate(steps):
         df = now.df
         if isinstance(step, Rename):
             now = now.with_columns(replace(now[step.column], header=step.to))
-            df = df.withColumn(f"_e{k}", F.lit(False))
+            df = df.withColumn(f"{mark}e{k}", F.lit(False))
         elif isinstance(step, Remove):
             hidden.add(step.column)
-            df = df.withColumn(f"_e{k}", F.lit(False))
+            df = df.withColumn(f"{mark}e{k}", F.lit(False))
         elif isinstance(step, DropEmpty):
-            df = _drop(df, k, now[step.column].blank())
+            df = _drop(df, dropped, k, now[step.column].blank())
         elif isinstance(step, RemoveBlankRows):
             all_blank = F.lit(True)
             for c in now.columns:
                 all_blank = all_blank & c.blank()
-            df = _drop(df, k, all_blank)
+            df = _drop(df, dropped, k, all_blank)
         elif isinstance(step, DropRows):
-            listed = df.sparkSession.createDataFrame([(r,) for r in set(step.rows)], "__gone long")
-            df = df.join(listed, F.col(ROW) == F.col("__gone"), "left")
-            df = _drop(df, k, F.col("__gone").isNotNull()).drop("__gone")
+            listed = df.sparkSession.createDataFrame([(r,) for r in set(step.rows)], f"{mark}gone long")
+            df = df.join(listed, F.col(ROW) == F.col(f"{mark}gone"), "left")
+            df = _drop(df, dropped, k, F.col(f"{mark}gone").isNotNull()).drop(f"{mark}gone")
         elif isinstance(step, RemoveDuplicates):
             key = [now[c].raw() if now[c].stored == "raw" else now[c].cell for c in (step.columns or now.names)]
-            firsts = df.where(alive).groupBy(*[c.alias(f"__k{i}") for i, c in enumerate(key)]).agg(F.min(ROW).alias("__first"))
-            df = df.join(firsts.select("__first"), F.col(ROW) == F.col("__first"), "left")
-            df = _drop(df, k, F.col("__first").isNull()).drop("__first")
+            firsts = df.where(alive).groupBy(*[c.alias(f"{mark}k{i}") for i, c in enumerate(key)]).agg(F.min(ROW).alias(f"{mark}first"))
+            df = df.join(firsts.select(f"{mark}first"), F.col(ROW) == F.col(f"{mark}first"), "left")
+            df = _drop(df, dropped, k, F.col(f"{mark}first").isNull()).drop(f"{mark}first")
         elif isinstance(step, (FillDown, FillUp)):
             c = now[step.column]
             cell = c.raw() if c.stored == "raw" else c.cell
-            df = fill(df, cell, c.blank(), alive, down=isinstance(step, FillDown), out="__new")
-            df = df.withColumn(f"_e{k}", alive & ~F.col("__new").eqNullSafe(cell))
-            df = df.withColumn(c.name, F.col("__new")).drop("__new")
+            df = fill(df, cell, c.blank(), alive, down=isinstance(step, FillDown), out=made)
+            df = df.withColumn(f"{mark}e{k}", alive & ~F.col(made).eqNullSafe(cell))
+            df = df.withColumn(c.name, F.col(made)).drop(made)
         else:
             c, new = now[step.column], new_cell(now, step)
             cell = c.raw() if c.stored == "raw" else c.cell
             if isinstance(step, SetType):
                 typed = forced(now, step.column, step.kind) if step.kind != "text" else replace(c, kind="text", order=None, pinned=True)
-            df = df.withColumn("__new", F.when(alive, new).otherwise(cell))
-            df = df.withColumn(f"_e{k}", alive & ~F.col("__new").eqNullSafe(cell)).withColumn(c.name, F.col("__new")).drop("__new")
+            df = df.withColumn(made, F.when(alive, new).otherwise(cell))
+            df = df.withColumn(f"{mark}e{k}", alive & ~F.col(made).eqNullSafe(cell)).withColumn(c.name, F.col(made)).drop(made)
             if isinstance(step, SetType):
                 now = now.with_columns(typed)
         now = now.with_df(df)
-    done = Cleaned(now, steps, frozenset(hidden))
+    done = Cleaned(now, steps, frozenset(hidden), mark)
     if infer_types:
         kinds = infer(done.rows(visible_only=False))
         done = replace(done, table=replace(now, columns=kinds.columns))
