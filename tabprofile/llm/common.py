@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,13 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where neither that
-    setting nor a checkpoint folder exists (tests in one JVM) a local one is
-    made and set.
+    A cluster names it in ``spark.checkpoint.dir``.  Where neither that
+    setting nor a checkpoint folder exists, a folder of this machine is made
+    and set, but only if all tasks run in this JVM; on a cluster it is an
+    error, as the executors would not see it.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="llm-shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
@@ -31,11 +35,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which lost executors do not take along."""
+    """Cut the lineage with a reliable checkpoint, which lost executors do not take along.
+
+    Its files go when Spark finds that nothing refers to it any more, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as it should
+    be on a cluster; :func:`forget` removes those of a round at once.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def forget(*settled: DataFrame | None) -> None:
+    """Remove the files of settled tables that nothing will read again."""
+    for df in settled:
+        place = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile() if df is not None else None
+        if place is not None and place.isDefined():
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(place.get())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns whose names an operator is about to produce (case-insensitive)."""
     taken = {n.lower() for n in names}

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import bits_for, settle, without
+from .common import bits_for, forget, settle, without
 
 #: Code points (each line with its line feed) from which a repeated run counts.
 MIN_CHARS = 40
@@ -98,14 +98,16 @@ def _first_level(lines: DataFrame) -> DataFrame:
 
 
 def _next_level(level: DataFrame, step: int, rows: int) -> DataFrame:
-    """Ranks by the first 2 * step lines from ranks by the first ``step``; only runs that occur more than once."""
+    """Ranks by the first 2 * step lines from ranks by the first ``step``; only runs that occur more than once; settled."""
     further = level.select("__id", "__t", (F.col("__ln") - step).alias("__ln"), F.col("__r").alias("__r2"))
     paired = settle(level.join(further, _AT))
     pairs = paired.groupBy("__r", "__r2").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     width = max(1, -(-rows // SLICES))
     ranks = _min_rank(pairs, ["__r"], "__r2", F.floor(F.col("__r2") / width))
     ranks = ranks.select("__r", "__r2", (F.col("__r") + F.col("__before")).alias("__new"))
-    return paired.join(ranks, ["__r", "__r2"]).select(*_AT, F.col("__new").alias("__r"))
+    out = settle(paired.join(ranks, ["__r", "__r2"]).select(*_AT, F.col("__new").alias("__r")))
+    forget(paired)
+    return out
 
 
 def later_copies(lines: DataFrame) -> DataFrame:
@@ -144,7 +146,9 @@ def later_copies(lines: DataFrame) -> DataFrame:
         found = copies if found is None else found.unionByName(copies)
         if 2 * step > longest:
             break
-        level, step = settle(_next_level(level, step, _span(level))), 2 * step
+        before, level = level, _next_level(level, step, _span(level))
+        forget(before)
+        step *= 2
     return found if found is not None else runs.where(F.lit(False))
 
 

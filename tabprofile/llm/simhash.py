@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_for, settle, without
+from .common import bits_for, forget, settle, without
 
 BITS = 64
 SEED = 42
@@ -285,7 +285,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = settle(both.where("a <> b").distinct())
     ends = both.select(F.col("a").alias("node")).distinct()
-    root = settle(
+    last = root = settle(
         ends.join(nodes, "node").select("node", F.struct(F.col("label").alias("label"), F.col("node").alias("node")).alias("root"))
     )
     while True:
@@ -303,9 +303,12 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
                 "node", "old", F.least("root", "up").alias("root")
             )
         )
-        if new.where(F.col("old") != F.col("root")).isEmpty():
-            return new.select("node", "root")
-        root = new.select("node", "root")
+        done = new.where(F.col("old") != F.col("root")).isEmpty()
+        forget(last)
+        root, last = new.select("node", "root"), new
+        if done:
+            forget(both)
+            return root
 
 
 def near_duplicates(
@@ -484,7 +487,7 @@ def near_copy_classes(
     unique = prints.groupBy("fp").agg(F.min("__me").alias("__rep")).orderBy("__rep")
     unique = settle(unique.withColumn("__o", F.monotonically_increasing_id()))  # numbers in the order of the texts
     early = links(unique, radius, parts=partitions_for(unique.count(), radius), order="__o", firsts=True)
-    early = settle(_similar(_candidates(early, unique, prints), texts, similarity, words))
+    early = _similar(_candidates(early, unique, prints), texts, similarity, words)
     roots = _roots(early)
     # Texts that are not the first of their digest take no part; those with a root carry its key.
     keys = prints.select(F.col("__me").alias("__root"), F.col("__key").alias("__rootkey"))
@@ -498,7 +501,7 @@ def near_copy_classes(
     ends = [prints.select(F.col("__key").alias(k), F.col("__me").alias(f"__{k}")) for k in ("a", "b")]
     tries = pairs.join(ends[0], "a").join(ends[1], "b")
     tries = tries.select(F.greatest("__a", "__b").alias("__me"), F.least("__a", "__b").alias("__rep"))
-    late = settle(_similar(tries, texts, similarity, words))
+    late = _similar(tries, texts, similarity, words)
     if not late.isEmpty():
         roots = _roots(early.unionByName(late))
     return all_, heads.join(roots, "__me", "left").select("__me", F.coalesce("__root", "__me").alias("__root"))
@@ -541,7 +544,7 @@ def _candidates(pairs: DataFrame, unique: DataFrame, prints: DataFrame) -> DataF
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Those of the pairs (__me, __rep) whose texts are similar enough."""
+    """Those of the pairs (__me, __rep) whose texts are similar enough, settled."""
 
     @F.pandas_udf("boolean")
     def near_enough(mine: pd.Series, theirs: pd.Series) -> pd.Series:
@@ -556,7 +559,9 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int)
     some = settle(_only(texts, ends).dropDuplicates(["__me"]))  # settled, so that the joins may split a text with many partners
     mine = some.select("__me", F.col("__text").alias("__mine"))
     theirs = some.select(F.col("__me").alias("__rep"), F.col("__text").alias("__theirs"))
-    return pairs.join(mine, "__me").join(theirs, "__rep").where(near_enough("__mine", "__theirs")).select("__me", "__rep")
+    found = settle(pairs.join(mine, "__me").join(theirs, "__rep").where(near_enough("__mine", "__theirs")).select("__me", "__rep"))
+    forget(pairs, ends, some)
+    return found
 
 
 def _roots(edges: DataFrame) -> DataFrame:

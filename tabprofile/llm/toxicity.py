@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, without
+from .common import forget, settle, without
 
 WORD = re.compile(r"[^\W_]+")
 STEM_LENGTHS = (3, 4, 5, 6)
@@ -202,7 +202,10 @@ def learn_lexicon(sample: DataFrame, text_col: str, label_col: str) -> tuple[dic
     """Terms and stems that are in many toxic and few other documents of the (bounded) sample.
 
     Document counts are made per partition and summed by a shuffle; what
-    comes to the driver are at most ``8 * LEXICON_SIZE`` candidates.
+    comes to the driver are at most ``8 * LEXICON_SIZE`` candidates.  The
+    lexicon ends at ``LEXICON_SIZE`` entries, those that explain most: what
+    would come after them is not in the model (the sample has far fewer that
+    are significant).
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,7 +223,7 @@ def learn_lexicon(sample: DataFrame, text_col: str, label_col: str) -> tuple[dic
     if not n1:
         return {}, {}
     spread = sample.select(text_col, label_col).mapInPandas(count, "f string, c0 long, c1 long")
-    sums = spread.groupBy("f").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    sums = settle(spread.groupBy("f").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where("c0 + c1 >= 3"))
     odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
     good = (
         sums.where((F.col("c1") >= 3) & (F.col("c1") >= 4 * F.col("c0")))
@@ -231,7 +234,8 @@ def learn_lexicon(sample: DataFrame, text_col: str, label_col: str) -> tuple[dic
         .select("f", "odds", "c0", "c1")
         .collect()
     )
-    tested, base = sums.where("c0 + c1 >= 3").count(), n1 / (n0 + n1)
+    tested, base = sums.count(), n1 / (n0 + n1)
+    forget(sums)
     good = _significant(good, tested, base)
     wanted = frozenset(r["f"] for r in good)
 

@@ -82,6 +82,73 @@ def test_decontamination_is_brute_force(spark):
     assert DC.contaminated(docs.limit(0), bench).count() == 0 and DC.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_masks_find_what_counts_as_an_overlap():
+    """Every overlap of whole passages that is long enough has a seed, over all places of two substitutions."""
+    spots = [{k for k, c in enumerate(m) if c == "#"} for m in DC.MASKS]
+    for n in (15, 20, 30):
+        for i in range(n):
+            for j in range(i, n):
+                equal = [k not in (i, j) for k in range(n)]
+                found = any(all(equal[at + k] for k in s) for s in spots for at in range(n - DC.SPAN + 1))
+                enough = sum(equal) >= DC.MIN_EQUAL and sum(equal) >= DC.MIN_SHARE * n
+                longest = max(len(x) for x in "".join("x" if e else " " for e in equal).split())
+                # Runs of ten equal tokens always have one; shorter ones have, unless the gaps fall into all masks.
+                assert found or not enough or longest < DC.SPAN, (n, i, j)
+
+
+def test_overlaps_of_a_whole_table(spark):
+    """All alignments of all documents of sf0.01 with all items, without seeds: what the masks miss would show."""
+    d = "/root/testdata/sf0.01"
+    docs, bench = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "benchmark"))
+    word = re.compile(r"[^\W_]+")
+    items = {r["item_id"]: word.findall((r["text"] or "").lower()) for r in bench.collect()}
+    lists = {}
+    for i, b in items.items():
+        for p, w in enumerate(b):
+            lists.setdefault(w, []).append((i, p))
+    want = set()
+    for r in docs.select("doc_id", "text").collect():
+        diagonals = {}
+        for at, w in enumerate(word.findall((r["text"] or "").lower())):
+            for i, p in lists.get(w, ()):
+                diagonals.setdefault((i, at - p), []).append(p)
+        for (i, _), places in diagonals.items():
+            start = 0
+            for k in range(1, len(places) + 1):
+                if k == len(places) or places[k] - places[k - 1] > DC.GAP + 1:
+                    run = places[start:k]
+                    start = k
+                    if len(run) >= DC.MIN_EQUAL and len(run) >= DC.MIN_SHARE * (run[-1] - run[0] + 1):
+                        want.add((r["doc_id"], i))
+    got = {(r["doc_id"], r["item_id"]) for r in DC.contaminated(docs, bench).collect()}
+    assert got == want and len(got) > 20
+
+
+def test_very_long_texts(spark):
+    """Passages at the end of a text of 200,000 words, beyond the chunk of a fingerprint."""
+    rng = random.Random(21)
+    item = " ".join("q%d" % k for k in range(20))
+    long = " ".join("w%d" % rng.randrange(5000) for _ in range(200_000))
+    rows = [(1, f"{long} {item}"), (2, "short text"), (3, f"{long} you are a moron"), (4, long)]
+    docs = docs_of(spark, rows)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = DC.contaminated(docs, bench).collect()
+    assert [(r["doc_id"], r["doc_start"], r["n_equal"]) for r in found] == [(1, 200_000, 20)]
+    for distinct, n in ((False, 1), (False, 3), (True, 1), (True, 5)):
+        words = long.split()
+        grams = [" ".join(words[k : k + n]) for k in range(len(words) - n + 1)]
+        h = np.array([xxhash.xxh64_intdigest(g, 42) for g in (set(grams) if distinct else grams)], dtype=np.uint64)
+        ones = [int(((h >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
+        assert SH.fingerprint(long, n, distinct) == sum(1 << b for b in range(64) if 2 * ones[b] > len(h))
+    got = {r["doc_id"]: r["component_id"] for r in SH.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 1}
+    assert {r["doc_id"] for r in SH.drop_near_copies(docs).collect()} == {1, 2}
+    train = docs_of(spark, [(k, f"you {'moron' if k % 3 == 0 else 'friend'} w{k}") for k in range(90)])
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(90)], "doc_id long, toxic int")
+    scores = {r["doc_id"]: r["score"] for r in TX.score(docs, TX.fit(train, labels)).collect()}
+    assert scores[3] > scores[4] == min(scores.values())
+
+
 # Line dedup
 
 
