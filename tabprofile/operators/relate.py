@@ -35,7 +35,9 @@ def _thinned(table: Table, sample: int | None) -> DataFrame:
 def correlation_pairs(table: Table, names: list[str] | None = None, sample: int | None = None) -> DataFrame:
     """(left_column, right_column, r) of each pair of numeric columns, in one pass over all rows.
 
-    ``sample`` (a systematic one) is there for previews of large tables.
+    A row counts for a pair if it has both values.  ``r`` is null for less
+    than 20 such rows or a constant column.  ``sample`` (a systematic one) is
+    there for previews of large tables.
     """
     cols = [c for c in table.columns if c.kind == "numeric" and (names is None or c.name in names)]
     spark = table.df.sparkSession
@@ -68,28 +70,29 @@ def correlation_matrix(table: Table, names: list[str] | None = None, sample: int
 def group_means(table: Table, measure: str, by: list[str]) -> DataFrame:
     """(category_column, category, n, mean, explained, groups): means of ``measure`` per value of each category column.
 
-    ``explained`` is the share of the variance between groups.  Candidates
-    with less than 2 groups or 10 rows have no rows.  All candidates share
-    one pass: sums are taken per value, and the totals from those.
+    ``explained`` is the share of the variance between groups.  Blank cells
+    are a category of their own, ''; rows without a value take no part.
+    Candidates with less than 2 groups or 10 rows have no rows, nor has an
+    empty table.  All candidates share one pass: sums are taken per value,
+    and the totals, a row for each candidate, from those.
     """
     m = table[measure].value()
     label = lambda c: F.when(c.blank(), "").otherwise(c.raw())
-    tall = table.df.withColumn("__v", m).where("__v is not null").select(
-        "__v", F.explode(F.array(*[F.struct(F.lit(n).alias("c"), label(table[n]).alias("k")) for n in by])).alias("__x")
-    )
+    rows = table.df.withColumn("__v", m).where("__v is not null")
+    tall = rows.select("__v", F.explode(F.array(*[F.struct(F.lit(n).alias("c"), label(table[n]).alias("k")) for n in by])).alias("__x"))
     per = tall.groupBy(F.col("__x.c").alias("category_column"), F.col("__x.k").alias("category")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("__v").alias("mean"), F.var_pop("__v").alias("__var")
     )
-    whole = W.partitionBy("category_column")
-    grand = F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole)
-    per = per.withColumn("__grand", grand)
-    between = F.sum(F.col("n") * F.pow(F.col("mean") - F.col("__grand"), 2)).over(whole)
-    inside = F.sum(F.col("n") * F.col("__var")).over(whole)
-    ratio = F.coalesce(F.try_divide(between, between + inside), F.lit(0.0))
-    out = per.withColumns(
-        {"explained": F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)), "groups": F.count(F.lit(1)).over(whole), "__rows": F.sum("n").over(whole)}
+    # All candidates have the same rows, and so the same mean to take squares about.
+    center = rows.agg(F.avg("__v").alias("__center"))
+    between = F.sum(F.col("n") * F.pow(F.col("mean") - F.col("__center"), 2)).alias("__between")
+    totals = per.join(F.broadcast(center), F.lit(True)).groupBy("category_column").agg(
+        between, F.sum(F.col("n") * F.col("__var")).alias("__inside"), F.count(F.lit(1)).alias("groups"), F.sum("n").alias("__rows")
     )
-    return out.where("groups >= 2 and __rows >= 10").select("category_column", "category", "n", "mean", "explained", "groups")
+    ratio = F.coalesce(F.try_divide(F.col("__between"), F.col("__between") + F.col("__inside")), F.lit(0.0))
+    totals = totals.where("groups >= 2 and __rows >= 10").withColumn("explained", F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)))
+    out = per.join(F.broadcast(totals), "category_column")
+    return out.select("category_column", "category", "n", "mean", "explained", "groups")
 
 
 def category_candidates(table: Table, measure: str, most: int = 30) -> DataFrame:
@@ -106,14 +109,17 @@ def category_candidates(table: Table, measure: str, most: int = 30) -> DataFrame
 
 
 def shown_groups(means: DataFrame, k: int = 12) -> DataFrame:
-    """The k largest groups of each candidate, by mean, with the number of groups that are not shown."""
+    """The k largest groups of each candidate (equal ones by name), by mean, with the number of groups that are not shown."""
     rank = F.row_number().over(W.partitionBy("category_column").orderBy(F.desc("n"), "category"))
     big = means.withColumn("__r", rank).where(F.col("__r") <= k).drop("__r")
     return big.withColumn("hidden", F.greatest(F.lit(0), F.col("groups") - k))
 
 
 def time_breakdown(table: Table, name: str) -> DataFrame:
-    """(part, slot, n): rows by year (if there are several), month, weekday (Monday 0) and hour, all slots that occur."""
+    """(part, slot, n): rows by year (if there are several), month, weekday (Monday 0) and hour, all slots that occur.
+
+    Blank and unreadable cells are in no slot; without any other there are no rows.
+    """
     c = table[name]
     v = c.value()
     hour = F.floor(v / 3_600_000) % 24
@@ -132,7 +138,8 @@ def time_breakdown(table: Table, name: str) -> DataFrame:
 def row_order_buckets(table: Table, name: str, most: int = 160) -> DataFrame:
     """(bucket, mean, above, below, empty, n): a measure along the rows, in at most 160 stretches of the view.
 
-    ``mean`` is of values within the fences; less than 30 rows give nothing.
+    ``mean`` is of values within the fences, null in a stretch without any;
+    less than 30 rows, or no value at all, give nothing.
     """
     c = table[name]
     rows = positions(table.df.select(ROW, c.value().alias("value"), c.blank().alias("blank")))

@@ -16,9 +16,11 @@ from .table import ROW, Table
 
 @dataclass(frozen=True)
 class Session:
-    """Every change gives a new session; nothing runs before rows or figures are asked for.
+    """Every change gives a new session and runs nothing.
 
-    Steps are replayed from the original.  Filters see the cleaned rows; kinds
+    Asking for a view of raw columns after a step runs a job that decides
+    their kinds anew; profiles, findings and spellings run the jobs that they
+    consist of.  Steps are replayed from the original.  Filters see the cleaned rows; kinds
     of columns are decided on all of them, so a filter never changes a kind.
     """
 

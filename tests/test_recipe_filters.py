@@ -196,3 +196,26 @@ def test_session(spark):
     compile(code, "code", "exec")
     assert "C.Trim(column='c0')" in code and "F.ValuesFilter(column='c2', values=('a', 'b'))" in code
     assert Session(t).with_step(C.Trim("c0")).without_step(0).effects().count() == 0
+
+
+def test_exported_code_runs(spark, tmp_path):
+    """The script gives the rows of the session it was exported from."""
+    from tabprofile.sources.csv import read_csv
+
+    path = tmp_path / "in.csv"
+    path.write_text("name;n;day\n Lyon;5;25/02/2015\nlyon;7;01/03/2015\n;1,5;13/04/2015\nNice;x;\nNice;x;\n")
+    s = Session(read_csv(spark, str(path)))
+    for step in (C.Trim("c0"), C.Case("c0", "title"), C.Rename("c1", "number"), C.SetType("c1", "numeric"), C.Remove("c2"), C.RemoveDuplicates()):
+        s = s.with_step(step)
+    s = s.toggle(FL.DistinctFilter("c0")).toggle(FL.hide_empty("c0")).cycle_sort("c0").cycle_sort("c0")
+    made: dict = {}
+    exec(s.code(str(path)), made)
+    want = [tuple(r) for r in s.rows().collect()]
+    assert [tuple(r) for r in made["rows"].collect()] == want and [r[0] for r in want] == ["Nice", "Lyon"]
+
+
+def test_recipes_leave_columns_of_any_name(spark):
+    t = Table.of(spark.createDataFrame([(0, " a", "x", "p"), (1, "b", "y", "q")], f"{ROW} long, _dropped_at string, __new string, _e0 string"))
+    done = C.apply_steps(t, (C.Trim("_dropped_at"), C.DropRows((1,))))
+    assert [tuple(r) for r in done.output().collect()] == [("a", "x", "p")]
+    assert [r["effect"] for r in done.effects().orderBy("step").collect()] == [1, 1]
