@@ -39,7 +39,8 @@ OPENING, CLOSING = "\"“„«‘", "\"”“»’"
 REPORTING = frozenset(
     "said says wrote writes called calls quote quoted term word words sagte schrieb wort dit écrit mot dijo escribió palabra".split()
 )
-MEMO_WORDS = 400_000
+#: Words whose match a task remembers: a few MB, as Python workers stay in memory from stage to stage.
+MEMO_WORDS = 64_000
 
 
 def errors_allowed(term: str) -> int:
