@@ -371,9 +371,14 @@ def shingle_hashes(text: str, words: int = 5) -> np.ndarray:
 
 
 def shingle_ranks(texts: DataFrame, n: int, words: int) -> np.ndarray:
-    """About how many texts have a shingle, by the leading bits of its hash; ``n`` texts, rows (text)."""
+    """About how many texts have a shingle, by the leading bits of its hash; ``n`` texts, rows (text).
+
+    Each task counts in a table of at most 2**24 cells, in pieces of at most
+    4 KB; pieces are added up one by one, and 32 MB at most reach the driver.
+    """
     bits = bits_for(n * 16, 1, 16, 24)
-    pieces = 64
+    pieces = max(16, (1 << bits) >> 12)
+    size = (1 << bits) // pieces
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << bits, np.int32)
@@ -381,18 +386,24 @@ def shingle_ranks(texts: DataFrame, n: int, words: int) -> np.ndarray:
             for text in batch["text"]:
                 np.add.at(counts, (shingle_hashes(text, words) >> np.uint64(64 - bits)).astype(np.int64), 1)
         counts = np.minimum(counts, 255).astype(np.uint8).reshape(pieces, -1)
-        if counts.any():
-            yield pd.DataFrame({"piece": np.arange(pieces), "counts": [c.tobytes() for c in counts]})
+        some = np.flatnonzero(counts.any(axis=1))
+        for at in range(0, len(some), 1024):
+            part = some[at : at + 1024]
+            yield pd.DataFrame({"piece": part, "counts": [counts[k].tobytes() for k in part]})
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << bits) // pieces, np.int64)
-        for c in rows["counts"]:
-            total += np.frombuffer(c, np.uint8)
-        return pd.DataFrame({"piece": rows["piece"].iloc[:1], "counts": [np.minimum(total, 65535).astype("<u2").tobytes()]})
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, counts in zip(batch["piece"], batch["counts"]):
+                totals.setdefault(piece, np.zeros(size, np.int64))
+                totals[piece] += np.frombuffer(counts, np.uint8)
+        if totals:
+            sums = [np.minimum(t, 65535).astype("<u2").tobytes() for t in totals.values()]
+            yield pd.DataFrame({"piece": list(totals), "counts": sums})
 
     schema = "piece int, counts binary"
-    ranks = np.zeros((pieces, (1 << bits) // pieces), np.uint16)
-    for r in texts.select("text").mapInPandas(count, schema).groupBy("piece").applyInPandas(add, schema).collect():  # 32 MB at most
+    ranks = np.zeros((pieces, size), np.uint16)
+    for r in texts.select("text").mapInPandas(count, schema).repartition("piece").mapInPandas(add, schema).collect():
         ranks[r["piece"]] = np.frombuffer(r["counts"], "<u2")
     return ranks.ravel()
 
