@@ -144,8 +144,9 @@ def row_order_buckets(table: Table, name: str, most: int = 160) -> DataFrame:
     c = table[name]
     rows = positions(table.df.select(ROW, c.value().alias("value"), c.blank().alias("blank")))
     low, high = fences()
-    q = quartiles(rows.select("value").withColumn("__c", F.lit(0)), ["__c"]).select(low.alias("low"), high.alias("high"))
-    size = rows.agg(F.count(F.lit(1)).alias("__rows"))
+    values = table.df.select(c.value().alias("value"), F.lit(0).alias("__c"))
+    q = quartiles(values, ["__c"]).select(low.alias("low"), high.alias("high"))
+    size = table.df.agg(F.count(F.lit(1)).alias("__rows"))
     b = F.floor(F.col("_pos") * F.least(F.col("__rows"), F.lit(most)) / F.col("__rows")).cast("int")
     v = F.col("value")
     full = rows.join(F.broadcast(q), F.lit(True)).join(F.broadcast(size), F.lit(True)).where("__rows >= 30")

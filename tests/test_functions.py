@@ -68,3 +68,20 @@ def test_difference(spark):
 
 def test_null_tokens(spark):
     assert values(spark, X.null_token, [" N/A ", "?", "nope", ""]) == ["known", "extra", None, None]
+
+
+def test_labels_and_figures():
+    from tabprofile.functions import format as FM
+    from tabprofile.operators.profile import distribution_kind
+    from tabprofile.plans import recipe as C
+
+    assert distribution_kind("numeric", 10, 10) == "histogram" and distribution_kind("text", 0, 0) == "ranking"
+    assert distribution_kind("text", 100, 61) == "lengths" and distribution_kind("text", 100, 60) == "ranking"
+    assert C.describe(C.Rename("a", "b")) == "Rename “a” to “b”" and C.describe(C.RemoveDuplicates(("x", "y"))) == "Remove duplicate rows by x, y"
+    assert C.describe(C.Merge("v", ("a", "b"), "c")) == "Merge 2 spellings into “c” in “v”"
+    assert C.describe_effect(C.Trim("a"), 1) == "1 cell changed" and C.describe_effect(C.DropRows((1, 2)), 1200) == "1,200 rows dropped"
+    for step in (C.Remove("a"), C.SetType("a", "date"), C.Clean("a"), C.Case("a", "title"), C.Replace("a", "x", "y"), C.Empty("a", ("-",)),
+                 C.FillValue("a", "0"), C.FixEncoding("a"), C.FillDown("a"), C.FillUp("a"), C.Round("a", 2), C.DropEmpty("a"), C.RemoveBlankRows()):
+        assert C.describe(step)
+    assert [FM.num(x) for x in (None, 1234.0, 0.5, 1234.56789, 0.00001, 12345678.5, -2.0)] == ["", "1,234", "0.5", "1,234.568", "1e-5", "1.235e+7", "-2"]
+    assert (FM.count(12345), FM.percent(0.1234)) == ("12,345", "12.3 %")
