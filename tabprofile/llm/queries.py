@@ -140,6 +140,25 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# CRC-32 byte by byte over the hex digits of the text, with the table that its polynomial gives.
+ORACLE["op4_shards"] = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+),
+k AS (SELECT doc_id, source, coalesce('s' || source, 'none') AS src, coalesce(text, '') AS text,
+        ('0x' || substr(md5('shard|' || doc_id), 1, 13))::BIGINT AS spot FROM documents),
+f AS (SELECT *, (2 * row_number() OVER (PARTITION BY src ORDER BY spot, doc_id::VARCHAR) - 1) / (2 * count(*) OVER (PARTITION BY src))::DOUBLE AS frac FROM k),
+p AS (SELECT *, row_number() OVER (ORDER BY frac, src, spot, doc_id::VARCHAR) - 1 AS pos, count(*) OVER () AS n FROM f),
+s AS (SELECT *, pos * 16 // n AS shard, hex(encode(text)) AS h FROM p)
+SELECT doc_id, octet_length(encode(text)) + 1 AS size,
+  xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(text))), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
+  'rows' AS law, shard::INT AS shard, pos - (shard * n + 15) // 16 AS slot, NULL::INT AS grown_shard, source
+FROM s, crc
+"""
+
+
 @_query
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page to a WARC record and back."""
