@@ -6,6 +6,10 @@ import math
 import re
 import tempfile
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +79,12 @@ def hash52(*parts: Column | str) -> Column:
 def bits_for(rows: int, per_bucket: int, least: int = 8, most: int = 20) -> int:
     """Bits of a bucket number so that a bucket of ``rows`` evenly hashed rows holds about ``per_bucket``."""
     return max(least, min(most, math.ceil(math.log2(max(1, rows) / per_bucket))))
+
+
+def each(values: pa.Array) -> Iterator:
+    """The values one by one: a batch of long texts is never held as Python strings as a whole."""
+    return (x.as_py() for x in values)
+
+
+def as_batch(frame: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)

@@ -16,10 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_batch, each
+
 #: Tokens of the pieces that are packed together: a task's memory is a small multiple of it.
 BLOCK_TOKENS = 2_000_000
 _ENCODERS: dict[str, tiktoken.Encoding] = {}
@@ -159,11 +162,11 @@ def pack_tokens(
     ranks = spec.ranks_path or default_ranks()
     integer = docs.schema[id_col].dataType
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(ranks).encode_ordinary, np.array([spec.end_id], dtype=spec.dtype)
         names, ids, held = [], [], 0
         for batch in batches:
-            for name, text in zip(batch["__id"], batch["__text"]):
+            for name, text in zip(each(batch["__id"]), each(batch["__text"])):
                 own = np.concatenate([np.array(encode(text), dtype=spec.dtype), end]) if text else end
                 names.append(name)
                 ids.append(own)
@@ -175,13 +178,25 @@ def pack_tokens(
             yield from _in_slices(pack_block(names, ids, spec))
 
     rows = docs.select(F.col(id_col).cast("string").alias("__id"), F.col(text_col).alias("__text"))
-    packed = rows.mapInPandas(
+    packed = rows.mapInArrow(
         pack,
         "doc_ids array<string>, parts array<int>, cu_seqlens array<int>, input_ids binary, position_ids binary, n_tokens int",
     )
     return packed.withColumn("doc_ids", F.transform("doc_ids", lambda x: x.cast(integer)))
 
 
-def _in_slices(frame: pd.DataFrame, rows: int = 500) -> Iterator[pd.DataFrame]:
+_ROWS = pa.schema(
+    [
+        ("doc_ids", pa.list_(pa.string())),
+        ("parts", pa.list_(pa.int32())),
+        ("cu_seqlens", pa.list_(pa.int32())),
+        ("input_ids", pa.binary()),
+        ("position_ids", pa.binary()),
+        ("n_tokens", pa.int32()),
+    ]
+)
+
+
+def _in_slices(frame: pd.DataFrame, rows: int = 500) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(frame), rows):
-        yield frame.iloc[at : at + rows]
+        yield as_batch(frame.iloc[at : at + rows], _ROWS)

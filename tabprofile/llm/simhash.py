@@ -18,11 +18,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_for, forget, settle, without
+from .common import as_batch, bits_for, each, forget, settle, without
 
 BITS = 64
 SEED = 42
@@ -68,9 +69,9 @@ def with_fingerprints(
 ) -> DataFrame:
     """Add the fingerprint as a (signed) long column ``out``."""
 
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle, distinct) for t in texts], dtype=np.uint64).view(np.int64))
+    @F.arrow_udf("long")
+    def fp(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t, shingle, distinct) for t in each(texts)], dtype=np.uint64).view(np.int64))
 
     return without(docs, out).withColumn(out, fp(F.col(text_col)))
 
@@ -380,16 +381,16 @@ def shingle_ranks(texts: DataFrame, n: int, words: int) -> np.ndarray:
     pieces = max(16, (1 << bits) >> 12)
     size = (1 << bits) // pieces
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.int32)
         for batch in batches:
-            for text in batch["text"]:
+            for text in each(batch["text"]):
                 np.add.at(counts, (shingle_hashes(text, words) >> np.uint64(64 - bits)).astype(np.int64), 1)
         counts = np.minimum(counts, 255).astype(np.uint8).reshape(pieces, -1)
         some = np.flatnonzero(counts.any(axis=1))
         for at in range(0, len(some), 1024):
             part = some[at : at + 1024]
-            yield pd.DataFrame({"piece": part, "counts": [counts[k].tobytes() for k in part]})
+            yield as_batch(pd.DataFrame({"piece": part, "counts": [counts[k].tobytes() for k in part]}), out)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[int, np.ndarray] = {}
@@ -401,9 +402,9 @@ def shingle_ranks(texts: DataFrame, n: int, words: int) -> np.ndarray:
             sums = [np.minimum(t, 65535).astype("<u2").tobytes() for t in totals.values()]
             yield pd.DataFrame({"piece": list(totals), "counts": sums})
 
-    schema = "piece int, counts binary"
+    schema, out = "piece int, counts binary", pa.schema([("piece", pa.int32()), ("counts", pa.binary())])
     ranks = np.zeros((pieces, size), np.uint16)
-    for r in texts.select("text").mapInPandas(count, schema).repartition("piece").mapInPandas(add, schema).collect():
+    for r in texts.select("text").mapInArrow(count, schema).repartition("piece").mapInPandas(add, schema).collect():
         ranks[r["piece"]] = np.frombuffer(r["counts"], "<u2")
     return ranks.ravel()
 
@@ -426,19 +427,19 @@ def sharing(texts: DataFrame, n: int, similarity: float = 0.8, words: int = 5) -
     shared = texts.sparkSession.sparkContext.broadcast(ranks)
     bits = len(ranks).bit_length() - 1
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
 
-        def frame(rows: list[tuple]) -> pd.DataFrame:
+        def frame(rows: list[tuple]) -> pa.RecordBatch:
             sizes = [len(h) for h, *_ in rows]
             key, root, size = (np.repeat([r[k] for r in rows], sizes) for k in (1, 2, 3))
             left = size - np.concatenate([np.arange(k) for k in sizes])
             hashes = np.concatenate([h for h, *_ in rows]).view(np.int64)
-            return pd.DataFrame({"h": hashes, "key": key, "root": root, "n": size, "left": left})
+            return as_batch(pd.DataFrame({"h": hashes, "key": key, "root": root, "n": size, "left": left}), out)
 
         rows, held = [], 0
         for batch in batches:
-            for key, text, root in zip(batch["key"], batch["text"], batch["root"]):
+            for key, text, root in zip(each(batch["key"]), each(batch["text"]), each(batch["root"])):
                 h = shingle_hashes(text, words)
                 if not (size := len(h)):
                     continue
@@ -452,7 +453,8 @@ def sharing(texts: DataFrame, n: int, similarity: float = 0.8, words: int = 5) -
         if rows:
             yield frame(rows)
 
-    entries = texts.mapInPandas(prefixes, "h long, key long, root long, n int, left int")
+    out = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("root", pa.int64()), ("n", pa.int32()), ("left", pa.int32())])
+    entries = texts.mapInArrow(prefixes, "h long, key long, root long, n int, left int")
     x, y = entries.alias("x"), entries.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))
     enough = F.least("x.left", "y.left") >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
@@ -557,13 +559,13 @@ def _candidates(pairs: DataFrame, unique: DataFrame, prints: DataFrame) -> DataF
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
     """Those of the pairs (__me, __rep) whose texts are similar enough, settled."""
 
-    @F.pandas_udf("boolean")
-    def near_enough(mine: pd.Series, theirs: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def near_enough(mine: pa.Array, theirs: pa.Array) -> pa.Array:
         def one(a: set, b: set) -> bool:
             shared = len(a & b)
             return shared >= similarity * (len(a) + len(b) - shared)
 
-        return pd.Series([one(word_shingles(x, words), word_shingles(y, words)) for x, y in zip(mine, theirs)], dtype=bool)
+        return pa.array([one(word_shingles(x, words), word_shingles(y, words)) for x, y in zip(each(mine), each(theirs))], pa.bool_())
 
     pairs = settle(pairs)
     ends = settle(pairs.select("__me").unionByName(pairs.select(F.col("__rep").alias("__me"))).distinct())

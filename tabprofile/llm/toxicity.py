@@ -18,10 +18,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, settle, without
+from .common import each, forget, settle, without
 
 WORD = re.compile(r"[^\W_]+")
 STEM_LENGTHS = (3, 4, 5, 6)
@@ -386,11 +387,11 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: st
     function.
     """
 
-    @F.pandas_udf("double")
-    def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         auto, memo, coef = LexiconAutomaton(model.terms, model.stems), {}, np.array(model.coef)
         for texts in batches:
-            z = np.array([hit_statistics(t, auto, memo) for t in texts]).reshape(len(texts), 5) @ coef
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z + model.intercept, -30, 30))))
+            z = np.array([hit_statistics(t, auto, memo) for t in each(texts)]).reshape(len(texts), 5) @ coef
+            yield pa.array(1 / (1 + np.exp(-np.clip(z + model.intercept, -30, 30))))
 
     return without(docs, out).withColumn(out, rate(F.col(text_col)))
