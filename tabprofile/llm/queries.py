@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, linededup, mixing, packing, sharding, simhash, sketches, toxicity, warc
+from . import chat, clustering, decontaminate, linededup, mixing, packing, sharding, simhash, sketches, toxicity, warc
 from .common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,3 +259,43 @@ def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into rows of 2,048 ids."""
     return packing.pack_tokens(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole vectors in 16 clusters after three rounds."""
+    found = clustering.with_inertia(*clustering.cluster(table(spark, sf_dir, "embeddings")))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _assigned(at: int) -> str:
+    return f"""a{at} AS MATERIALIZED (
+  SELECT vec_id, v, c AS cluster, d AS distance FROM (
+    SELECT vec_id, v, c, list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM k, c{at}
+  ) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1
+)"""
+
+
+def _moved(at: int) -> str:
+    return f"""s{at + 1} AS (
+  SELECT cluster, i, sum(v[i])::HUGEINT AS s, count(*) AS n FROM a{at}, unnest(range(1, {clustering.DIM + 1})) AS t(i) GROUP BY cluster, i
+),
+m{at + 1} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS w FROM s{at + 1} GROUP BY cluster),
+c{at + 1} AS MATERIALIZED (SELECT c, coalesce(m.w, o.w) AS w FROM c{at} o LEFT JOIN m{at + 1} m ON m.cluster = o.c)"""
+
+
+ORACLE["op13_clusters"] = f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({clustering.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {clustering.DIM} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {clustering.DIM}
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v AS w FROM k
+  QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id)) <= {clustering.CENTROIDS}
+),
+{", ".join(f"{_assigned(at)}, {_moved(at)}" for at in range(clustering.ROUNDS))},
+{_assigned(clustering.ROUNDS)}
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a{clustering.ROUNDS} JOIN c{clustering.ROUNDS} ON c = cluster
+"""
