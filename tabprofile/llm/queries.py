@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, clustering, decontaminate, linededup, mixing, packing, sharding, simhash, sketches, toxicity, warc
+from . import chat, clustering, decontaminate, linededup, mixing, packing, phrases, sharding, simhash, sketches, toxicity, warc
 from .common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -299,3 +299,40 @@ SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION
        (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
 FROM a{clustering.ROUNDS} JOIN c{clustering.ROUNDS} ON c = cluster
 """
+
+
+@_query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language over all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_phrases"] = rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+gram AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) s(k)
+),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS n FROM gram GROUP BY ALL),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE k > 1 AND n >= {phrases.LEAST}),
+parts AS (
+  SELECT lang, k, phrase, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM c, (VALUES (1), (2)) t(j) WHERE j < k
+),
+cut AS (
+  SELECT p.*, fx.n AS l, fy.n AS r, 1000000::HUGEINT * a * a // (fx.n::HUGEINT * fy.n) AS score
+  FROM parts p JOIN f fx ON fx.lang = p.lang AND fx.phrase = p.x JOIN f fy ON fy.lang = p.lang AND fy.phrase = p.y
+),
+scored AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS most FROM c, (VALUES (1), (2)) t(i) WHERE k = 3 GROUP BY ALL
+)
+SELECT s.lang, (row_number() OVER best)::INT AS rank, s.phrase, a, l, r, total.n, score::BIGINT AS score
+FROM scored s JOIN total USING (lang) LEFT JOIN inner_ i ON s.k = 2 AND i.lang = s.lang AND i.phrase = s.phrase
+WHERE most IS NULL OR 100 * most < {phrases.EXPLAINED} * a
+WINDOW best AS (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) QUALIFY row_number() OVER best <= {phrases.TOP}
+"""
