@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, clustering, decontaminate, linededup, mixing, packing, phrases, sharding, simhash, sketches, toxicity, warc
+from . import chat, clustering, decontaminate, linededup, minhash, mixing, packing, phrases, sharding, simhash, sketches, toxicity, warc
 from .common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -336,3 +336,34 @@ FROM scored s JOIN total USING (lang) LEFT JOIN inner_ i ON s.k = 2 AND i.lang =
 WHERE most IS NULL OR 100 * most < {phrases.EXPLAINED} * a
 WINDOW best AS (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) QUALIFY row_number() OVER best <= {phrases.TOP}
 """
+
+
+@_query
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the component of their shingle set."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+ORACLE["op12_minhash"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM w
+),
+d AS MATERIALIZED (SELECT s, min(doc_id) AS id, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+e AS MATERIALIZED (SELECT id, n, unnest(s) AS x FROM d),
+pair AS (
+  SELECT a.id AS a, b.id AS b, a.n AS an, b.n AS bn, count(*) AS both FROM e a JOIN e b ON a.x = b.x AND a.id < b.id
+  WHERE 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY ALL
+),
+link AS MATERIALIZED (SELECT a, b FROM pair WHERE 100 * both >= 80 * (an + bn - both)),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(node, root) AS (
+  SELECT id, id FROM d UNION SELECT edge.b, reach.root FROM reach JOIN edge ON edge.a = reach.node WHERE reach.root < edge.b
+),
+least AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT doc_id, len(s.s) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
+FROM s LEFT JOIN d ON d.s = s.s LEFT JOIN least ON node = d.id
+"""
