@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import each, forget, settle
-from .simhash import BROADCAST_IDS, components, shingle_hashes
+from .simhash import BROADCAST_IDS, MAPS, components, parity_map, shingle_hashes
 
-#: Coordinates of a signature, bits of each that are compared inside the join, words of a parity map of the set.
-K, PLANES, MAPS = 64, 4, 8
+#: Coordinates of a signature, bits of each that are compared inside the join.
+K, PLANES = 64, 4
 #: A pair of the least similarity may miss the threshold of matches with this probability.
 MISS = 1e-6
 
@@ -62,12 +62,6 @@ def planes(sig: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel()
 
 
-def parity_map(hashes: np.ndarray) -> np.ndarray:
-    """64 * MAPS bits, each the parity of the elements that fall on it: no more bits differ than elements do."""
-    ones = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * MAPS), minlength=64 * MAPS) & 1
-    return np.packbits(ones.astype(np.uint8), bitorder="little").view("<i8")
-
-
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """(__id, __t, __n, __digest, __sig, parts) of each row; the digest is that of the whole set."""
 

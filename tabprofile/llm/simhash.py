@@ -12,15 +12,17 @@ pairs found are verified.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_batch, bits_for, each, forget, settle, without
@@ -35,6 +37,8 @@ THREE_PARTITIONS_UP_TO = 1 << 24
 BROADCAST_IDS = 200_000
 #: A probe costs about this many candidates.
 PROBE_COST = 0.1
+#: Texts beyond which a shingle is hot (counted by the leading bits of its hash), and longs of a parity map.
+HOT_FROM, MAPS = 32, 8
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _CHUNK = 1 << 16
@@ -409,57 +413,109 @@ def shingle_ranks(texts: DataFrame, n: int, words: int) -> np.ndarray:
     return ranks.ravel()
 
 
-def sharing(texts: DataFrame, n: int, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """Pairs (a, b) of keys: all that may be at least ``similarity`` alike and have different roots; each pair once.
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """64 * MAPS bits as longs, each the parity of the elements that fall on it: no more bits differ than elements do."""
+    ones = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * MAPS), minlength=64 * MAPS) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").view("<i8")
 
-    ``texts`` holds about ``n`` different texts as (key long, text, root
-    long).  Prefix filter: the shingles of each text are put in one order for
-    all, rare ones first.  The first shingle that two similar texts share is,
-    in both, among the first ``n - ceil(similarity * n) + 1`` of their n, and
-    as many as the similarity asks for must be left from there on.  The ranks
-    only make the lists short; any would find the same similar pairs.
 
-    The lists meet in one equi-join that tests sizes, places and roots before
-    a pair is a row.  No list is gathered, and Spark may split a shingle that
-    many texts have.
+def _prefixes(texts: DataFrame, n: int, similarity: float, words: int) -> DataFrame:
+    """The prefix of each text: (key, root, n, cold, hot, hots, digest, parity maps f of all shingles and g of the hot ones).
+
+    ``cold`` and ``hot`` are what the prefix holds of either kind, in order;
+    ``hots`` counts all hot shingles of the text, ``digest`` names their set.
     """
     ranks = shingle_ranks(texts, n, words)
-    shared = texts.sparkSession.sparkContext.broadcast(ranks)
+    shared = texts.sparkSession.sparkContext.broadcast(ranks)  # 32 MB at most
     bits = len(ranks).bit_length() - 1
+    maps = [f"{m}{i}" for m in "fg" for i in range(MAPS)]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
+        rows, held = [], 0
 
-        def frame(rows: list[tuple]) -> pa.RecordBatch:
-            sizes = [len(h) for h, *_ in rows]
-            key, root, size = (np.repeat([r[k] for r in rows], sizes) for k in (1, 2, 3))
-            left = size - np.concatenate([np.arange(k) for k in sizes])
-            hashes = np.concatenate([h for h, *_ in rows]).view(np.int64)
-            return as_batch(pd.DataFrame({"h": hashes, "key": key, "root": root, "n": size, "left": left}), out)
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows))
+            arrays = [pa.array(c, t) for c, t in zip(columns[:-1], kinds)]
+            table = np.stack(columns[-1])
+            return pa.RecordBatch.from_arrays([*arrays, *[pa.array(table[:, i]) for i in range(2 * MAPS)]], names=[*names, *maps])
 
-        rows, held = [], 0
         for batch in batches:
             for key, text, root in zip(each(batch["key"]), each(batch["text"]), each(batch["root"])):
                 h = shingle_hashes(text, words)
                 if not (size := len(h)):
                     continue
                 most = size - math.ceil(similarity * size - 1e-9) + 1
-                h = h[np.argsort(ranks[(h >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")[:most]]
-                rows.append((h, key, root, size))
-                held += len(h)
+                rank = ranks[(h >> np.uint64(64 - bits)).astype(np.int64)]
+                hot = h[rank > HOT_FROM]
+                order = np.argsort(rank, kind="stable")[:most]
+                first, cold = h[order].view(np.int64), int((rank[order] <= HOT_FROM).sum())
+                rows.append((key, root, size, first[:cold], first[cold:], len(hot), hashlib.md5(hot.tobytes()).digest(), np.concatenate([parity_map(h), parity_map(hot)])))
+                held += len(first) + 2 * MAPS
                 if held >= _CHUNK:
-                    yield frame(rows)
+                    yield batch_of(rows)
                     rows, held = [], 0
         if rows:
-            yield frame(rows)
+            yield batch_of(rows)
+
+    names = ["key", "root", "n", "cold", "hot", "hots", "digest"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    schema = "key long, root long, n int, cold array<long>, hot array<long>, hots int, digest binary, " + ", ".join(f"{m} long" for m in maps)
+    return settle(texts.mapInArrow(prefixes, schema))
+
+
+def sharing(texts: DataFrame, n: int, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """Pairs (a, b) of keys that connect all that may be at least ``similarity`` alike and have different roots; each pair once.
+
+    ``texts`` holds about ``n`` different texts as (key long, text, root
+    long).  Prefix filter: the shingles of each text are put in one order for
+    all, rare ones first.  The first shingle that two similar texts share is,
+    in both, among the first ``n - ceil(similarity * n) + 1`` of their n, and
+    as many as the similarity asks for must be left from there on.
+
+    Lists of at most ``HOT_FROM`` texts ("cold" shingles) meet in an equi-join,
+    which makes rows in proportion to its input.  Two texts whose first shared
+    shingle is hot share hot ones only, so their overlap follows from their
+    sets of hot shingles.  Texts of one such set and one size are one class:
+    if the set alone makes them alike, they are paired with the first of them,
+    and only that one meets the others.  (A class that is not alike can only
+    pair as the larger side, and its texts stay apart.)  So a group of texts
+    around a few patterns costs rows in proportion to its size, whatever its
+    classes have in common.  Both joins test sizes, places, roots and a parity
+    map, which bounds the overlap from above, before a pair is a row.  No list
+    is gathered, and Spark may split a shingle that many texts have.
+    """
+    rows = _prefixes(texts, n, similarity, words)
+    share = similarity / (1 + similarity)  # of both sizes, which an overlap must reach
+
+    def bounded(of: str, m: str) -> Column:
+        """Whether the parity maps leave room for the overlap; ``of`` is the number of elements that they were made of."""
+        odd = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.{m}{i}").bitwiseXOR(F.col(f"y.{m}{i}"))) for i in range(MAPS)])
+        return odd <= F.col(f"x.{of}") + F.col(f"y.{of}") - 2 * share * (F.col("x.n") + F.col("y.n")) + 1e-6
 
-    out = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("root", pa.int64()), ("n", pa.int32()), ("left", pa.int32())])
-    entries = texts.mapInArrow(prefixes, "h long, key long, root long, n int, left int")
-    x, y = entries.alias("x"), entries.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))
-    enough = F.least("x.left", "y.left") >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
-    found = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & smaller & enough)
-    return found.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    enough = F.least("x.left", "y.left") >= share * (F.col("x.n") + F.col("y.n")) - 1e-6
+    pair = [F.col("x.key").alias("a"), F.col("y.key").alias("b")]
+
+    f, g = ([f"{m}{i}" for i in range(MAPS)] for m in "fg")
+    cold = rows.select("key", "root", "n", *f, F.posexplode("cold").alias("at", "h")).withColumn("left", F.col("n") - F.col("at"))
+    x, y = cold.alias("x"), cold.alias("y")
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & smaller & enough & bounded("n", "f")).select(*pair)
+
+    alike = F.col("hots") >= similarity * (2 * F.col("n") - F.col("hots")) - 1e-6
+    some = rows.where(F.size("hot") > 0).withColumns({"alike": alike, "alone": F.when(~alike, F.col("key"))})
+    body = F.struct("key", "root", "hot", *g)
+    classes = some.groupBy("digest", "n", "hots", "alike", "alone").agg(F.min(body).alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"))
+    classes = settle(classes)
+    heads = classes.where("members > 1").select(F.col("digest").alias("d"), F.col("n").alias("m"), F.col("head.key").alias("first"), F.col("head.root").alias("own"))
+    same = (F.col("digest") == F.col("d")) & (F.col("n") == F.col("m")) & F.col("alike")
+    inside = some.select("key", "root", "digest", "n", "alike").join(heads, same).where("key <> first and root <> own").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    posts = classes.select("head.key", "n", "hots", "alike", "lo", "hi", *[F.col(f"head.{c}") for c in g], F.posexplode("head.hot").alias("at", "h"))
+    posts = posts.withColumn("left", F.col("hots") - F.col("at"))  # nothing cold is shared
+    x, y = posts.alias("x"), posts.alias("y")
+    apart = ~((F.col("x.lo") == F.col("x.hi")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("y.lo") == F.col("y.hi")))
+    between = x.join(y, (F.col("x.h") == F.col("y.h")) & smaller & F.col("x.alike") & apart & enough & bounded("hots", "g")).select(*pair)
+    return met.unionByName(inside).unionByName(between).distinct()
 
 
 def near_copy_classes(
