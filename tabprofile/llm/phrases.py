@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -41,6 +42,7 @@ for _b in b".,;:!?\n\x0b\x0c\r":
     _TABLE[_b] = _BREAK[0]
 _TABLE[9] = 32
 _TABLE = bytes(_TABLE)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -48,8 +50,21 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).replace(_BREAK, b" . ").split()
 
 
-def _place(lang: bytes, phrase: bytes) -> int:
-    return xxhash.xxh64_intdigest(lang + b"\n" + phrase) >> (64 - TABLE_BITS)
+def _word_hashes(lang: bytes, words: list[bytes]) -> np.ndarray:
+    seed = xxhash.xxh32_intdigest(lang)
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
+def _longer(hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Hashes of phrases that are one word longer."""
+    h = (hashes ^ (hashes >> np.uint64(31))) * _FACTOR + more
+    return (h ^ (h >> np.uint64(29))) * _FACTOR
+
+
+def _set_bits(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set."""
+    at = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[bytes], np.ndarray]]:
@@ -114,42 +129,36 @@ def _counted(docs: DataFrame, length: int, tables: list) -> DataFrame:
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [np.frombuffer(t.value, np.uint8) for t in tables]
-
-        def frequent(lang: bytes, names: list[bytes], size: int) -> np.ndarray:
-            if size == length:
-                return np.ones(len(names), bool)
-            at = np.fromiter((_place(lang, x) for x in names), np.int64, len(names))
-            return (bits[size - 1][at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
         for lang, names, at in _blocks(batches):
             words = postings(at)
             if length > 1:
-                words = _only(words, frequent(lang, names, 1))
-            lists, phrases = words, names
+                hw = _word_hashes(lang, names)
+                words = _only(words, _set_bits(bits[0], hw))
+            lists, parts = words, [np.arange(len(names))]  # the words behind each number of a list
             for size in range(2, length + 1):
                 lists, pairs = extend(lists, words)
-                phrases = [phrases[p] + b" " + names[w] for p, w in pairs.tolist()]
+                parts = [*(p[pairs[:, 0]] for p in parts), pairs[:, 1]]
+                if size > 2:  # the words after the first must be a frequent phrase as well
+                    lists = _only(lists, _set_bits(bits[size - 2], _folded(hw, parts[1:])))
                 if size < length:
-                    lists = _only(lists, frequent(lang, phrases, size))
-                elif length > 2:  # the words after the first must be a frequent phrase as well
-                    tails = frequent_tail(lang, phrases)
-                    lists = _only(lists, tails)
+                    lists = _only(lists, _set_bits(bits[size - 1], _folded(hw, parts)))
             number, n = np.unique(lists[0], return_counts=True)
+            text = pa.array(names, pa.binary()).cast(pa.string())
             for k in range(0, len(number), 1 << 16):
-                part = number[k : k + (1 << 16)].tolist()
-                yield pa.RecordBatch.from_pydict(
-                    {"lang": [lang.decode()] * len(part), "phrase": [phrases[i].decode() for i in part], "n": pa.array(n[k : k + (1 << 16)], pa.int64())}
-                )
-
-    def frequent_tail(lang: bytes, phrases: list[bytes]) -> np.ndarray:
-        table = np.frombuffer(tables[length - 2].value, np.uint8)
-        at = np.fromiter((_place(lang, x.partition(b" ")[2]) for x in phrases), np.int64, len(phrases))
-        return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                some = number[k : k + (1 << 16)]
+                phrase = text.take(pa.array(parts[0][some]))
+                for p in parts[1:]:
+                    phrase = pc.binary_join_element_wise(phrase, text.take(pa.array(p[some])), " ")
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang.decode()), len(some)), phrase, pa.array(n[k : k + (1 << 16)], pa.int64())], names=["lang", "phrase", "n"])
 
     found = docs.mapInArrow(mine, "lang string, phrase string, n long")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
+def _folded(hw: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
+    return reduce(_longer, [hw[p] for p in parts])
+
+
 def _bit_table(frequent: DataFrame):
     """The broadcast bit table of (lang, phrase): tasks send the bytes that they set, at most 4 MB each and in pieces."""
     pieces, size = 1 << 10, (1 << TABLE_BITS) >> 13
@@ -157,8 +166,9 @@ def _bit_table(frequent: DataFrame):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(pieces * size, np.uint8)
         for batch in batches:
-            for lang, phrase in zip(batch["lang"], batch["phrase"]):
-                at = _place(lang.as_py().encode(), phrase.as_py().encode())
+            for lang, phrase in zip(batch["lang"].to_pylist(), batch["phrase"].to_pylist()):
+                h = reduce(_longer, _word_hashes(lang.encode(), phrase.encode().split(b" ")).reshape(-1, 1))
+                at = int(h[0] >> np.uint64(64 - TABLE_BITS))
                 bits[at >> 3] |= 1 << (at & 7)
         some = np.flatnonzero(bits.reshape(pieces, size).any(axis=1))
         for k in range(0, len(some), 64):

@@ -355,10 +355,10 @@ s AS (
 d AS MATERIALIZED (SELECT s, min(doc_id) AS id, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
 e AS MATERIALIZED (SELECT id, n, unnest(s) AS x FROM d),
 pair AS (
-  SELECT a.id AS a, b.id AS b, a.n AS an, b.n AS bn, count(*) AS both FROM e a JOIN e b ON a.x = b.x AND a.id < b.id
+  SELECT a.id AS a, b.id AS b, a.n AS an, b.n AS bn, count(*) AS meet FROM e a JOIN e b ON a.x = b.x AND a.id < b.id
   WHERE 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY ALL
 ),
-link AS MATERIALIZED (SELECT a, b FROM pair WHERE 100 * both >= 80 * (an + bn - both)),
+link AS MATERIALIZED (SELECT a, b FROM pair WHERE 100 * meet >= 80 * (an + bn - meet)),
 edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach(node, root) AS (
   SELECT id, id FROM d UNION SELECT edge.b, reach.root FROM reach JOIN edge ON edge.a = reach.node WHERE reach.root < edge.b
