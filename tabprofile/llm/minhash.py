@@ -7,8 +7,7 @@ full sets.  Merging all lists is not needed: a list of one set is no
 collision, and of the ``m`` posts that a set shares with any other, in one
 order for all with short lists first, the longest ``match - 1`` are skipped,
 as a pair that collides ``match`` times meets in the first ``m - match + 1``
-of both.  Lists are cut by size, since a pair of sets that are alike differs
-little in size.
+of both.
 """
 
 from __future__ import annotations
@@ -24,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import each, forget, settle
-from .simhash import BROADCAST_IDS, MAPS, components, parity_map, shingle_hashes
+from .simhash import BROADCAST_IDS, components, parity_map, shingle_hashes
 
-#: Coordinates of a signature, bits of each that are compared inside the join.
-K, PLANES = 64, 4
+#: Coordinates of a signature, bits of each that are compared inside the join, longs of a parity map of the set.
+K, PLANES, MAPS = 64, 4, 4
 #: A pair of the least similarity may miss the threshold of matches with this probability.
 MISS = 1e-6
 
@@ -73,25 +72,25 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 n.append(len(h))
                 digests.append(hashlib.md5(h.tobytes()).digest() if len(h) else None)
                 sig = signature(h)
-                sigs.append(sig.astype(np.int64) if len(h) else None)
-                parts.append(np.concatenate([planes(sig), parity_map(h)]))
-            columns = [batch["__id"], batch["__t"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))]
+                sigs.append(sig.view(np.int32) if len(h) else None)
+                parts.append(np.concatenate([planes(sig), parity_map(h, MAPS)]))
+            columns = [batch["__id"], batch["__t"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))]
             table = np.array(parts, np.int64).reshape(-1, len(PARTS))
             columns += [pa.array(table[:, i]) for i in range(len(PARTS))]
             yield pa.RecordBatch.from_arrays(columns, names=["__id", "__t", "__n", "__digest", "__sig", *PARTS])
 
     kind = docs.schema["__id"].dataType.simpleString()
-    schema = f"__id {kind}, __t string, __n long, __digest binary, __sig array<long>, " + ", ".join(f"{p} long" for p in PARTS)
+    schema = f"__id {kind}, __t string, __n long, __digest binary, __sig array<int>, " + ", ".join(f"{p} long" for p in PARTS)
     return docs.mapInArrow(made, schema)
 
 
 def _prefixes(heads: DataFrame, match: int) -> DataFrame:
-    """(__post, __central, __key, __n, __step, parts): the posts of each set that are not skipped.
+    """(__key, __n, parts, __central, __posts): the posts of each set that are not skipped.
 
     ``__central`` tells how much a set shares: the length of all its lists.
     """
     posts = heads.select("__key", F.posexplode("__sig").alias("__c", "__v"))
-    posts = posts.select("__key", F.shiftleft(F.col("__c").cast("long"), 32).bitwiseOR(F.col("__v")).alias("__post"))
+    posts = posts.select("__key", F.shiftleft(F.col("__c").cast("long"), 32).bitwiseOR(F.col("__v").cast("long").bitwiseAND((1 << 32) - 1)).alias("__post"))
     lists = posts.groupBy("__post").agg(F.count(F.lit(1)).alias("__df")).where("__df > 1")
     shared = posts.join(lists.select(F.col("__post").alias("__p"), "__df"), F.col("__post") == F.col("__p"))
     own = shared.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("__df", "__post"))).alias("__own"))  # K at most
@@ -112,11 +111,11 @@ def _alike(x: str, y: str, percent: int, match: int) -> Column:
     return sizes & (K - F.bit_count(apart) >= match) & (odd * (100 + percent) <= (100 - percent) * (c(x, "__n") + c(y, "__n")))
 
 
-def _confirmed(pairs: DataFrame, heads: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, names: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
     """Those of the pairs (a, b) of keys whose full sets are alike, settled."""
     pairs = settle(pairs)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("__key")).distinct()
-    ends = settle(ends.join(heads.select("__key", "__t"), "__key"))
+    ends = settle(ends.join(names.select("__key", "__t"), "__key"))
     few = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
     texts = docs.join(few, "__t").select("__key", "__text").dropDuplicates(["__key"])
 
@@ -169,37 +168,39 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, id_col:
     """
     match = match_threshold(percent)
     rows = docs.select(F.col(id_col).alias("__id"), F.md5(text_col).alias("__t"), F.col(text_col).alias("__text"))
-    all_ = settle(_sets(rows, words))
+    full = settle(_sets(rows, words))
     me = F.struct(F.col("__id").isNull().alias("null"), F.col("__id").alias("id"), F.col("__t").alias("t"))
     body = F.struct("__n", "__sig", *PARTS)
-    heads = all_.where("__n > 0").groupBy("__digest").agg(F.min(me).alias("__me"), F.first(body).alias("__b"))
+    heads = full.where("__n > 0").groupBy("__digest").agg(F.min(me).alias("__me"), F.first(body).alias("__b"))
     heads = settle(heads.select("__digest", F.struct("__me.null", "__me.id").alias("__label"), F.col("__me.t").alias("__t"), "__b.*", F.monotonically_increasing_id().alias("__key")))
-    shared = settle(_prefixes(heads, match))
-    step = F.floor(F.log(F.col("__n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
-    posts = shared.select(F.explode("__posts").alias("__post"), step.alias("__step"), "__central", "__key", "__n", *PARTS)
+    all_ = settle(full.select("__id", "__n", "__digest"))
+    forget(full)
+    shared = settle(_prefixes(heads.select("__key", "__n", "__sig", *PARTS), match))
+    names = settle(heads.select("__digest", "__label", "__t", "__key"))
+    forget(heads)
+    facts = ["__key", "__n", *PARTS]
+    posts = shared.select(F.explode("__posts").alias("__post"), "__central", *facts)
 
+    # The leader of a list, for each size that others can be alike to: what is alike differs by a step at most.
+    step = F.floor(F.log(F.col("__n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
     order = F.struct((-F.col("__central")).alias("c"), F.col("__key").alias("k"))
-    facts = ["__key", "__n", *PARTS]
-    first = posts.groupBy("__post", "__step").agg(F.min(F.struct(order, *facts)).alias("__f")).select("__post", F.explode(F.sequence(F.col("__step") - 1, F.col("__step") + 1)).alias("__step"), "__f.*")
-    place = (F.col("x.__post") == F.col("y.__post")) & (F.col("x.__step") == F.col("y.__step"))
-    near = posts.alias("x").join(first.alias("y"), place & (F.col("x.__key") != F.col("y.__key")) & _alike("x", "y", percent, match))
-    pairs = near.select(F.least("x.__key", "y.__key").alias("a"), F.greatest("x.__key", "y.__key").alias("b")).distinct()
-    early = _confirmed(pairs, heads, rows, percent, words)
-    labels = heads.select(F.col("__key").alias("node"), F.col("__label").alias("label"))
+    first = posts.groupBy("__post", step.alias("__step")).agg(F.min(F.struct(order, *facts)).alias("__f")).select("__post", "__f.*")
+    pair = [F.least("x.__key", "y.__key").alias("a"), F.greatest("x.__key", "y.__key").alias("b")]
+    met = (F.col("x.__post") == F.col("y.__post")) & (F.col("x.__key") != F.col("y.__key")) & _alike("x", "y", percent, match)
+    early = _confirmed(posts.alias("x").join(first.alias("y"), met).select(*pair).distinct(), names, rows, percent, words)
+    labels = names.select(F.col("__key").alias("node"), F.col("__label").alias("label"))
     roots = components(early, labels)
 
     known = roots.select(F.col("node").alias("__node"), F.col("root.node").alias("__r"))
     mine = shared.join(known, F.col("__key") == F.col("__node"), "left").withColumn("__root", F.coalesce("__r", "__key"))
-    mine = mine.select(F.explode("__posts").alias("__post"), step.alias("__step"), "__root", *facts)
-    theirs = mine.withColumn("__step", F.explode(F.array(F.col("__step"), F.col("__step") + 1)))
-    both = place & (F.col("x.__root") != F.col("y.__root")) & _alike("x", "y", percent, match)
-    pairs = mine.alias("x").join(theirs.alias("y"), both)
-    pairs = pairs.select(F.least("x.__key", "y.__key").alias("a"), F.greatest("x.__key", "y.__key").alias("b")).distinct()
-    late = _confirmed(pairs, heads, rows, percent, words)
+    mine = mine.select(F.explode("__posts").alias("__post"), "__root", *facts)
+    apart = (F.col("x.__post") == F.col("y.__post")) & (F.col("x.__key") < F.col("y.__key")) & (F.col("x.__root") != F.col("y.__root"))
+    pairs = mine.alias("x").join(mine.alias("y"), apart & _alike("x", "y", percent, match)).select(*pair).distinct()
+    late = _confirmed(pairs, names, rows, percent, words)
     links = settle(early.unionByName(late).distinct())
     roots = components(links, labels).select(F.col("node").alias("__node"), F.col("root.label").alias("__least"))
     degree = links.select(F.explode(F.array("a", "b")).alias("__d")).groupBy("__d").agg(F.count(F.lit(1)).alias("__links"))
-    classes = heads.join(roots, F.col("__key") == F.col("__node"), "left").join(degree, F.col("__key") == F.col("__d"), "left")
+    classes = names.join(roots, F.col("__key") == F.col("__node"), "left").join(degree, F.col("__key") == F.col("__d"), "left")
     classes = settle(classes.select(F.col("__digest").alias("__set"), F.coalesce("__least", "__label").alias("__c"), F.coalesce("__links", F.lit(0)).alias("n_links")))
     # Settled, so that the join stands alone and may split the rows of a set that many documents have.
     out = all_.select("__id", "__n", "__digest").join(classes, F.col("__digest") == F.col("__set"), "left")

@@ -413,9 +413,9 @@ def shingle_ranks(texts: DataFrame, n: int, words: int) -> np.ndarray:
     return ranks.ravel()
 
 
-def parity_map(hashes: np.ndarray) -> np.ndarray:
-    """64 * MAPS bits as longs, each the parity of the elements that fall on it: no more bits differ than elements do."""
-    ones = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * MAPS), minlength=64 * MAPS) & 1
+def parity_map(hashes: np.ndarray, longs: int = MAPS) -> np.ndarray:
+    """64 bits a long, each the parity of the elements that fall on it: no more bits differ than elements do."""
+    ones = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * longs), minlength=64 * longs) & 1
     return np.packbits(ones.astype(np.uint8), bitorder="little").view("<i8")
 
 
