@@ -21,8 +21,10 @@ MASKS = ("##---###-#", "#-####---#", "###-#--#-#", "#--#-#-###")
 SPAN = len(MASKS[0])
 #: Substituted tokens in a row that an overlap goes across, least equal tokens and least share of equal tokens.
 GAP, MIN_EQUAL, MIN_SHARE = 2, 10, 0.8
-#: Seeds (about 100 bytes each) up to which the benchmark's side is broadcast; more meet by shuffle.
+#: Sources of seeds (about 100 bytes each) up to which the benchmark's side is broadcast; more meet by shuffle.
 BROADCAST_SEEDS = 200_000
+#: Sources from which a seed is hot: where only the documents are asked for, one of them stands for all at first.
+HOT_SEED = 16
 
 
 def tokens(text: Column) -> Column:
@@ -100,33 +102,15 @@ def contaminated(
     (or one item) with several texts; repeated rows and items change nothing.
     Empty tables give an empty result; extra columns are left out.
 
-    The documents are read once and never shuffled while the benchmark has at
-    most ``broadcast_seeds`` seeds (they are counted first).  Beyond that the
-    seeds meet by shuffle, the documents' hits being joined to their tokens
-    afterwards; a seed that many documents share is split by Spark's skew join.
+    The documents are read once and never shuffled while the seeds of the
+    benchmark have at most ``broadcast_seeds`` sources (they are counted
+    first).  Beyond that the seeds meet by shuffle, the documents' hits being
+    joined to their tokens afterwards; a seed that many documents share is
+    split by Spark's skew join.
     """
-    items = (
-        benchmark.select(F.col(item_col).alias("__item"), tokens(F.col(item_text_col)).alias("__tokens"))
-        .where(F.size("__tokens") >= SPAN)
-        .withColumn("__key", F.md5(F.concat_ws(" ", F.coalesce(F.col("__item").cast("string"), F.lit("null")), F.array_join("__tokens", " "))))
-        .dropDuplicates(["__key"])
-    )
-    items = settle(items)
-    item_seeds = settle(
-        windows(items.withColumn("__length", F.size("__tokens")), ["__key", "__length"])
-        .groupBy("__seed")
-        .agg(F.collect_list(F.struct("__key", "__at", "__length")).alias("__sources"))
-        .withColumnRenamed("__seed", "__known")
-    )
-    rows = docs.select(F.col(id_col).alias("__id"), tokens(F.col(text_col)).alias("__tokens"))
-    near = _hits_by_broadcast if item_seeds.count() <= broadcast_seeds else _hits_by_shuffle
-    compared = near(rows, item_seeds).join(items.select("__key", "__item", F.col("__tokens").alias("__theirs")), "__key")
-    equal = F.zip_with("__ours", "__theirs", lambda a, b: F.coalesce(a == b, F.lit(False)))
-    found = compared.withColumn("__equal", equal).select(
-        "__id", "__item", "__from", F.explode(overlaps(F.col("__equal"))).alias("__o")
-    )
+    items, seeds = _prepared(benchmark, item_col, item_text_col)
+    good = _good(_tokenised(docs, id_col, text_col), items, seeds, min_equal, min_share, broadcast_seeds)
     o = F.col("__o")
-    good = found.where((o["equal"] >= min_equal) & (o["equal"] >= min_share * o["length"]))
     best = good.groupBy("__id", "__item").agg(
         F.max(
             F.struct(
@@ -148,6 +132,36 @@ def contaminated(
     )
 
 
+def _tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("__id"), tokens(F.col(text_col)).alias("__tokens"))
+
+
+def _prepared(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Items (__key, __item, __tokens) and the sources of their seeds (__known, __key, __at, __length); settled."""
+    items = (
+        benchmark.select(F.col(item_col).alias("__item"), tokens(F.col(text_col)).alias("__tokens"))
+        .where(F.size("__tokens") >= SPAN)
+        .withColumn("__key", F.md5(F.concat_ws(" ", F.coalesce(F.col("__item").cast("string"), F.lit("null")), F.array_join("__tokens", " "))))
+        .dropDuplicates(["__key"])
+    )
+    items = settle(items)
+    seeds = windows(items.withColumn("__length", F.size("__tokens")), ["__key", "__length"])
+    return items, settle(seeds.select(F.col("__seed").alias("__known"), "__key", "__at", "__length"))
+
+
+def _good(rows: DataFrame, items: DataFrame, seeds: DataFrame, min_equal: int, min_share: float, broadcast_seeds: int) -> DataFrame:
+    """(__id, __item, __from, __o): the runs along a diagonal with a hit that are long and equal enough."""
+    near = _hits_by_broadcast if seeds.count() <= broadcast_seeds else _hits_by_shuffle
+    sources = seeds.select("__known", F.struct("__key", "__at", "__length").alias("__s"))
+    compared = near(rows, sources).join(items.select("__key", "__item", F.col("__tokens").alias("__theirs")), "__key")
+    equal = F.zip_with("__ours", "__theirs", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    found = compared.withColumn("__equal", equal).select(
+        "__id", "__item", "__from", F.explode(overlaps(F.col("__equal"))).alias("__o")
+    )
+    o = F.col("__o")
+    return found.where((o["equal"] >= min_equal) & (o["equal"] >= min_share * o["length"]))
+
+
 def _opposite(tokens_: Column, start: Column, length: Column) -> Column:
     """The document's tokens opposite to an item's, null beyond its ends."""
     return F.transform(F.sequence(F.lit(0), length - 1), lambda j: F.get(tokens_, start + j))
@@ -158,7 +172,7 @@ def _hits_by_broadcast(rows: DataFrame, item_seeds: DataFrame) -> DataFrame:
     hits = (
         windows(rows, ["__id", "__tokens"])
         .join(F.broadcast(item_seeds), F.col("__seed") == F.col("__known"))
-        .select("__id", "__tokens", "__at", F.explode("__sources").alias("__s"))
+        .select("__id", "__tokens", "__at", "__s")
     )
     start = F.col("__at") - F.col("__s.__at")
     return hits.select(
@@ -175,7 +189,6 @@ def _hits_by_shuffle(rows: DataFrame, item_seeds: DataFrame) -> DataFrame:
     hits = (
         windows(named, ["__id", "__own"])
         .join(item_seeds.hint("merge"), F.col("__seed") == F.col("__known"))
-        .select("__id", "__own", "__at", F.explode("__sources").alias("__s"))
         .select(
             F.col("__id").alias("__hid"),
             F.col("__own").alias("__hown"),
@@ -193,7 +206,42 @@ def _hits_by_shuffle(rows: DataFrame, item_seeds: DataFrame) -> DataFrame:
     )
 
 
+def contaminated_ids(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    min_equal: int = MIN_EQUAL,
+    min_share: float = MIN_SHARE,
+    broadcast_seeds: int = BROADCAST_SEEDS,
+) -> DataFrame:
+    """(``__bad``): the ids of all documents in :func:`contaminated`, without a row for each pair.
+
+    A seed that many items share (a preamble) would bring each document
+    together with each of them.  One source, the same for all documents,
+    stands for such a seed at first; only documents that it does not settle
+    meet the others.
+    """
+    items, seeds = _prepared(benchmark, item_col, item_text_col)
+    source = F.struct("__key", "__at", "__length")
+    per = seeds.groupBy("__known").agg(F.count(F.lit(1)).alias("__n"), F.min(source).alias("__s"))
+    hot = settle(per.where(F.col("__n") > HOT_SEED).select(F.col("__known").alias("__hot"), "__s.*"))
+    rare = seeds.join(hot.select("__hot"), F.col("__known") == F.col("__hot"), "left_anti")
+    stand_ins = hot.select(F.col("__hot").alias("__known"), "__key", "__at", "__length")
+    rows = _tokenised(docs, id_col, text_col)
+    how = (min_equal, min_share, broadcast_seeds)
+    bad = settle(_good(rows, items, rare.unionByName(stand_ins), *how).select(F.col("__id").alias("__bad")).distinct())
+    if hot.isEmpty():
+        return bad
+    open_ = rows.join(bad, F.col("__id").eqNullSafe(F.col("__bad")), "left_anti")
+    others = seeds.join(hot.select("__hot"), F.col("__known") == F.col("__hot"), "left_semi")
+    late = _good(open_, items, others, *how).select(F.col("__id").alias("__bad")).distinct()
+    return bad.unionByName(late)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without those that :func:`contaminated` finds; a null id with a contaminated row goes as well."""
-    bad = contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("__bad")).distinct()
+    """The documents without those of :func:`contaminated_ids`; a null id with a contaminated row goes as well."""
+    bad = contaminated_ids(docs, benchmark, id_col, **options)
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
