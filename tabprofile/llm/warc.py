@@ -15,6 +15,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import zstandard
@@ -69,12 +70,12 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
 
 def record_id(value: str | None, digest: str) -> str:
     """Rows that repeat an id have records of their own unless their payloads are equal, too."""
-    return f"urn:page:{'null' if value is None else value}:{digest[:32]}"
+    return f"urn:page:{'null' if value is None else '=' + quote(value, safe='')}:{digest[:32]}"
 
 
-def _parse_id(urn: str | None) -> int | None:
+def _parse_id(urn: str | None) -> str | None:
     value = (urn or "").strip("<>").split(":")[2:3]
-    return None if value in ([], ["null"]) else int(value[0])
+    return None if value in ([], ["null"]) else unquote(value[0][1:])
 
 
 def _line(value) -> str:
@@ -231,7 +232,7 @@ def write_archives(
 
 
 def _joined(records: list[bytes], date: str) -> bytes:
-    """An archive; its dictionary is built from the records alone."""
+    """An archive; its dictionary is built from its records, the one that describes it included."""
     return SEPARATOR.encode().join(archive_frames([warcinfo(records, date), *records]))
 
 
@@ -245,15 +246,16 @@ def _rename(spark: SparkSession, path: str) -> None:
             files.rename(one.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(".txt") + ".warc.zst"))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """All records of the archives below ``path``.
 
-    Columns: page_id long, url string, record_type string, refers_to long,
+    Columns: page_id, url string, record_type string, refers_to,
     payload_digest string, payload_bytes long (as the header has them),
-    payload binary (empty for a revisit).  A response whose payload does not
+    payload binary (empty for a revisit).  Ids are of ``id_type``, any that
+    can be read from its text (records hold the id percent-encoded).  A response whose payload does not
     give its digest and length fails the job.
     """
-    schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+    schema = "page_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,18 +280,18 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _frame(rows)
 
-    return files.mapInPandas(records, schema)
+    return files.mapInPandas(records, schema).withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(
         rows, columns=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
     )
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    return out.astype({"page_id": object, "refers_to": object})
 
 
-def archive_round_trip(pages: DataFrame, folder: str, **options) -> DataFrame:
-    """Write the pages to fresh archives below ``folder`` and read them back."""
+def archive_round_trip(pages: DataFrame, folder: str, id_col: str = "page_id", **options) -> DataFrame:
+    """Write the pages to fresh archives below ``folder`` and read them back, with ids of the type that they have."""
     path = f"{folder}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, path, **options)
-    return read_archives(pages.sparkSession, path)
+    write_archives(pages, path, id_col=id_col, **options)
+    return read_archives(pages.sparkSession, path, pages.schema[id_col].dataType.simpleString())
