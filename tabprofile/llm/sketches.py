@@ -6,7 +6,10 @@ subtract cell by cell; the larger is first folded to the size of the smaller,
 as the cell of a digest is its hash modulo the size.  A cell of the difference
 with a count of one and a fitting check gives a digest away, which is taken
 out of its other cells, and so on: peeling.  If cells are left over, both
-sketches are made anew with more cells.
+sketches are made anew with more cells, unless the texts are short: beside the
+cells, the fingerprint of a text of up to ``LISTED`` paragraphs lists their
+digests, so that two such texts which differ in everything are still told by
+what the fingerprints hold.
 
 Sketches of many texts lie end to end in the same arrays, so that building,
 subtracting and peeling are a few array operations for a block of documents.
@@ -33,6 +36,8 @@ PARAGRAPH = re.compile(r"[^\n]{1,%d}[^.!?\n]{0,%d}[.!?]*\n*|\n+" % (PARAGRAPH_CH
 HASHES = 3
 #: Cells of a part for each paragraph (then rounded up to a power of two), and the least.
 CELLS_EACH, LEAST_CELLS = 0.75, 4
+#: Paragraphs up to which a fingerprint lists the digests as well.
+LISTED = 64
 #: Texts are worked on in blocks of about so many code points.
 BLOCK_CHARS = 1 << 20
 #: Rounds of peeling; what is not peeled by then counts as a failure.
@@ -157,16 +162,17 @@ class Sketches:
         none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int16))
         return *(np.concatenate(x) for x in zip(none, *found)), empty
 
-    def text(self, k: int, paragraphs: int) -> str:
-        """Sketch ``k`` and its number of paragraphs as a string, which :func:`read` reads."""
+    def text(self, k: int, paragraphs: int, listed: np.ndarray | None = None) -> str:
+        """Number of paragraphs, sketch ``k`` and listed digests as a string, which :func:`read` and :func:`listed_in` read."""
         at = slice(self.start[k], self.start[k] + HASHES * self.part[k])
         raw = self.count[at].astype("<i2").tobytes() + self.keys[at].astype("<u8").tobytes() + self.checks[at].astype("<u4").tobytes()
-        return f"{paragraphs}:{base64.b64encode(raw).decode()}"
+        more = b"" if listed is None else listed.astype("<u8").tobytes()
+        return f"{paragraphs}:{base64.b64encode(raw).decode()}:{base64.b64encode(more).decode()}"
 
 
 def read(*fingerprints: str) -> tuple[np.ndarray, Sketches]:
     """Paragraph counts and sketches of fingerprint strings."""
-    heads, raws = zip(*[(int(n), base64.b64decode(coded)) for n, _, coded in (f.partition(":") for f in fingerprints)])
+    heads, raws = zip(*[(int(n), base64.b64decode(coded)) for n, coded, _ in (f.split(":") for f in fingerprints)])
     out = Sketches.empty(np.array([len(r) // (14 * HASHES) for r in raws]))
     for k, raw in enumerate(raws):
         n = HASHES * out.part[k]
@@ -177,6 +183,19 @@ def read(*fingerprints: str) -> tuple[np.ndarray, Sketches]:
     return np.array(heads), out
 
 
+def listed_in(fingerprint: str) -> np.ndarray | None:
+    """All digests of a text whose fingerprint lists them, else None."""
+    n, _, coded = fingerprint.split(":")
+    found = np.frombuffer(base64.b64decode(coded), "<u8")
+    return found if len(found) == int(n) else None
+
+
+def lists(keys: np.ndarray, sizes: np.ndarray) -> list[np.ndarray | None]:
+    """For each text its digests if they are few enough to be listed."""
+    ends = np.cumsum(sizes)
+    return [keys[e - n : e] if n <= LISTED else None for e, n in zip(ends, sizes)]
+
+
 def difference(a: str, b: str) -> tuple[set[int], set[int]] | None:
     """The digests only in the first and only in the second of two fingerprints; None if they hold too few cells for it."""
     _, sketches = read(a, b)
@@ -184,11 +203,14 @@ def difference(a: str, b: str) -> tuple[set[int], set[int]] | None:
     return (set(key[sign > 0].tolist()), set(key[sign < 0].tolist())) if empty[0] else None
 
 
-def likenesses(keys: np.ndarray, sizes: np.ndarray, sketches: Sketches, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def likenesses(
+    keys: np.ndarray, sizes: np.ndarray, sketches: Sketches, a: np.ndarray, b: np.ndarray, listed: list[np.ndarray | None] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """The likeness of texts ``a[k]`` and ``b[k]``: shared paragraphs, twice over, per paragraphs of both; 1 without any.
 
-    What differs is recovered from the two sketches.  The pairs that fail (the
-    second result says which) get larger sketches of both texts, first of the
+    What differs is recovered from the two sketches.  Where that fails, two
+    ``listed`` texts are compared by their lists; of the other pairs (the
+    second result says which) both texts get larger sketches, first of the
     size of the larger one, then twice that each time.
     """
     todo, only = np.arange(len(a)), np.zeros(len(a), np.int64)
@@ -198,6 +220,11 @@ def likenesses(keys: np.ndarray, sizes: np.ndarray, sketches: Sketches, a: np.nd
         own, _, sign, empty = made.peel()
         only[todo] = np.bincount(own[sign > 0], minlength=len(todo))
         todo, part = todo[~empty], part[~empty]
+        if listed and not failed.any():
+            short = np.array([listed[a[k]] is not None and listed[b[k]] is not None for k in todo], bool)
+            for k in todo[short]:
+                only[k] = sizes[a[k]] - len(np.intersect1d(listed[a[k]], listed[b[k]], assume_unique=True))
+            todo, part = todo[~short], part[~short]
         failed[todo] = True
         if not len(todo):
             break
@@ -317,13 +344,13 @@ def _block(rows: list[tuple[str | None, str, str]]) -> pd.DataFrame:
     edited = len(texts) + np.arange(len(rows))
     own, following = np.array(own), np.array(following)
     keys, sizes = paragraph_digests(texts + edits)
-    sketches = Sketches.of(keys, sizes)
+    sketches, listed = Sketches.of(keys, sizes), lists(keys, sizes)
     near, retried = [], np.zeros(len(rows), np.int32)
     for other in (edited, following):
-        value, failed = likenesses(keys, sizes, sketches, own, other)
+        value, failed = likenesses(keys, sizes, sketches, own, other, listed)
         near.append(value)
         retried += failed
-    prints = {int(k): sketches.text(k, sizes[k]) for k in np.unique(np.concatenate([own, edited]))}
+    prints = {int(k): sketches.text(k, sizes[k], listed[k]) for k in np.unique(np.concatenate([own, edited]))}
     return pd.DataFrame(
         {
             "id": [name for name, *_ in rows],
