@@ -26,8 +26,8 @@ from .common import each, forget, settle, without
 
 WORD = re.compile(r"[^\W_]+")
 STEM_LENGTHS = (3, 4, 5, 6)
-#: Labelled rows a fit may use (those with the least hash of the id), and entries of a lexicon.
-FIT_ROWS, LEXICON_SIZE = 8192, 256
+#: Labelled rows a fit may use (those with the least hash of the id).
+FIT_ROWS = 8192
 DISCOVERY_RATE = 0.2
 #: Share of the toxic documents that an entry must explain beyond the entries before it (two documents at least).
 LEAST_ADDED = 0.005
@@ -204,10 +204,9 @@ def learn_lexicon(sample: DataFrame, text_col: str, label_col: str) -> tuple[dic
     """Terms and stems that are in many toxic and few other documents of the (bounded) sample.
 
     Document counts are made per partition and summed by a shuffle; what
-    comes to the driver are at most ``8 * LEXICON_SIZE`` candidates.  The
-    lexicon ends at ``LEXICON_SIZE`` entries, those that explain most: what
-    would come after them is not in the model (the sample has far fewer that
-    are significant).
+    comes to the driver is how many candidates have each pair of counts, and
+    then all that are significant.  The sample bounds both, so the lexicon has
+    no other limit.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,18 +226,13 @@ def learn_lexicon(sample: DataFrame, text_col: str, label_col: str) -> tuple[dic
     spread = sample.select(text_col, label_col).mapInPandas(count, "f string, c0 long, c1 long")
     sums = settle(spread.groupBy("f").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where("c0 + c1 >= 3"))
     odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
-    good = (
-        sums.where((F.col("c1") >= 3) & (F.col("c1") >= 4 * F.col("c0")))
-        .withColumn("odds", odds)
-        .withColumn("gain", F.col("c1") * F.col("odds"))
-        .orderBy(F.desc("gain"), F.length("f"), "f")
-        .limit(8 * LEXICON_SIZE)
-        .select("f", "odds", "c0", "c1")
-        .collect()
-    )
+    candidates = sums.where((F.col("c1") >= 3) & (F.col("c1") >= 4 * F.col("c0")))
     tested, base = sums.count(), n1 / (n0 + n1)
+    pairs = [tuple(r) for r in candidates.groupBy("c0", "c1").count().collect()]
+    listed = sample.sparkSession.createDataFrame(_significant(pairs, tested, base), "c0 long, c1 long")
+    some = candidates.join(F.broadcast(listed), ["c0", "c1"]).withColumn("odds", odds)  # pairs of counts of the bounded sample
+    good = some.select("f", "odds", "c0", "c1").collect()
     forget(sums)
-    good = _significant(good, tested, base)
     wanted = frozenset(r["f"] for r in good)
 
     def incidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,7 +261,7 @@ def _cover(good: list, docs: list[set[str]]) -> list:
         for f in fs:
             where[f].add(k)
     left, picked, least = set(range(len(docs))), [], max(2, LEAST_ADDED * len(docs))
-    while len(picked) < LEXICON_SIZE:
+    while True:
         new = {r["f"]: len(where[r["f"]] & left) for r in good}
         # Of equal gains the longer entry, a word before a stem: it says the same more exactly.
         best = max(good, key=lambda r: (new[r["f"]] * r["odds"], len(r["f"]), r["f"][0] == "w", r["f"]), default=None)
@@ -279,22 +273,25 @@ def _cover(good: list, docs: list[set[str]]) -> list:
     chosen = {r["f"] for r in picked}
     company = [frozenset(fs & chosen) for fs in docs]
     for r in good:
-        if r["f"][0] == "w" and r["f"] not in chosen and len(picked) < LEXICON_SIZE:
+        if r["f"][0] == "w" and r["f"] not in chosen:
             if len({company[k] for k in where[r["f"]]}) >= VARIED_COMPANY:
                 picked.append(r)
     return picked
 
 
-def _significant(rows: list, tested: int, base: float) -> list:
-    """Of the candidates (f, odds, c0, c1) those that stand out at a false discovery rate of DISCOVERY_RATE.
+def _significant(pairs: list[tuple[int, int, int]], tested: int, base: float) -> list[tuple[int, int]]:
+    """Of the pairs of counts (c0, c1, how many candidates have them) those that stand out at a false discovery rate of DISCOVERY_RATE.
 
     The bound on the chance of c1 toxic among c0 + c1 documents is Chernoff's;
     the procedure is that of Benjamini and Hochberg.
     """
-
-    ordered = sorted(_log_p(r["c0"], r["c1"], base) for r in rows)
-    fits = [p for k, p in enumerate(ordered, 1) if p <= math.log(DISCOVERY_RATE * k / max(tested, 1))]
-    return [r for r in rows if fits and _log_p(r["c0"], r["c1"], base) <= fits[-1]]
+    ordered = sorted((_log_p(c0, c1, base), n) for c0, c1, n in pairs)
+    cut, rank = None, 0
+    for k, (p, n) in enumerate(ordered):
+        rank += n
+        if (k + 1 == len(ordered) or ordered[k + 1][0] > p) and p <= math.log(DISCOVERY_RATE * rank / max(tested, 1)):
+            cut = p
+    return [(c0, c1) for c0, c1, _ in pairs if cut is not None and _log_p(c0, c1, base) <= cut]
 
 
 def _log_p(c0: int, c1: int, base: float) -> float:
