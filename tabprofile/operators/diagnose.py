@@ -12,7 +12,8 @@ from ..functions.infer import readability
 from ..plans.filters import duplicate_groups as groups_of_rows
 from ..plans.table import Table
 from .freq import frequencies, held, local, only
-from .profile import ZOOM, quartiles
+from .order import neighbours, ranged
+from .profile import quartiles
 
 # Numbers and dates that exports write for "nothing".
 SENTINELS = (-99999, -9999, -999, -99, 99, 999, 9999, 99999, 9999999)
@@ -156,19 +157,14 @@ def _placeholders(f: DataFrame) -> DataFrame:
     odd = local(odd.collect(), odd)
     sure = odd.where("out and known").select("column", "value", "n")
     spikes = odd.where("out and not known").select("column", "value", "n")
-    listed = spikes.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("__s"))
-    # The values between two spikes: their least and largest are the spikes' neighbours.
-    between = f.join(F.broadcast(listed), "column").where(~F.array_contains("__s", v))
-    between = between.groupBy("column", F.size(F.filter("__s", lambda x: x < v)).alias("__k")).agg(
-        F.min_by("n", "value").alias("__first"), F.max_by("n", "value").alias("__last")
-    )
-    by = W.partitionBy("column").orderBy("value")  # at most 1,000 rows
-    placed = spikes.withColumns({"__k": F.row_number().over(by) - 1, "__lag": F.lag("n").over(by), "__lead": F.lead("n").over(by)})
-    below = between.select("column", "__k", F.col("__last").alias("__below"))
-    above = between.select("column", (F.col("__k") - 1).alias("__k"), F.col("__first").alias("__above"))
-    near = placed.join(below, ["column", "__k"], "left").join(above, ["column", "__k"], "left")
-    most = F.greatest(F.coalesce("__below", "__lag", F.lit(0)), F.coalesce("__above", "__lead", F.lit(0)))
-    alone = near.where(n >= SPIKE_FACTOR * most).select("column", "value", "n")
+    # The values on either side come from one walk along the values of the columns that have a spike.
+    with_spikes = f.join(F.broadcast(spikes.select("column").distinct()), "column", "left_semi")
+    walk = neighbours(ranged(with_spikes, F.asc("column"), F.asc("value")), "n", by="column") if not spikes.isEmpty() else None
+    alone = spikes
+    if walk is not None:
+        near = walk.join(F.broadcast(spikes.select("column", "value")), ["column", "value"])
+        most = F.greatest(F.coalesce("before.n", F.lit(0)), F.coalesce("after.n", F.lit(0)))
+        alone = near.where(n >= SPIKE_FACTOR * most).select("column", "value", "n")
     again = odd.where("known and not out").select("column", "value", "n")
     rest = f.join(F.broadcast(again), ["column", "value"], "left_anti")  # nine values a column at most
     rest = rest.join(F.broadcast(again.select("column").distinct()), "column", "left_semi")
@@ -204,30 +200,6 @@ def _garbled(f: DataFrame, table: Table) -> DataFrame:
     return some.select("column", "raw", fixed.alias("fixed"), "n")
 
 
-def _steps(values: DataFrame, points: int = 1 << 16, zoom: int = ZOOM) -> DataFrame:
-    """(before, value, delta) of each distinct value but the least, found in stretches of the range of values.
-
-    The range is cut into ``zoom`` stretches of equal width, and each stretch
-    again, from its least to its largest value, by how many ``points`` it
-    has; so a few values far away do not crowd the others into one task.
-    """
-    v = F.col("value")
-    place = lambda low, high, parts: F.least(
-        parts - 1, F.coalesce(F.floor((v / 2 - low / 2) / F.when(high > low, high / 2 - low / 2) * parts), F.lit(0))
-    )
-    span = values.agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"))
-    first = values.join(F.broadcast(span), F.lit(True)).select("value", place(F.col("__lo"), F.col("__hi"), F.lit(zoom)).alias("__a"))
-    parts = first.groupBy("__a").agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"), (F.floor(F.count(F.lit(1)) / points) + 1).alias("__k"))
-    parts = parts.withColumnRenamed("__a", "__b")  # at most ``zoom`` rows
-    cut = first.join(F.broadcast(parts), F.col("__a") == F.col("__b"))
-    cut = cut.select("value", F.struct("__a", place(F.col("__lo"), F.col("__hi"), F.col("__k")).alias("k")).alias("__s"))
-    last = cut.groupBy("__s").agg(F.max("value").alias("__last"))
-    prior = last.select(F.col("__s").alias("__t"), F.lag("__last").over(W.orderBy("__s")).alias("__prior"))  # a row for each stretch
-    before = F.coalesce(F.lag("value").over(W.partitionBy("__s").orderBy("value")), F.col("__prior"))
-    steps = cut.join(prior, F.col("__s") == F.col("__t")).select("value", before.alias("before"))
-    return steps.where("before is not null").withColumn("delta", F.col("value") - F.col("before"))
-
-
 def sequence_gaps(table: Table, name: str) -> DataFrame:
     """(after, before, missing, step, every): the gaps of a column that is a regular sequence, else nothing.
 
@@ -237,10 +209,12 @@ def sequence_gaps(table: Table, name: str) -> DataFrame:
     c = table[name]
     temporal = c.kind in ("date", "time")
     f = only(frequencies(table, [name], "identity"), F.col("value").isNotNull()).groupBy("value").agg(F.sum("n").alias("n"))
-    facts = f.agg(
+    dealt = ranged(f, F.asc("value"))
+    facts = dealt.agg(
         F.count(F.lit(1)).alias("points"), F.sum("n").alias("present"), F.bool_and(F.col("value") == F.floor("value")).alias("whole")
     )
-    steps = _steps(f)
+    steps = neighbours(dealt, "value").where("before is not null")
+    steps = steps.select("value", F.col("before.value").alias("before"), (F.col("value") - F.col("before.value")).alias("delta"))
     modes = steps.groupBy("delta").agg(F.count(F.lit(1)).alias("times"), F.min("value").alias("first"))
     mode = modes.agg(F.max_by(F.struct("delta", "times"), F.struct("times", (-F.col("first")).alias("f"))).alias("m")).select(
         F.col("m.delta").alias("step"), F.col("m.times").alias("times")

@@ -1,8 +1,10 @@
-"""Work along the order of rows without bringing them all to one task.
+"""Work along an order of rows without bringing them all to one task.
 
-``_row`` is cut into stretches.  Each stretch is a window of its own; what
-passes from one to the next (a count, the last cell with content) is a table
-of one row a stretch.
+Along ``_row``, rows are cut into stretches by that number.  Along any other
+order, a range exchange deals them out by the whole sort key, which Spark
+samples for its bounds, so neither crowded nor equal keys meet in one task.
+Each stretch is worked on alone; what passes from one to the next (a count,
+the last cell with content) is a table of one row a stretch.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..plans.durable import settle
 from ..plans.table import ROW
 
 #: Rows a stretch spans, as counted by ``_row``.
@@ -35,6 +38,45 @@ def positions(df: DataFrame, out: str = "_pos", size: int = STRETCH) -> DataFram
     )
 
 
+def ranged(df: DataFrame, *keys: Column, keep: list[Column] | None = None, size: int = STRETCH) -> DataFrame:
+    """All rows in the order of the keys: ``_part`` numbers the stretches in order, ``_at`` the rows inside from 0.
+
+    The keys have to tell all rows apart (so ``_row`` is the last of them);
+    then the bounds of the exchange split rows of equal leading keys as well.
+    ``keep`` limits the columns.  Settled, since another run would draw other
+    bounds.
+    """
+    dealt = df.repartitionByRange(max(1, -(-df.count() // size)), *keys).sortWithinPartitions(*keys)
+    dealt = dealt.select(*keep) if keep else dealt
+    place = F.monotonically_increasing_id()  # the partition in the upper 31 bits, the row in it below
+    return settle(dealt.withColumn("__i", place)).withColumns({"_part": F.shiftright("__i", 33), "_at": F.col("__i").bitwiseAND((1 << 33) - 1)}).drop("__i")
+
+
+def placed(dealt: DataFrame, out: str = "_pos") -> DataFrame:
+    """The rows of :func:`ranged` with their gapless position (from 0) in place of stretch and number."""
+    sums = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row a stretch
+    offsets = sums.select(F.col("_part").alias("__t"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    return dealt.join(offsets, F.col("_part") == F.col("__t")).withColumn(out, F.col("__o") + F.col("_at")).drop("_part", "_at", "__t", "__o")
+
+
+def neighbours(dealt: DataFrame, *carried: str, by: str | None = None) -> DataFrame:
+    """The rows of :func:`ranged` with ``before`` and ``after``: structs of the ``carried`` columns of the rows on either side.
+
+    Null at the ends, and with ``by`` (the leading key) where that differs.
+    """
+    whole = F.struct(*([by] if by else []), *carried)
+    ends = dealt.groupBy("_part").agg(F.min_by(whole, "_at").alias("__first"), F.max_by(whole, "_at").alias("__last"))
+    order = W.orderBy("_part")  # a row a stretch
+    ends = ends.select(F.col("_part").alias("__t"), F.lag("__last").over(order).alias("__prior"), F.lead("__first").over(order).alias("__next"))
+    near = W.partitionBy("_part").orderBy("_at")
+    found = dealt.join(ends, F.col("_part") == F.col("__t"))
+    found = found.withColumns({"before": F.coalesce(F.lag(whole).over(near), "__prior"), "after": F.coalesce(F.lead(whole).over(near), "__next")})
+    if by:
+        found = found.withColumns({x: F.when(F.col(f"{x}.{by}") == F.col(by), F.col(x)) for x in ("before", "after")})
+    return found.drop("_part", "_at", "__t", "__prior", "__next")
+
+
 def fill(df: DataFrame, cell: Column, blank: Column, alive: Column, down: bool = True, out: str = "_filled", size: int = STRETCH) -> DataFrame:
     """Add ``cell`` with blank cells replaced by the last one with content above (below if not ``down``).
 

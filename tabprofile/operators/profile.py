@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W
@@ -12,84 +11,106 @@ from ..plans.table import Table
 from .freq import cells, frequencies, held, local
 
 BINS, TOP_VALUES = 20, 7
-#: Stretches that a range of values is cut into on the way to a quantile.
-ZOOM = 4096
+#: Bits of the image of a value that a round of the radix selection looks at.
+DIGIT = 16
+#: Different values of a cell up to which they are ranked one by one.
+CELL = 1 << DIGIT
+
+
+def image(v: Column) -> Column:
+    """The bits of a double as a long in the order of the doubles: sign and magnitude, NaN last; 0 for both zeros.
+
+    Arithmetic by powers of two is exact, so no value is rounded.
+    """
+    a = F.abs(v)
+    guess = F.greatest(F.lit(-1022), F.least(F.lit(1023), F.floor(F.log2(a))))  # the logarithm may be off by its last bit
+    m = a * F.pow(F.lit(2.0), -guess)
+    high, low = m >= 2, (m < 1) & (guess > -1022)
+    exponent = guess + F.when(high, 1).when(low, -1).otherwise(0)
+    fraction = m * F.when(high, 0.5).when(low, 2.0).otherwise(1.0)
+    bits = (exponent + 1022).cast("long") * (1 << 52) + (fraction * float(1 << 52)).cast("long")
+    size = F.when(F.isnan(v), F.lit((2047 << 52) + 1)).when(a == float("inf"), F.lit(2047 << 52)).when(a == 0, F.lit(0)).otherwise(bits)
+    return F.when(v < 0, -size).otherwise(size)
 
 
 def quantiles(values: DataFrame, by: list[str], fractions: tuple[float, ...], counted: bool = False) -> DataFrame:
     """Exact quantiles of ``value`` in each group, interpolated at ``f * (n - 1)``: the group, ``f``, ``q``.
 
-    No column is sorted.  The range of values is cut into ``ZOOM`` stretches
-    of equal width, whose counts tell in which one a rank lies; that
-    stretch, from its least to its largest value, is cut up again; only the
-    values inside are ranked one by one.  Values that crowd together cost
-    nothing but a less even first cut.
-
-    ``counted`` says that ``values`` has counts ``n``; it is read four times,
-    so it should be held.  Null values are left out; a group without values
-    has no row.  Groups are few (columns): what passes between the jobs is
-    two rows for each group and fraction.
+    ``counted`` says that ``values`` has counts ``n``; it is read two to five
+    times, so it should be held.  Null values are left out; a group without
+    values has no row.  See :func:`selected`.
     """
     if not counted:
         with held(values.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))) as t:
             return quantiles(t, by, fractions, counted=True)
-    t = values.where(F.col("value").isNotNull()).select(*by, "value", "n")
+    types = dict(values.dtypes)
+    out = [(*k, f, x) for k, (_, q) in selected(values, by, fractions).items() for f, x in q.items()]
+    return values.sparkSession.createDataFrame(out, f"{', '.join(f'`{c}` {types[c]}' for c in by)}, f double, q double")
+
+
+def selected(t: DataFrame, by: list[str], fractions: tuple[float, ...]) -> dict[tuple, tuple[dict, dict[float, float]]]:
+    """For each group its ``n``, ``min``, ``max``, ``mean``, and the quantile of each fraction; from values with counts.
+
+    Radix selection over the bits of the doubles (:func:`image`), for all
+    groups and ranks at once, whatever the distribution: the leading 16 bits
+    give at most 2**16 sums a group, which tell the cell that a rank lies in.
+    A cell of at most 2**16 different values is ranked one by one; if one has
+    more, the next 16 bits cut it up.  No window ever holds more.  Groups are
+    few (columns): what passes between the jobs is a row for each rank.
+    """
+    t = t.where(F.col("value").isNotNull()).select(*by, "value", "n")
     g = [f"__g{k}" for k in range(len(by))]
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(x)) for c, x in zip(by, g)])
-    types = dict(t.dtypes)
+    rename = [F.col(c).alias(x) for c, x in zip(by, g)]
+    spark, types = t.sparkSession, dict(t.dtypes)
     keys = ", ".join(f"{x} {types[c]}" for c, x in zip(by, g))
-    spark = values.sparkSession
-
-    def inside(intervals: dict) -> DataFrame:
-        """The values within each group's intervals (f, up, rank, low, high), cut into stretches; with the place of the rank."""
-        listed = spark.createDataFrame([(*k, v) for k, v in intervals.items()], f"{keys}, __w array<struct<f:double,up:boolean,r:long,low:double,high:double>>")
-        near = F.filter("__w", lambda x: F.col("value").between(x["low"], x["high"]))
-        return t.join(F.broadcast(listed), same).select(*g, "value", "n", F.explode(near).alias("w"))
-
-    def reached(rows: DataFrame, *cut: str) -> list:
-        """The stretch that each rank lies in."""
-        sums = rows.groupBy(*g, "w", *cut).agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-        upto = F.sum("n").over(W.partitionBy(*g, "w").orderBy("low").rowsBetween(W.unboundedPreceding, 0))
-        sums = sums.withColumn("to", upto).withColumn("r", F.col("w.r") - F.col("to") + F.col("n"))
-        return sums.where((F.col("r") >= 0) & (F.col("r") < F.col("n"))).select(*g, "w.f", "w.up", "r", "low", "high").collect()
-
-    def grouped(rows: list) -> dict:
-        out: dict = {}
-        for r in rows:
-            out.setdefault(tuple(r[x] for x in g), []).append((r["f"], r["up"], r["r"], r["low"], r["high"]))
-        return out
-
-    whole = t.groupBy(*[F.col(c).alias(x) for c, x in zip(by, g)]).agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
-    totals = {tuple(r[x] for x in g): r["n"] for r in whole}
-    # All ranks lie in the whole range, so the first cut is the same for each of them.
-    ends = spark.createDataFrame([(*[r[x] for x in g], r["low"], r["high"]) for r in whole], f"{keys}, low double, high double")
-    cut = t.join(F.broadcast(ends), same).groupBy(*g, _stretch("low", "high").alias("at"))
-    upto = F.sum("n").over(W.partitionBy(*g).orderBy("low").rowsBetween(W.unboundedPreceding, 0))
-    cut = cut.agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).withColumn("to", upto)
-    ranks = [(*k, f, up, min(math.floor(f * (n - 1)) + up, n - 1)) for k, n in totals.items() for f in fractions for up in (False, True)]
-    asked = spark.createDataFrame(ranks, f"{', '.join(f'{x}_ {types[c]}' for c, x in zip(by, g))}, f double, up boolean, rank long")
-    here = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"{x}_")) for x in g])
-    here = here & (F.col("rank") >= F.col("to") - F.col("n")) & (F.col("rank") < F.col("to"))
-    found = cut.join(F.broadcast(asked), here).select(*g, "f", "up", (F.col("rank") - F.col("to") + F.col("n")).alias("r"), "low", "high").collect()
-    if any(r["low"] < r["high"] for r in found):
-        second = inside(grouped(found))
-        found = reached(second.withColumn("at", _stretch("w.low", "w.high")), "at")
-    if any(r["low"] < r["high"] for r in found):
-        found = reached(inside(grouped(found)).withColumn("at", F.col("value")), "at")
-    at = {(*[r[x] for x in g], r["f"], r["up"]): r["low"] for r in found}
-    out = []
-    for k, n in totals.items():
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(x)) for c, x in zip(by, g)])
+    v, n = F.col("value"), F.col("n")
+    sums = [F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("kinds")]
+
+    whole, upto = W.partitionBy(*g), W.partitionBy(*g).orderBy("low").rowsBetween(W.unboundedPreceding, 0)
+    first = t.groupBy(*rename, F.shiftright(image(v), 64 - DIGIT).alias("at")).agg(*sums, F.sum(v * n).alias("s"))
+    first = first.withColumns({"to": F.sum("n").over(upto), "total": F.sum("n").over(whole), "min": F.min("low").over(whole), "max": F.max("high").over(whole), "sum": F.sum("s").over(whole)})
+    asked = F.array(*[F.struct(F.lit(float(f)).alias("f"), F.lit(up).alias("up")) for f in fractions for up in (0, 1)])
+    rank = F.least(F.floor(F.col("x.f") * (F.col("total") - 1)) + F.col("x.up"), F.col("total") - 1)
+    hit = first.withColumn("x", F.explode(asked)).withColumn("r", rank - F.col("to") + n).where("r >= 0 and r < n")
+    found = hit.select(*g, "x.f", "x.up", "r", "low", "high", "kinds", "total", "min", "max", "sum").collect()
+    facts = {tuple(r[x] for x in g): {"n": r["total"], "min": r["min"], "max": r["max"], "mean": r["sum"] / r["total"]} for r in found}
+    at: dict[tuple, float] = {}
+    shift = 64 - DIGIT
+    while True:
+        cells_: dict[tuple, list] = {}
+        most = 0
+        for r in found:
+            k = tuple(r[x] for x in g)
+            if r["low"] == r["high"] or r["kinds"] == 1:
+                at[(*k, r["f"], r["up"])] = r["low"]
+            else:
+                cells_.setdefault((*k, r["low"], r["high"]), []).append((r["f"], r["up"], r["r"]))
+                most = max(most, r["kinds"])
+        if not cells_:
+            break
+        shift -= DIGIT
+        schema = f"{keys}, __w array<struct<low:double,high:double,ranks:array<struct<f:double,up:int,r:long>>>>"
+        groups: dict[tuple, list] = {}
+        for (*k, low, high), ranks in cells_.items():
+            groups.setdefault(tuple(k), []).append((low, high, ranks))
+        listed = spark.createDataFrame([(*k, w) for k, w in groups.items()], schema)
+        near = F.filter("__w", lambda x: v.between(x["low"], x["high"]))
+        inside = t.join(F.broadcast(listed), same).select(*g, "value", "n", F.explode(near).alias("w"))  # a row for each rank
+        cut = v if most <= CELL else F.shiftright(image(v), shift)
+        part = inside.groupBy(*g, F.col("w.low").alias("from"), cut.alias("at")).agg(F.first("w.ranks").alias("ranks"), *sums)
+        order = W.partitionBy(*g, "from").orderBy("low").rowsBetween(W.unboundedPreceding, 0)
+        part = part.withColumn("to", F.sum("n").over(order)).withColumn("x", F.explode("ranks"))
+        part = part.withColumn("r", F.col("x.r") - F.col("to") + n).where("r >= 0 and r < n")
+        found = part.select(*g, "x.f", "x.up", "r", "low", "high", "kinds").collect()
+    out = {}
+    for k, fact in facts.items():
+        q = {}
         for f in fractions:
-            low, part = at[(*k, f, False)], f * (n - 1) % 1
-            out.append((*k, f, low + (at[(*k, f, True)] - low) * part if part else low))
-    return spark.createDataFrame(out, f"{', '.join(f'`{c}` {types[c]}' for c in by)}, f double, q double")
-
-
-def _stretch(low: str, high: str) -> Column:
-    """Which of ``ZOOM`` stretches between two bounds a value lies in (halved, so that no width overflows)."""
-    low, high = F.col(low), F.col(high)
-    width = F.when(high > low, high / 2 - low / 2)
-    return F.least(F.lit(ZOOM - 1), F.coalesce(F.floor((F.col("value") / 2 - low / 2) / width * ZOOM), F.lit(0)))
+            low, share = at[(*k, f, 0)], f * (fact["n"] - 1) % 1
+            q[f] = low + (at[(*k, f, 1)] - low) * share if share else low
+        out[k] = (fact, q)
+    return out
 
 
 def quartiles(values: DataFrame, by: list[str], counted: bool = False) -> DataFrame:
@@ -135,16 +156,23 @@ def measures(table: Table, names: list[str] | None = None) -> DataFrame:
         return _measures(f)
 
 
+def _edges(f: DataFrame) -> DataFrame:
+    """min, max, mean, quartiles and fences of each column of a held table of values with counts; a local table."""
+    rows = []
+    for (column,), (fact, q) in selected(f, ["column"], (0.25, 0.5, 0.75)).items():
+        spread = q[0.75] - q[0.25]
+        rows.append((column, fact["min"], fact["max"], fact["mean"], q[0.25], q[0.5], q[0.75], q[0.25] - 1.5 * spread, q[0.75] + 1.5 * spread, fact["n"]))
+    names = ("min", "max", "mean", "q1", "median", "q3", "low", "high")
+    return f.sparkSession.createDataFrame(rows, f"column string, {', '.join(f'{x} double' for x in names)}, __n long")
+
+
 def _measures(f: DataFrame) -> DataFrame:
     """Measures from a held table of values with their counts; a row for each column, so they are gathered."""
     v, n = F.col("value"), F.col("n")
-    some = f.where(v.isNotNull())
-    low, high = fences()
-    q = quartiles(f, ["column"], counted=True).withColumns({"low": low, "high": high})
-    basic = some.groupBy("column").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.sum(n).alias("__n"), (F.sum(v * n) / F.sum(n)).alias("mean"))
-    edges = local((joined := basic.join(F.broadcast(q), "column")).collect(), joined)
+    edges = _edges(f)
     spread = F.sum((v - F.col("mean")) * (v - F.col("mean")) * n)
-    out = some.join(F.broadcast(edges), "column").groupBy("column", *[c for c in edges.columns if c != "column"]).agg(
+    some = f.where(v.isNotNull()).join(F.broadcast(edges), "column")
+    out = some.groupBy("column", *[c for c in edges.columns if c != "column"]).agg(
         F.coalesce(F.sqrt(spread / F.when(F.col("__n") > 1, F.col("__n") - 1)), F.lit(0.0)).alias("deviation"),
         F.coalesce(F.sum(F.when((v < F.col("low")) | (v > F.col("high")), n)), F.lit(0)).alias("outliers"),
     )
@@ -157,12 +185,17 @@ def profile(table: Table, names: list[str] | None = None) -> DataFrame:
 
     Everything comes from one held table of values with their counts, and so from one scan.
     """
-    kinds = table.df.sparkSession.createDataFrame([(c.name, c.kind) for c in table.columns], "column string, kind string")
     with held(frequencies(table, names, "identity")) as f:
-        all_ = _counts(f)
-        all_ = local(all_.collect(), all_).join(F.broadcast(kinds), "column")
-        if _measurable(table, names):
-            all_ = all_.join(F.broadcast(_measures(f)), "column", "left")
+        return profile_of(f, table, names)
+
+
+def profile_of(f: DataFrame, table: Table, names: list[str] | None = None) -> DataFrame:
+    """The profile from a held table of values with their counts."""
+    kinds = table.df.sparkSession.createDataFrame([(c.name, c.kind) for c in table.columns], "column string, kind string")
+    all_ = _counts(f)
+    all_ = local(all_.collect(), all_).join(F.broadcast(kinds), "column")
+    if _measurable(table, names):
+        all_ = all_.join(F.broadcast(_measures(f)), "column", "left")
     return all_.withColumns(
         {
             "missing_share": F.try_divide("missing", "total"),
@@ -186,8 +219,9 @@ def histogram(table: Table, names: list[str] | None = None, bins: int = BINS) ->
 
 
 def _histogram(f: DataFrame, bins: int) -> DataFrame:
-    clip = (F.col("outliers") > 0) & (F.least("high", "max") > F.greatest("low", "min"))
-    span = _measures(f).select(
+    outside = (F.col("min") < F.col("low")) | (F.col("max") > F.col("high"))
+    clip = outside & (F.least("high", "max") > F.greatest("low", "min"))
+    span = _edges(f).select(
         F.col("column").alias("__c"),
         "min",
         "max",
@@ -225,7 +259,12 @@ def top_values(table: Table, names: list[str] | None = None, k: int = TOP_VALUES
     Ties go by value.  ``share`` is of all rows; ``other`` is what the values
     below rank k add up to.
     """
-    f = frequencies(table, names).groupBy("column", F.when(F.col("blank"), "").otherwise(F.col("raw")).alias("value")).agg(F.sum("n").alias("n"))
+    return top_of(frequencies(table, names), k)
+
+
+def top_of(f: DataFrame, k: int = TOP_VALUES) -> DataFrame:
+    """The most frequent values from a table of values with their counts."""
+    f = f.groupBy("column", F.when(F.col("blank"), "").otherwise(F.col("raw")).alias("value")).agg(F.sum("n").alias("n"))
     whole = f.groupBy("column").agg(F.sum("n").alias("__all"), F.count(F.lit(1)).alias("n_values"))
     rank = F.row_number().over(W.partitionBy("column").orderBy(F.desc("n"), "value"))
     best = f.withColumn("rank", rank).where(F.col("rank") <= k)  # planned with a group limit: no column is gathered

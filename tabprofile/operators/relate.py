@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..plans.table import ROW, Table
-from .order import positions
+from . import gram
+from .order import placed, positions, ranged
 from .profile import fences, quartiles
 
 SAMPLE = 20_000
@@ -35,7 +34,8 @@ def _thinned(table: Table, sample: int | None) -> DataFrame:
 def correlation_pairs(table: Table, names: list[str] | None = None, sample: int | None = None) -> DataFrame:
     """(left_column, right_column, r) of each pair of numeric columns, in one pass over all rows.
 
-    A row counts for a pair if it has both values.  ``r`` is null for less
+    Moments of pairs are matrix products of batches (:mod:`gram`), so 500
+    columns take one pass and a plan of 500 expressions.  A row counts for a pair if it has both values.  ``r`` is null for less
     than 20 such rows or a constant column.  ``sample`` (a systematic one) is
     there for previews of large tables.
     """
@@ -43,14 +43,8 @@ def correlation_pairs(table: Table, names: list[str] | None = None, sample: int
     spark = table.df.sparkSession
     if len(cols) < 2:
         return spark.createDataFrame([], "left_column string, right_column string, r double")
-    values = _thinned(table, sample).select(*[c.value().alias(f"v{i}") for i, c in enumerate(cols)])
-    pairs = [
-        F.struct(
-            F.lit(a.name).alias("left_column"), F.lit(b.name).alias("right_column"), _pearson(F.col(f"v{i}"), F.col(f"v{j}")).alias("r")
-        )
-        for (i, a), (j, b) in combinations(enumerate(cols), 2)
-    ]
-    return values.agg(F.array(*pairs).alias("p")).select(F.explode("p").alias("x")).select("x.*")
+    values = _thinned(table, sample).select(gram.as_array([c.value() for c in cols]))
+    return gram.correlations(values, [c.name for c in cols])
 
 
 def top_correlations(table: Table, names: list[str] | None = None, least: float = 0.5, k: int = 6, sample: int | None = None) -> DataFrame:
@@ -135,14 +129,24 @@ def time_breakdown(table: Table, name: str) -> DataFrame:
     return got.withColumn("__s", several).where((F.col("part") != "year") | F.col("__s")).drop("__s")
 
 
-def row_order_buckets(table: Table, name: str, most: int = 160) -> DataFrame:
+def view(table: Table, sort: tuple[str, bool] | None, *columns: Column) -> DataFrame:
+    """``_row``, the columns and ``_pos``, the place (from 0) in the view: by ``_row``, or sorted by (column, descending)."""
+    from ..plans.filters import sort_keys
+
+    if sort is None:
+        return positions(table.df.select(ROW, *columns))
+    return placed(ranged(table.df, *sort_keys(table, *sort), keep=[F.col(ROW), *columns]))
+
+
+def row_order_buckets(table: Table, name: str, most: int = 160, sort: tuple[str, bool] | None = None) -> DataFrame:
     """(bucket, mean, above, below, empty, n): a measure along the rows, in at most 160 stretches of the view.
 
-    ``mean`` is of values within the fences, null in a stretch without any;
+    The view is in the order of ``_row``, or sorted by ``sort`` (column,
+    descending) as :func:`plans.filters.sort_rows` does.  ``mean`` is of values within the fences, null in a stretch without any;
     less than 30 rows, or no value at all, give nothing.
     """
     c = table[name]
-    rows = positions(table.df.select(ROW, c.value().alias("value"), c.blank().alias("blank")))
+    rows = view(table, sort, c.value().alias("value"), c.blank().alias("blank"))
     low, high = fences()
     values = table.df.select(c.value().alias("value"), F.lit(0).alias("__c"))
     q = quartiles(values, ["__c"]).select(low.alias("low"), high.alias("high"))
@@ -159,8 +163,8 @@ def row_order_buckets(table: Table, name: str, most: int = 160) -> DataFrame:
     )
 
 
-def level_shift(table: Table, name: str) -> DataFrame:
-    """(position, score): where the level of a measure changes most along the rows; nothing if it does not.
+def level_shift(table: Table, name: str, sort: tuple[str, bool] | None = None) -> DataFrame:
+    """(position, score): where the level of a measure changes most along the view; nothing if it does not.
 
     Values are clamped to the fences; of at most about 320 cuts the one whose
     two sides differ most, in standard deviations within them, is taken if
@@ -172,10 +176,11 @@ def level_shift(table: Table, name: str) -> DataFrame:
     """
     c = table[name]
     v = F.col("value")
-    rows = table.df.select(ROW, c.value().alias("value")).where("value is not null")
+    some = table.with_df(table.df.where(c.value().isNotNull()))
     low, high = fences()
-    q = quartiles(rows.select("value").withColumn("__c", F.lit(0)), ["__c"]).select(low.alias("low"), high.alias("high"))
-    series = positions(rows).join(F.broadcast(q), F.lit(True))
+    values = some.df.select(c.value().alias("value"), F.lit(0).alias("__c"))
+    q = quartiles(values, ["__c"]).select(low.alias("low"), high.alias("high"))
+    series = view(some, sort, c.value().alias("value")).join(F.broadcast(q), F.lit(True))
     series = series.select("_pos", F.greatest(F.col("low"), F.least(F.col("high"), v)).alias("value"))
     facts = series.agg(
         F.count(F.lit(1)).alias("n"), _pearson(F.col("_pos").cast("double"), v).alias("trend"), F.avg("value").alias("center")

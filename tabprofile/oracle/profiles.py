@@ -195,6 +195,38 @@ def filter_values_in(spark, sf_dir):
     return FL.apply_filters(t, (FL.ValuesFilter("o_orderstatus", ("F", "P", "X")),)).df.select("o_orderkey", "o_orderstatus")
 
 
+#: Cells of white space of several kinds, besides names.
+SPACED = "CASE c_custkey % 6 WHEN 0 THEN '  ' WHEN 1 THEN '' WHEN 2 THEN {feff} WHEN 3 THEN {tab} ELSE c_name END"
+SPACES = {
+    "two": ("v = '  '", ("  ",), False),
+    "mark and name": ("v IN ({feff}, 'Customer#000000004')", ("\ufeff", "Customer#000000004"), False),
+    "all": ("v IN ('  ', '', {feff}, {tab})", ("  ", ""), False),
+    "not two": ("v <> '  '", ("  ",), True),
+    "not blank": ("v NOT IN ('  ', '', {feff}, {tab})", ("",), True),
+}
+
+
+@R.add(
+    union_sql(
+        [
+            f"SELECT '{k}' AS op, count(*) AS n, coalesce(sum(c_custkey), 0)::BIGINT AS ids FROM (SELECT c_custkey, {SPACED} AS v FROM customer) WHERE {cond}".format(
+                feff="chr(65279)", tab="chr(9)"
+            )
+            for k, (cond, _, _) in SPACES.items()
+        ]
+    )
+)
+def filter_values_of_spaces(spark, sf_dir):
+    """Only '' stands for blank cells; other white space is itself."""
+    t = table(spark, sf_dir, "customer", ["c_custkey", "v"], {"v": F.expr(SPACED.format(feff="'\ufeff'", tab="'\t'"))})
+    out = None
+    for k, (_, listed, exclude) in SPACES.items():
+        one = FL.apply_filters(t, (FL.ValuesFilter("v", listed, exclude),)).df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("c_custkey"), F.lit(0)).alias("ids"))
+        one = one.select(F.lit(k).alias("op"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @R.add("SELECT p_partkey FROM part WHERE p_partkey > 1500 OR p_partkey IS NULL")
 def filter_values_not_in(spark, sf_dir):
     """A list of 1,500 values, which is joined."""
@@ -239,14 +271,14 @@ def unique_values(spark, sf_dir):
 def sort_numeric(spark, sf_dir):
     """Every row's place by a measure with ties and gaps, the largest first."""
     t = table(spark, sf_dir, "customer", ["v", "c_custkey"], {"v": F.expr("CASE WHEN c_custkey % 9 > 0 THEN round(c_acctbal, -2) END")})
-    return FL.sorted_positions(t, "v", descending=True, rows_per_window=500).select("place", "c_custkey")
+    return FL.sorted_positions(t, "v", descending=True, rows_per_stretch=500).select("place", "c_custkey")
 
 
 @R.add("SELECT row_number() OVER (ORDER BY lower(v), v, p_partkey) - 1 AS place, p_partkey FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 > 0 THEN p_type ELSE '' END AS v FROM part)")
 def sort_text(spark, sf_dir):
     """Every row's place by a text column, by the rules of Unicode."""
     t = table(spark, sf_dir, "part", ["v", "p_partkey"], {"v": F.expr("CASE WHEN p_partkey % 9 > 0 THEN p_type END")})
-    return FL.sorted_positions(t, "v", rows_per_window=500).select("place", "p_partkey")
+    return FL.sorted_positions(t, "v", rows_per_stretch=500).select("place", "p_partkey")
 
 
 @R.add("SELECT coalesce(o_orderpriority, '') AS value, count(*) AS n FROM (SELECT upper(o_orderpriority) AS o_orderpriority, o_totalprice FROM orders) GROUP BY 1")

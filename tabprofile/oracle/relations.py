@@ -82,6 +82,37 @@ def row_order_buckets(spark, sf_dir):
     return rounded(relate.row_order_buckets(t, "v"), "mean")
 
 
+@R.add(
+    f"""WITH e AS (SELECT row_number() OVER (ORDER BY user_id DESC NULLS LAST, event_id) - 1 AS pos, {_SERIES} AS v FROM events),
+f AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, count(*) AS n FROM e),
+g AS (SELECT *, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM f)
+SELECT floor(pos * least(n, 160) / n)::INT AS bucket, round(avg(v) FILTER (v BETWEEN low AND high), 4) AS mean, count_if(coalesce(v > high, false)) AS above,
+  count_if(coalesce(v < low, false)) AS below, count_if(v IS NULL) AS empty, count(*) AS n FROM e, g GROUP BY 1"""
+)
+def row_order_buckets_sorted(spark, sf_dir):
+    """Along the view as it is sorted by user, the latest user first."""
+    t = table(spark, sf_dir, "events", ["v", "user_id"], {"v": F.expr(_SERIES)})
+    return rounded(relate.row_order_buckets(t, "v", sort=("user_id", True)), "mean")
+
+
+@R.add(
+    """WITH s AS (SELECT row_number() OVER (ORDER BY user_id, event_id) AS k, value % 20 + CASE WHEN user_id > (SELECT quantile_disc(user_id, 0.4) FROM events) THEN 60 ELSE 0 END AS v FROM events WHERE value IS NOT NULL),
+q AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM s),
+c AS (SELECT k, greatest(q1 - 1.5 * (q3 - q1), least(q3 + 1.5 * (q3 - q1), v)) - (SELECT avg(v) FROM s) AS v FROM s, q),
+p AS (SELECT k, sum(v) OVER w AS a, sum(v * v) OVER w AS b, sum(v) OVER () AS ta, sum(v * v) OVER () AS tb, count(*) OVER () AS n FROM c WINDOW w AS (ORDER BY k)),
+x AS (SELECT k, abs(a / k - (ta - a) / (n - k)) / sqrt((tb - b - pow(ta - a, 2) / (n - k) + b - pow(a, 2) / k) / (n - 2)) AS effect, n FROM p
+  WHERE k >= ceil(n * 0.1) AND k <= floor(n * 0.9) AND (k - ceil(n * 0.1)::BIGINT) % greatest(1, n // 200) = 0)
+SELECT k AS position, round(effect * sqrt(k * (n - k)::DOUBLE / n), 4) AS score FROM x WHERE effect >= 1 ORDER BY score DESC, k LIMIT 1"""
+)
+def level_shift_sorted(spark, sf_dir):
+    """A shift that shows only along the view sorted by user."""
+    from .common import read
+
+    cut = read(spark, sf_dir, "events").selectExpr("percentile_disc(0.4) WITHIN GROUP (ORDER BY user_id)").first()[0]
+    t = table(spark, sf_dir, "events", ["v", "user_id"], {"v": F.expr(f"value % 20 + CASE WHEN user_id > {int(cut)} THEN 60 ELSE 0 END")})
+    return rounded(relate.level_shift(t, "v", sort=("user_id", False)), "score")
+
+
 #: Up by 60 after three tenths of the events.
 _SHIFTED = "value % 20 + CASE WHEN event_id > {cut} THEN 60 ELSE 0 END"
 

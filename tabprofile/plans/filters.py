@@ -10,10 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.order import placed, ranged
 from .table import ROW, ColumnInfo, Table
 
 #: Lists longer than this are joined instead of written into the plan.
@@ -51,7 +52,7 @@ class CompareFilter:
 
 @dataclass(frozen=True)
 class ValuesFilter:
-    """Raw values, exactly as written; '' stands for every blank cell."""
+    """Raw values, exactly as written, white space too; '' stands for every blank cell besides."""
 
     column: str
     values: tuple[str, ...]
@@ -153,9 +154,8 @@ def predicate(f: Filter, table: Table) -> Column:
         base = _text(f, c) if isinstance(f, TextFilter) else _compare(f, c)
         return base if f.blanks is None else F.when(c.blank(), F.lit(f.blanks == "add")).otherwise(base)
     if isinstance(f, ValuesFilter):
-        listed = [v for v in f.values if v.strip()]
-        hit = c.raw().isin(*listed) & ~c.blank() if listed else F.lit(False)
-        if any(not v.strip() for v in f.values):
+        hit = c.raw().isin(*f.values) if f.values else F.lit(False)
+        if "" in f.values:
             hit = hit | c.blank()
         return ~hit if f.exclude else hit
     v = c.value()
@@ -171,15 +171,10 @@ def _long_list(df: DataFrame, f: ValuesFilter, table: Table) -> DataFrame:
     """A list too long for the plan: a join with its values, broadcast by Spark's own size check."""
     c = table[f.column]
     spark = df.sparkSession
-    listed = spark.createDataFrame([(v,) for v in set(f.values) if v.strip()], "__v string")
-    blank = any(not v.strip() for v in f.values)
-    keyed = df.withColumn("__raw", F.when(~c.blank(), c.raw()))
-    hit = keyed.join(listed, F.col("__raw") == F.col("__v"), "left_anti" if f.exclude else "left_semi")
-    if f.exclude and blank:
-        hit = hit.where("__raw is not null")
-    if not f.exclude and blank:
-        hit = hit.unionByName(keyed.where("__raw is null"))
-    return hit.drop("__raw")
+    listed = spark.createDataFrame([(v,) for v in set(f.values)], "__v string")
+    raw = F.when(c.blank(), F.lit("")).otherwise(c.raw()) if "" in f.values else c.raw()
+    keyed = df.withColumn("__raw", raw)
+    return keyed.join(listed, F.col("__raw") == F.col("__v"), "left_anti" if f.exclude else "left_semi").drop("__raw")
 
 
 def _row_digest(table: Table) -> Column:
@@ -264,7 +259,7 @@ def label(f: Filter) -> str:
             return f"{name} ∈ [{say(low)}, {say(high)}]"
         return f"{name} {dict([('!=', '≠'), ('>=', '≥'), ('<=', '≤')]).get(f.op, f.op)} {say(f.value)}"
     if isinstance(f, ValuesFilter):
-        shown = [v if v.strip() else "(empty)" for v in f.values]
+        shown = [v or "(empty)" for v in f.values]
         if len(shown) == 1:
             return f"{name} {'≠' if f.exclude else '='} {shown[0]}"
         more = f" +{len(shown) - 3}" if len(shown) > 3 else ""
@@ -278,48 +273,26 @@ def label(f: Filter) -> str:
     return f"{name}: {'one row per value' if isinstance(f, DistinctFilter) else 'values seen once'}"
 
 
-def sort_rows(table: Table, column: str | None = None, descending: bool = False) -> DataFrame:
-    """Rows in order: by value with unreadable cells last in both directions, text by the rules of Unicode, else by ``_row``."""
+def sort_keys(table: Table, column: str | None = None, descending: bool = False) -> list[Column]:
+    """The keys of an order of rows: by value with unreadable cells last in both directions, text by the rules of Unicode, then by ``_row``."""
     if column is None:
-        return table.df.orderBy(ROW)
+        return [F.asc(ROW)]
     c = table[column]
     if c.measurable:
-        key = c.value().desc_nulls_last() if descending else c.value().asc_nulls_last()
-    else:
-        text = F.collate(_value_key(c), "UNICODE")
-        key = text.desc() if descending else text.asc()
-    return table.df.orderBy(key, ROW)
+        return [c.value().desc_nulls_last() if descending else c.value().asc_nulls_last(), F.asc(ROW)]
+    text = F.collate(_value_key(c), "UNICODE")
+    return [text.desc() if descending else text.asc(), F.asc(ROW)]
+
 
+def sort_rows(table: Table, column: str | None = None, descending: bool = False) -> DataFrame:
+    """Rows in the order of :func:`sort_keys`."""
+    return table.df.orderBy(*sort_keys(table, column, descending))
 
-def sorted_positions(table: Table, column: str, descending: bool = False, rows_per_window: int = 1 << 16, most: int = 1024, out: str = "place") -> DataFrame:
+
+def sorted_positions(table: Table, column: str | None, descending: bool = False, rows_per_stretch: int = 1 << 16, out: str = "place") -> DataFrame:
     """All rows with their place (from 0) in the order of :func:`sort_rows`, without bringing them to one task.
 
-    Keys sampled by a hash of ``_row`` cut the order into stretches (at most
-    ``most``), which are numbered on their own; a table of a row for each
-    stretch has the offsets.
+    A range exchange by value and ``_row`` cuts the order into stretches of
+    about ``rows_per_stretch`` rows; rows of one value are split as well.
     """
-    c = table[column]
-    key = c.value() if c.measurable else F.collate(_value_key(c), "UNICODE")
-    rows = table.df.withColumn("__key", key)
-    n = rows.count()
-    parts = max(1, min(most, n // rows_per_window))
-    every = max(1, n // (16 * parts))
-    some = rows.where(F.col("__key").isNotNull() & (F.pmod(F.xxhash64(ROW), F.lit(every)) == 0)).select("__key").orderBy("__key") if parts > 1 else None
-    keys = [r["__key"] for r in some.collect()] if some is not None else []  # about 16 a stretch
-    cuts = [keys[k * len(keys) // parts] for k in range(1, parts)] if keys else []
-    bound = (lambda x: F.lit(x)) if c.measurable else (lambda x: F.collate(F.lit(x), "UNICODE"))
-    at = F.lit(0)
-    for x in _chunks(cuts):
-        at = at + F.size(F.filter(F.array(*[bound(v) for v in x]), lambda v: v <= F.col("__key")))
-    at = -at if descending else at
-    cut = rows.withColumn("__s", F.when(F.col("__key").isNull(), F.lit(len(cuts) + 1)).otherwise(at))  # unreadable cells come last
-    sums = cut.groupBy("__s").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(F.col("__s").alias("__t"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    rank = F.row_number().over(W.partitionBy("__s").orderBy(F.desc("__key") if descending else F.asc("__key"), ROW))
-    numbered = cut.withColumn("__r", rank).join(F.broadcast(offsets), F.col("__s") == F.col("__t"))
-    return numbered.withColumn(out, F.col("__o") + F.col("__r") - 1).drop("__key", "__s", "__t", "__o", "__r")
-
-
-def _chunks(values: list, size: int = 200) -> list[list]:
-    return [values[k : k + size] for k in range(0, len(values), size)]
+    return placed(ranged(table.df, *sort_keys(table, column, descending), size=rows_per_stretch), out)

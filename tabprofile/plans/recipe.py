@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -173,14 +173,19 @@ def java_replacement(new: str) -> str:
     return "".join(out) + new[at:]
 
 
-def _regex(table: Table, c: Column, step: Replace) -> Column:
-    done = F.regexp_replace(c, step.old, java_replacement(step.new))
-    try:  # folded by the optimizer: an invalid pattern or group fails here, and is no change
+def valid_regex(table: Table, step: Replace) -> bool:
+    """Whether Spark takes the pattern and its replacement."""
+    try:  # folded by the optimizer: an invalid pattern or group fails here
         probe = F.regexp_replace(F.lit("x"), step.old, java_replacement(step.new))
         table.df.sparkSession.range(1).select(probe).collect()
     except Exception:
-        return c
-    return done
+        return False
+    return True
+
+
+def _regex(table: Table, c: Column, step: Replace) -> Column:
+    """An invalid pattern is no change."""
+    return F.regexp_replace(c, step.old, java_replacement(step.new)) if valid_regex(table, step) else c
 
 
 def _rounded(decimal_comma: bool, digits: int):
@@ -267,12 +272,28 @@ class Cleaned:
             return self.table.df.sparkSession.createDataFrame([], "step int, effect long")
         return self.table.df.agg(F.array(*sums).alias("a")).select(F.explode("a").alias("x")).select("x.*")
 
+    def observed(self, seen: Observation) -> Table:
+        """The rows that are left; the job that reads them collects the effects on its way, see :func:`observed_effects`."""
+        flags = []
+        for k in range(len(self.steps)):
+            own = f"{self.mark}e{k}"
+            hit = F.col(own) if own in self.table.df.columns else F.col(f"{self.mark}dropped") == k
+            flags.append(F.count_if(hit).alias(f"e{k}"))
+        df = self.table.df.observe(seen, F.count(F.lit(1)).alias("rows"), *flags)
+        return replace(self, table=self.table.with_df(df)).rows()
+
     def output(self) -> DataFrame:
         """The visible columns under their headers."""
         left = self.rows()
         return left.df.select(*[F.col(f"`{c.name}`").alias(c.title) for c in left.columns])
 
 
+def observed_effects(seen: Observation) -> tuple[int, list[int]]:
+    """Rows that were read and the effect of each step, once a job has read :meth:`Cleaned.observed`; waits for it."""
+    got = seen.get
+    return got["rows"], [got[f"e{k}"] for k in range(len(got) - 1)]
+
+
 def _drop(df: DataFrame, dropped: str, k: int, condition: Column) -> DataFrame:
     alive = F.col(dropped).isNull()
     return df.withColumn(dropped, F.when(alive & condition, F.lit(k)).otherwise(F.col(dropped)))

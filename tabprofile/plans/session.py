@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from ..operators import diagnose, profile, quality, relate
 from . import filters as FL
 from .codegen import session_lines
+from .facets import Facets
 from .filters import Filter
-from .recipe import Cleaned, Remove, SetType, Step, add_step, apply_steps
+from .pages import PAGE_ROWS, Pages, lay_out
+from .recipe import Cleaned, Remove, SetType, Step, add_step, apply_steps, observed_effects
+from .standalone import script
 from .table import ROW, Table
 
 
@@ -74,9 +77,27 @@ class Session:
     def effects(self) -> DataFrame:
         return self.cleaned().effects()
 
+    def save(self, path: str) -> tuple[str, list[int]]:
+        """Write a clean copy beside ``path``: its name, and the effect of each step, observed by the job that writes it."""
+        from ..sources.csv import save_clean_copy
+
+        seen = Observation()
+        left = self.cleaned().observed(seen)
+        # Dealt out first: the sort looks at its input twice, and what is observed should be read once.
+        target = save_clean_copy(left.with_df(left.df.repartition(ROW)), path)
+        return target, observed_effects(seen)[1]
+
+    def pages(self, folder: str, size: int = PAGE_ROWS) -> Pages:
+        """The view laid out in pages below ``folder``, in its order."""
+        return lay_out(self.view(), folder, self.sort, size)
+
     def profile(self) -> DataFrame:
         return profile.profile(self.view())
 
+    def facets(self, names: list[str] | None = None) -> Facets:
+        """Profile, histogram, top values and own counts of all columns from one scan; to be used in a ``with``."""
+        return Facets(self.cleaned().rows(), self.filters, names)
+
     def value_counts(self, column: str) -> DataFrame:
         """Counts under the filters of the other columns; filters of whole sets of rows do not count."""
         t = FL.apply_filters(self.cleaned().rows(), FL.without_column(self.filters, column))
@@ -98,6 +119,10 @@ class Session:
     def force(self, column: str, kind: str) -> Session:
         return self.with_step(SetType(column, kind))
 
+    def script(self, path: str) -> str:
+        """The session as a script that needs PySpark only."""
+        return script(self, path)
+
     def code(self, path: str) -> str:
-        """The session as a PySpark script."""
+        """The session as a PySpark script that uses this package."""
         return "\n".join(session_lines(self, path)) + "\n"
