@@ -307,7 +307,12 @@ def would_be_numeric(spark, sf_dir):
     return D.would_be_numeric(_written(spark, sf_dir)).withColumn("tokens", F.array_join("tokens", ", "))
 
 
-@R.add("""SELECT 'note' AS "column", 'TrÃ¨s bon' AS raw, 'Très bon' AS fixed, count(*) AS n FROM customer WHERE c_custkey % 50 = 0""")
+# A letter from U+00C0 on, its two bytes read one by one: Ã and the letter 64 below.
+@R.add(
+    f"""WITH c AS (SELECT {_NOTE} AS raw FROM customer), p AS (SELECT raw, string_split(raw, 'Ã') AS p FROM c)
+SELECT 'note' AS "column", raw, p[1] || array_to_string(list_transform(p[2:], lambda x: chr(unicode(x[1:1]) + 64) || x[2:]), '') AS fixed, count(*) AS n
+FROM p WHERE len(p) > 1 GROUP BY ALL"""
+)
 def garbled(spark, sf_dir):
     return D.garbled(_written(spark, sf_dir))
 
@@ -350,4 +355,62 @@ def raw_segments(spark, sf_dir):
     return out.select("c_custkey", F.col("s.column").alias("col"), F.col("s.text").alias("field"))
 
 
+#: Market segments with spaces of several kinds, what cannot be seen, other letters.
+_NB, _ZW = chr(0xA0), chr(0x200B)
+_VARIANT = (
+    "CASE c_custkey % 6 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN c_mktsegment || '  ' "
+    f"WHEN 2 THEN substr(c_mktsegment, 1, 3) || '{_NB}' || substr(c_mktsegment, 4) WHEN 3 THEN substr(c_mktsegment, 1, 2) || '{_ZW}' || substr(c_mktsegment, 3) "
+    "WHEN 4 THEN ' ' || replace(c_mktsegment, 'E', 'É') ELSE c_mktsegment || 'x' END"
+)
+
+
+@R.add(
+    f"""WITH v AS (SELECT c_custkey, c_mktsegment AS t, {_VARIANT} AS v FROM customer),
+f AS (SELECT *, replace(replace(v, '{_ZW}', ''), '{_NB}', ' ') AS flat FROM v),
+d AS (SELECT *, trim(regexp_replace(flat, ' {{2,}}', ' ', 'g')) AS tidy, replace(replace(v, '{_NB}', '⍽'), '{_ZW}', '‹200B›') AS s FROM f)
+SELECT c_custkey, array_to_string(list_filter([
+    CASE WHEN contains(v, '{_ZW}') THEN 'hidden character' END, CASE WHEN contains(v, '{_NB}') THEN 'non-breaking space' END, CASE WHEN flat <> tidy THEN 'spaces' END,
+    CASE WHEN tidy = t THEN NULL WHEN lower(tidy) = lower(t) THEN 'capital letters' WHEN lower(strip_accents(tidy)) = lower(strip_accents(t)) THEN 'accents' ELSE 'spelling' END
+  ], lambda x: x IS NOT NULL), ', ') AS kinds,
+  repeat('␣', length(s) - length(ltrim(s))) || trim(s) || repeat('␣', length(s) - length(rtrim(s))) AS shown
+FROM d"""
+)
+def spelling_differences(spark, sf_dir):
+    """How variants differ from a spelling, and how they are shown."""
+    from ..functions import text as X
+    from .common import read
+
+    df = read(spark, sf_dir, "customer").withColumn("v", F.expr(_VARIANT))
+    return df.select("c_custkey", F.array_join(X.difference(F.col("c_mktsegment"), F.col("v")), ", ").alias("kinds"), X.visible_text(F.col("v")).alias("shown"))
+
+
+@R.add("SELECT c_custkey AS _row, c_name || chr(9) || '\"a \"\"' || c_mktsegment || '\"\"' || chr(9) || '\"' AS line FROM customer WHERE c_custkey IN (1, 5, 7, 100)")
+def selected_rows(spark, sf_dir):
+    """Chosen rows as tab-separated text."""
+    from ..sources.csv import selected_rows_text
+
+    seg = F.concat(F.lit('a "'), "c_mktsegment", F.lit('"\t'))
+    t = table(spark, sf_dir, "customer", ["c_name", "c_mktsegment"], {"c_mktsegment": seg})
+    return selected_rows_text(t, [1, 5, 7, 100, 10**9])
+
+
+@R.add(
+    """SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row, c_custkey::VARCHAR AS id, c_name || ';' AS name, 'é ' || c_mktsegment || chr(10) || '"' AS segment,
+  'numeric' AS id_kind, 'text' AS name_kind FROM customer"""
+)
+def csv_file_round_trip(spark, sf_dir):
+    """A file of quoted cells over several lines: written in parts, its encoding, delimiter, records, headers and kinds found anew."""
+    import uuid
+
+    from ..plans.durable import shared_folder
+    from ..sources import csv as S
+
+    extra = {"c_name": F.concat("c_name", F.lit(";")), "c_mktsegment": F.concat(F.lit("é "), "c_mktsegment", F.lit('\n"'))}
+    path = f"{shared_folder(spark)}/customer-{uuid.uuid4().hex}.csv"
+    S.write_csv(table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_mktsegment"], extra), path, ";")
+    t = S.read_csv(spark, path)
+    kinds = [F.lit(t[c].kind).alias(n) for c, n in (("c0", "id_kind"), ("c1", "name_kind"))]
+    return t.df.select(F.col("_row").alias("row"), F.col("c0").alias("id"), F.col("c1").alias("name"), F.col("c2").alias("segment"), *kinds)
+
+
 QUERIES, ORACLE = R.queries, R.oracle

@@ -5,22 +5,28 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
     Where neither that setting nor a checkpoint folder exists, a folder of this
     machine is made, but only if all tasks run in this JVM; on a cluster it is
     an error, as the executors would not see it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="tabprofile-")
     if not sc.getCheckpointDir():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not re.fullmatch(r"local(\[.*\])?", sc.master):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            root = tempfile.mkdtemp(prefix="tabprofile-")
         sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
