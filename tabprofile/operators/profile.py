@@ -170,7 +170,9 @@ def _measures(f: DataFrame) -> DataFrame:
     """Measures from a held table of values with their counts; a row for each column, so they are gathered."""
     v, n = F.col("value"), F.col("n")
     edges = _edges(f)
-    spread = F.sum((v - F.col("mean")) * (v - F.col("mean")) * n)
+    # Squares about a mean that may be off by its last bits, less what that adds.
+    d = v - F.col("mean")
+    spread = F.greatest(F.lit(0.0), F.sum(d * d * n) - F.pow(F.sum(d * n), 2) / F.col("__n"))
     some = f.where(v.isNotNull()).join(F.broadcast(edges), "column")
     out = some.groupBy("column", *[c for c in edges.columns if c != "column"]).agg(
         F.coalesce(F.sqrt(spread / F.when(F.col("__n") > 1, F.col("__n") - 1)), F.lit(0.0)).alias("deviation"),
