@@ -40,9 +40,10 @@ def _pieces(text):
 
 def _phrases(rows, least, longest, explained, top):
     out = []
-    for lang in {r[2] or "und" for r in rows}:
+    rows = [(i, text, "und" if lang is None else lang) for i, text, lang in rows]
+    for lang in {r[2] for r in rows}:
         f, n = Counter(), 0
-        for _, text, _ in (r for r in rows if (r[2] or "und") == lang):
+        for _, text, _ in (r for r in rows if r[2] == lang):
             for words in _pieces(text):
                 n += len(words)
                 for k in range(1, longest + 1):
