@@ -213,7 +213,9 @@ def read_records(lines: DataFrame, delimiter: str) -> DataFrame:
     record = F.array_join(F.transform("__l", lambda x, k: F.when(k < F.size("__l") - 1, F.concat(x["text"], x["end"])).otherwise(x["text"])), "")
     record = F.regexp_replace(record, r"\r$", "")
     # A delimiter before each field: a match without any character would pass over what follows it.
-    parts = F.regexp_extract_all(F.concat(F.lit(delimiter), record), F.lit(rf"{e}({f[:-2]}|[^{e}]*))"), F.lit(1))
+    # A quote that is never closed holds what is left.
+    open_ = rf'"[^"]*+(?:""[^"]*+)*+(?:"[^{e}]*+|$)'
+    parts = F.regexp_extract_all(F.concat(F.lit(delimiter), record), F.lit(rf'{e}({open_}|[^"{e}][^{e}]*+|[^{e}]*)'), F.lit(1))
 
     def bare(x: Column) -> Column:
         quoted = F.regexp_extract(x, r'^"([^"]*+(?:""[^"]*+)*+)(?:"|$)', 1)

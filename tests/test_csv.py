@@ -111,3 +111,13 @@ def test_any_cells_come_back(spark, tmp_path, cells):
     csv.writer(out, lineterminator="\n", quoting=csv.QUOTE_ALL).writerows([["h", "i", "j"], *cells])
     _, rows = read(spark, tmp_path, out.getvalue(), delimiter=",", encoding="utf-8", types=False)
     assert rows == [tuple(r) for r in cells]
+
+
+def test_empty_first_cells_and_open_quotes(spark):
+    """An empty first cell leaves the next one; a quote that is never closed holds what is left."""
+    from tabprofile.sources.csv import read_records
+
+    lines = [";1,5;x", 'a;"q;""r"""', '"x""";;;', ";", '"";z', ";;", ';"p;q']
+    df = spark.createDataFrame(list(enumerate(lines, 1)), "_line long, text string")
+    got = [r["fields"] for r in read_records(df, ";").orderBy("_line").collect()]
+    assert got == [["", "1,5", "x"], ["a", 'q;"r"'], ['x"', "", "", ""], ["", ""], ["", "z"], ["", "", ""], ["", "p;q"]]

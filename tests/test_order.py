@@ -156,7 +156,7 @@ def test_only_the_empty_string_stands_for_blanks(spark):
                 assert got == ([k for k in range(6) if k not in want] if exclude else want)
 
 
-CSV = "name;n;day;note\n Lyon;5;25/02/2015;a​b\nlyon;7;01/03/2015;\n;1,5;13/04/2015;NA\nNice;x;;Ã©tÃ©\nNice;x;;Ã©tÃ©\n;;;\nparis nord;12,25;02/01/2016;\"q;\"\"r\"\"\n"
+CSV = "name;n;day;note\n Lyon;5;25/02/2015;a​b\nlyon;7;01/03/2015;\n;1,5;13/04/2015;NA\nNice;x;;Ã©tÃ©\nNice;x;;Ã©tÃ©\n;;;\nparis nord;12,25;02/01/2016;\"q;\"\"r\"\"z\"\n"
 
 
 def _run_alone(tmp_path, code):
