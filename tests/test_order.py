@@ -17,6 +17,7 @@ from tabprofile.operators import profile as P
 from tabprofile.operators import relate as R
 from tabprofile.plans import filters as FL
 from tabprofile.plans import recipe as C
+from tabprofile.plans.durable import settle
 from tabprofile.plans.session import Session
 from tabprofile.plans.table import ROW, Table
 from tabprofile.sources.csv import read_csv
@@ -178,6 +179,7 @@ def test_scripts_stand_alone(generated, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text(CSV)
     t = read_csv(generated, str(path))
+    t = t.with_df(settle(t.df))  # the steps replay it several times
     s = Session(t)
     steps = [
         C.Trim("c0"), C.Case("c0", "title"), C.Clean("c3"), C.FixEncoding("c3"), C.Empty("c3", ("NA",)), C.FillValue("c3", "none"), C.Rename("c1", "number"),
