@@ -27,6 +27,8 @@ from .simhash import BROADCAST_IDS, components, parity_map, shingle_hashes
 
 #: Coordinates of a signature, bits of each that are compared inside the join, longs of a parity map of the set.
 K, PLANES, MAPS = 64, 4, 8
+#: The same where sets of different components meet: all bits of a coordinate, so that agreement is equality.
+ALL_PLANES, LATE_MAPS = 32, 32
 #: A pair of the least similarity may miss the threshold of matches with this probability.
 MISS = 1e-6
 
@@ -35,6 +37,7 @@ _A = _RNG.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, K, dtype=np.uint64)
 _CHUNK = 4096
 PARTS = [f"__s{i}" for i in range(PLANES)] + [f"__m{i}" for i in range(MAPS)]
+LATE_PARTS = [f"__s{i}" for i in range(ALL_PLANES)] + [f"__m{i}" for i in range(LATE_MAPS)]
 
 
 def match_threshold(percent: int, k: int = K, miss: float = MISS) -> int:
@@ -55,9 +58,9 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def planes(sig: np.ndarray) -> np.ndarray:
-    """Low bits of the coordinates as ``PLANES`` words of K bits: equal coordinates agree in all of them."""
-    bits = (sig[None, :] >> np.arange(PLANES, dtype=np.uint32)[:, None]) & 1
+def planes(sig: np.ndarray, n: int = PLANES) -> np.ndarray:
+    """Low bits of the coordinates as ``n`` words of K bits: equal coordinates agree in all of them."""
+    bits = (sig[None, :] >> np.arange(n, dtype=np.uint32)[:, None]) & 1
     return np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel()
 
 
@@ -102,13 +105,60 @@ def _prefixes(heads: DataFrame, match: int) -> DataFrame:
     return own.join(heads.drop("__sig"), F.col("__k") == F.col("__key")).drop("__k")
 
 
-def _alike(x: str, y: str, percent: int, match: int) -> Column:
+def _differing(x: str, y: str, parts: list[str]) -> Column:
+    """Coordinates that differ in any of the planes ``parts``, as bits of a long."""
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}")) for p in parts])
+
+
+def _alike(x: str, y: str, percent: int, match: int, parts: list[str] = PARTS, whole: int = PLANES) -> Column:
     """Whether two sets may be alike: sizes, matches (no fewer than there are), bits of the parity maps."""
     c = lambda side, name: F.col(f"{side}.{name}")
     sizes = F.least(c(x, "__n"), c(y, "__n")) * 100 >= percent * F.greatest(c(x, "__n"), c(y, "__n"))
-    apart = reduce(lambda a, b: a.bitwiseOR(b), [c(x, p).bitwiseXOR(c(y, p)) for p in PARTS[:PLANES]])
-    odd = reduce(lambda a, b: a + b, [F.bit_count(c(x, p).bitwiseXOR(c(y, p))) for p in PARTS[PLANES:]])
-    return sizes & (K - F.bit_count(apart) >= match) & (odd * (100 + percent) <= (100 - percent) * (c(x, "__n") + c(y, "__n")))
+    odd = reduce(lambda a, b: a + b, [F.bit_count(c(x, p).bitwiseXOR(c(y, p))) for p in parts[whole:]])
+    matches = K - F.bit_count(_differing(x, y, parts[:whole]))
+    return sizes & (matches >= match) & (odd * (100 + percent) <= (100 - percent) * (c(x, "__n") + c(y, "__n")))
+
+
+def _across(shared: DataFrame, roots: DataFrame, names: DataFrame, docs: DataFrame, percent: int, words: int, match: int) -> DataFrame:
+    """Pairs (a, b) of keys in different components that may be alike, each as one row.
+
+    A semi-join keeps the posts under which a set of another component may be
+    alike, which are no more than there were.  Only their sets, few, get whole
+    coordinates and larger parity maps, and only these posts meet.  A pair is a
+    row under the first coordinate that it has in common there, which whole
+    coordinates tell without error: under each post that two sets share in
+    their prefixes, either is the other's reason to stay.
+    """
+    known = roots.select(F.col("node").alias("__node"), F.col("root.node").alias("__r"))
+    mine = shared.join(known, F.col("__key") == F.col("__node"), "left").withColumn("__root", F.coalesce("__r", "__key"))
+    mine = mine.select(F.explode("__posts").alias("__post"), "__root", "__key", "__n", *PARTS)
+    apart = (F.col("x.__post") == F.col("y.__post")) & (F.col("x.__root") != F.col("y.__root"))
+    own = mine.alias("x").join(mine.alias("y"), apart & _alike("x", "y", percent, match), "left_semi")
+    own = settle(own.groupBy("__key", "__n", "__root").agg(F.collect_list("__post").alias("__posts")))  # K at most
+    ends = settle(own.join(names.select(F.col("__key").alias("__k"), "__t"), F.col("__key") == F.col("__k")).select("__key", "__t"))
+    few = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
+    texts = docs.join(few, "__t").select("__key", "__text").dropDuplicates(["__key"])
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for text in each(batch["__text"]):
+                h = shingle_hashes(text or "", words)
+                parts.append(np.concatenate([planes(signature(h), ALL_PLANES), parity_map(h, LATE_MAPS)]))
+            table = np.array(parts, np.int64).reshape(-1, len(LATE_PARTS))
+            columns = [batch["__key"], *[pa.array(table[:, i]) for i in range(len(LATE_PARTS))]]
+            yield pa.RecordBatch.from_arrays(columns, names=["__k", *LATE_PARTS])
+
+    facts = texts.mapInArrow(parted, "__k long, " + ", ".join(f"{p} long" for p in LATE_PARTS))
+    bit = lambda post, of=1: F.call_function("shiftleft", F.lit(of).cast("long"), F.shiftright(post, 32).cast("int"))  # noqa: E731  at its coordinate
+    mask = F.aggregate("__posts", F.lit(0).cast("long"), lambda m, post: m.bitwiseOR(bit(post)))
+    mine = settle(own.withColumn("__mask", mask).join(facts, F.col("__key") == F.col("__k")).drop("__k"))
+    forget(own, ends)
+    mine = mine.select(F.explode("__posts").alias("__post"), "__key", "__n", "__root", "__mask", *LATE_PARTS).withColumn("__below", F.bitwise_not(bit(F.col("__post"), -1)))
+    same = F.bitwise_not(_differing("x", "y", LATE_PARTS[:ALL_PLANES]))
+    earlier = same.bitwiseAND(F.col("x.__mask")).bitwiseAND(F.col("y.__mask")).bitwiseAND(F.col("x.__below"))
+    once = apart & (F.col("x.__key") < F.col("y.__key")) & (earlier == 0) & _alike("x", "y", percent, match, LATE_PARTS, ALL_PLANES)
+    return mine.alias("x").join(mine.alias("y"), once).select(F.col("x.__key").alias("a"), F.col("y.__key").alias("b"))
 
 
 def _confirmed(pairs: DataFrame, names: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
@@ -164,7 +214,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, id_col:
     most with others, which gathers most of a large group around few sets;
     then all pairs of a list that are not in one component yet meet in an
     equi-join that tests sizes, matches and a parity map (all without false
-    dismissals but for ``MISS``) before a pair is a row.  No list is gathered.
+    dismissals but for ``MISS``) before a pair is a row, once.  No list is
+    gathered.
     """
     match = match_threshold(percent)
     rows = docs.select(F.col(id_col).alias("__id"), F.md5(text_col).alias("__t"), F.col(text_col).alias("__text"))
@@ -191,12 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, id_col:
     labels = names.select(F.col("__key").alias("node"), F.col("__label").alias("label"))
     roots = components(early, labels)
 
-    known = roots.select(F.col("node").alias("__node"), F.col("root.node").alias("__r"))
-    mine = shared.join(known, F.col("__key") == F.col("__node"), "left").withColumn("__root", F.coalesce("__r", "__key"))
-    mine = mine.select(F.explode("__posts").alias("__post"), "__root", *facts)
-    apart = (F.col("x.__post") == F.col("y.__post")) & (F.col("x.__key") < F.col("y.__key")) & (F.col("x.__root") != F.col("y.__root"))
-    pairs = mine.alias("x").join(mine.alias("y"), apart & _alike("x", "y", percent, match)).select(*pair).distinct()
-    late = _confirmed(pairs, names, rows, percent, words)
+    late = _confirmed(_across(shared, roots, names, rows, percent, words, match), names, rows, percent, words)
     links = settle(early.unionByName(late).distinct())
     roots = components(links, labels).select(F.col("node").alias("__node"), F.col("root.label").alias("__least"))
     degree = links.select(F.explode(F.array("a", "b")).alias("__d")).groupBy("__d").agg(F.count(F.lit(1)).alias("__links"))
