@@ -28,7 +28,7 @@ from .simhash import BROADCAST_IDS, components, parity_map, shingle_hashes
 #: Coordinates of a signature, bits of each that are compared inside the join, longs of a parity map of the set.
 K, PLANES, MAPS = 64, 4, 8
 #: The same where sets of different components meet: all bits of a coordinate, so that agreement is equality.
-ALL_PLANES, LATE_MAPS = 32, 32
+ALL_PLANES, LATE_MAPS = 32, 16
 #: A pair of the least similarity may miss the threshold of matches with this probability.
 MISS = 1e-6
 
@@ -134,8 +134,10 @@ def _across(shared: DataFrame, roots: DataFrame, names: DataFrame, docs: DataFra
     mine = mine.select(F.explode("__posts").alias("__post"), "__root", "__key", "__n", *PARTS)
     apart = (F.col("x.__post") == F.col("y.__post")) & (F.col("x.__root") != F.col("y.__root"))
     own = mine.alias("x").join(mine.alias("y"), apart & _alike("x", "y", percent, match), "left_semi")
-    own = settle(own.groupBy("__key", "__n", "__root").agg(F.collect_list("__post").alias("__posts")))  # K at most
-    ends = settle(own.join(names.select(F.col("__key").alias("__k"), "__t"), F.col("__key") == F.col("__k")).select("__key", "__t"))
+    own = own.groupBy("__key", "__n", "__root").agg(F.collect_list("__post").alias("__posts"))  # K at most
+    own = settle(own.join(names.select(F.col("__key").alias("__k"), "__t"), F.col("__key") == F.col("__k")).drop("__k"))
+    forget(shared)
+    ends = own.select("__key", "__t")
     few = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
     texts = docs.join(few, "__t").select("__key", "__text").dropDuplicates(["__key"])
 
@@ -152,8 +154,8 @@ def _across(shared: DataFrame, roots: DataFrame, names: DataFrame, docs: DataFra
     facts = texts.mapInArrow(parted, "__k long, " + ", ".join(f"{p} long" for p in LATE_PARTS))
     bit = lambda post, of=1: F.call_function("shiftleft", F.lit(of).cast("long"), F.shiftright(post, 32).cast("int"))  # noqa: E731  at its coordinate
     mask = F.aggregate("__posts", F.lit(0).cast("long"), lambda m, post: m.bitwiseOR(bit(post)))
-    mine = settle(own.withColumn("__mask", mask).join(facts, F.col("__key") == F.col("__k")).drop("__k"))
-    forget(own, ends)
+    mine = settle(own.withColumn("__mask", mask).join(facts, F.col("__key") == F.col("__k")).drop("__k", "__t"))
+    forget(own)
     mine = mine.select(F.explode("__posts").alias("__post"), "__key", "__n", "__root", "__mask", *LATE_PARTS).withColumn("__below", F.bitwise_not(bit(F.col("__post"), -1)))
     same = F.bitwise_not(_differing("x", "y", LATE_PARTS[:ALL_PLANES]))
     earlier = same.bitwiseAND(F.col("x.__mask")).bitwiseAND(F.col("y.__mask")).bitwiseAND(F.col("x.__below"))
