@@ -163,8 +163,14 @@ def _good(rows: DataFrame, items: DataFrame, seeds: DataFrame, min_equal: int, m
 
 
 def _opposite(tokens_: Column, start: Column, length: Column) -> Column:
-    """The document's tokens opposite to an item's, null beyond its ends."""
-    return F.transform(F.sequence(F.lit(0), length - 1), lambda j: F.get(tokens_, start + j))
+    """The document's tokens opposite to an item's: null before its start, less than ``length`` where it ends.
+
+    Without a lambda, which generated code cannot hold: a stage would end here, and a document's tokens be kept
+    once for each of its hits.
+    """
+    first = F.greatest(start, F.lit(0))
+    before = F.array_repeat(F.lit(None).cast("string"), first - start)
+    return F.concat(before, F.slice(tokens_, first + 1, length - (first - start)))
 
 
 def _hits_by_broadcast(rows: DataFrame, item_seeds: DataFrame) -> DataFrame:

@@ -90,6 +90,40 @@ def test_decontamination_is_brute_force(spark):
     assert DC.contaminated(docs.limit(0), bench).count() == 0 and DC.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_a_document_of_all_items(generated):
+    """Hits in each of its windows: each overlap is found, with what hangs over either end of the document."""
+    rng = random.Random(4)
+    items = [(i, " ".join(_words(rng, rng.choice([12, 30, 60])))) for i in range(12)]
+    part = items[0][1].split()
+    rows = [(0, " ".join(t for _, t in items)), (1, " ".join([*part[-11:], "zz", *part[:11]])), (2, " ".join(part[-11:])), (3, None)]
+    expected = {(d, i): o for d, t in rows for i, x in items if (o := _overlaps(t, x)) is not None}
+    assert len(expected) >= len(items) + 2
+    bench = generated.createDataFrame(items, "item_id long, text string")
+    for limit in (DC.BROADCAST_SEEDS, 0):
+        got = DC.contaminated(docs_of(generated, rows), bench, broadcast_seeds=limit).collect()
+        assert {(r["doc_id"], r["item_id"]): (r["n_equal"], -r["n_tokens"], -r["doc_start"], -r["item_start"]) for r in got} == expected
+
+
+@pytest.mark.parametrize("near", ["_hits_by_broadcast", "_hits_by_shuffle"])
+def test_hits_do_not_hold_their_documents(generated, near):
+    """Hits go from the join into the aggregate in one stage of generated code.
+
+    Where it ends between them, it first lists all hits of a document, each with a copy of all its tokens: a
+    document of 200 items and 7,480 tokens had over 22,000 of them, some 3 GB by reckoning.
+    """
+    rows = DC._tokenised(docs_of(generated, [(0, "a b c d e f g h i j k")]), "doc_id", "text")
+    sources = generated.createDataFrame([(1, ("k", 0, 12))], "__known long, __s struct<__key:string,__at:int,__length:int>")
+    generated.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan has its stages only once it runs
+    try:
+        plan = getattr(DC, near)(rows, sources)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        generated.conf.unset("spark.sql.adaptive.enabled")
+    node = r"\*\((\d+)\) %s"
+    join = next(k for k, x in enumerate(plan) if re.search("Join", x))  # the last one
+    stage = re.search(node % r"\w+Join", plan[join])[1]
+    assert any((m := re.search(node % "HashAggregate", x)) and m[1] == stage for x in plan[:join]), plan
+
+
 def test_masks_find_what_counts_as_an_overlap():
     """Every overlap of whole passages that is long enough has a seed, over all places of two substitutions."""
     spots = [{k for k, c in enumerate(m) if c == "#"} for m in DC.MASKS]
